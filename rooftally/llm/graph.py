@@ -1,0 +1,37 @@
+"""Connected components of an edge table, by rounds of joins in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rooftally.llm.text import cut
+
+
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` can reach, itself included.
+
+    Each round takes the smallest label next to a node, then the label of that label. Labels
+    only fall, so a round that leaves their sum as it was is the last. Hot nodes are a join's
+    skew, which Spark splits, and a minimum, which is taken before the shuffle. Nodes without
+    an edge aren't in the result; no edges give an empty one.
+    """
+    one_way = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+    both = cut(one_way.select(F.explode(F.array(F.struct(F.col("x"), F.col("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y"))
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("label")))
+    total = F.sum(F.col("label").cast("decimal(38,0)"))
+    last = labels.agg(total).first()[0]
+    for _ in range(max_rounds):
+        if last is None:
+            break
+        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
+        hooked = labels.join(near, "node").select("node", F.least("label", "low").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label")))
+        now = labels.agg(total).first()[0]
+        if now == last:
+            return labels
+        last = now
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+    return labels
