@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rooftally.llm import mixing, sharding, simhash
+from rooftally.llm import decontamination, mixing, quality, secrets, sharding, simhash, token_files, unigram
 from rooftally.llm.text import read, word_count
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix(docs, "doc_id", "source", word_count(F.col("text"))).select(
@@ -19,12 +25,39 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), "doc_id", "text").select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
+    count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return rows.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.new_folder(spark)
+    token_files.write(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), out)
+    return token_files.digest(spark, out)
+
+
+def op9_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op10_shard": op10_shard}
+    every = (op1_mix, op2_simhash, op3_quality, op4_secrets, op5_decontaminate, op7_tokens, op9_count, op10_shard)
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = r"""
@@ -56,5 +89,53 @@ SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken, CAS
 """
 
 
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
+w AS (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT k, i, w[i:i+7] AS win FROM (SELECT k, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w)),
+p AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM g) WHERE c > 1),
+r AS (SELECT k, sum(least(8, coalesce(j - i, 8))) AS n_repeat_words FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM p) GROUP BY k),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+u AS (SELECT k, line, min(pos) AS pos, count(*) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line),
+v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '\||»|›|•|·| > ')) AS nav,
+        len(regexp_extract_all(line, '[#*$%&|<>]|!!')) AS marks FROM u),
+f AS (SELECT *, (nav >= 3 AND nav * 4 >= n) OR (marks >= 3 AND marks * 4 >= n)
+        OR regexp_matches(lower(line), 'BOILERPLATE')
+        OR (n < 3 AND NOT regexp_matches(line, '[.!?:;,…"”»)\]][\x20\x09-\x0D]*$')) AS bad FROM v),
+s AS (SELECT k, sum(c) - count(*) AS dup, coalesce(sum(CASE WHEN NOT bad THEN length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) END), 0) AS stay FROM f GROUP BY k),
+a AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stay, 0) AS stay
+  FROM d JOIN w USING (k) LEFT JOIN r USING (k) LEFT JOIN s USING (k)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND stay * 100 > word_chars * 50 AS kept
+FROM b
+""".replace("BOILERPLATE", "|".join(quality.BOILERPLATE))
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+iw AS (SELECT DISTINCT item, w[s:s+12] AS win FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM i WHERE len(w) > 0)),
+ln AS (SELECT DISTINCT len(win) AS n FROM iw),
+dw AS (SELECT k, s, n, w[s:s+n-1] AS win FROM (SELECT k, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, ln)),
+h AS (SELECT dw.k, dw.s, dw.n, iw.item FROM dw JOIN iw ON dw.win = iw.win),
+hw AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(s, s + n - 1)) AS p FROM (SELECT DISTINCT k, s, n FROM h)) GROUP BY k),
+hi AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (k) LEFT JOIN hi USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op5_decontaminate": OP5_SQL}
