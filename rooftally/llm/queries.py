@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rooftally.llm import decontamination, mixing, quality, secrets, sharding, simhash, token_files, unigram
+from rooftally.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, token_files, toxicity, unigram
 from rooftally.llm.text import read, word_count
 
 
@@ -41,12 +41,32 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def id_crc(id_col: str, n: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", id_crc("_id", 5) != 0)
+    rows = toxicity.score(docs, "text", model, ["doc_id"])
+    held = F.coalesce(id_crc("doc_id", 5) == 0, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.new_folder(spark)
     token_files.write(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), out)
     return token_files.digest(spark, out)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs, "text", "lang", "doc_id", id_crc("_id", 4) != 2)
+    rows = language.predict(docs, "text", model, ["doc_id"])
+    held = F.coalesce(id_crc("doc_id", 4) == 2, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
@@ -56,7 +76,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_mix, op2_simhash, op3_quality, op4_secrets, op5_decontaminate, op7_tokens, op9_count, op10_shard)
+    every = (op1_mix, op2_simhash, op3_quality, op4_secrets, op5_decontaminate, op6_toxicity, op7_tokens, op8_language, op9_count, op10_shard)
     return {f.__name__: f for f in every}
 
 
