@@ -19,6 +19,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from rooftally.llm.text import shared_dir
 
 #: Pieces that a worker remembers before it starts anew.
-PIECES = 250_000
+PIECES = 400_000
 #: Rows of the table of parts up to which it is broadcast.
 BROADCAST_PARTS = 50_000
 #: Bytes of text in one call of the tokenizer's batch.
@@ -46,6 +47,12 @@ def plain(text: str) -> bool:
     return not (ends or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or any(c in text for c in _OTHER))
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """A worker keeps its encoder, and what it remembers, from task to task."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian 16 or 32 bits."""
 
@@ -56,11 +63,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
+        self.blank = np.zeros(1 << 8 * self.type.itemsize if self.type.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces = pieces
 
     def _encode(self, some: list[str]) -> None:
+        """Words after one blank are encoded in a row: each token that begins with a blank begins a word."""
+        words, rest = [], []
+        for x in some:
+            (words if x[0] == " " and len(x) > 1 and not x[1].isspace() and "<|" not in x else rest).append(x)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids if words else [], self.type)
+        ends = np.append(np.flatnonzero(self.blank[ids])[1:], len(ids)) * self.type.itemsize
+        if words and len(ends) == len(words):
+            raw, at = ids.tobytes(), 0
+            for x, to in zip(words, ends.tolist()):
+                self.memo[x] = raw[at:to]
+                at = to
+        else:
+            rest = some
+        for at in range(0, len(rest), 4096):
+            self._encode_each(rest[at : at + 4096])
+
+    def _encode_each(self, some: list[str]) -> None:
         for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
             self.memo[piece] = array(self.code, e.ids).tobytes()
 
@@ -79,9 +105,7 @@ class Encoder:
                 memo[y] = old[y]
             elif y not in memo:
                 plain_.add(y)
-        some = list(plain_)
-        for at in range(0, len(some), 4096):
-            self._encode(some[at : at + 4096])
+        self._encode(list(plain_))
         for x in ended:
             memo[x] = memo[x[:-1]] + memo[x[-1]]
 
@@ -124,14 +148,14 @@ def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, out: s
         from pyspark import TaskContext
 
         part, row, start = TaskContext.get().partitionId(), 0, 0
-        encoder, end = Encoder(tokenizer_path), None
+        coder = encoder(tokenizer_path)
+        end = np.array([end_id], coder.type).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                end = np.array([end_id], encoder.type).tobytes()
-                raw = [x + end for x in encoder.texts(batch.column(1).to_pylist())]
-                n = np.fromiter(map(len, raw), np.int64, len(raw)) // encoder.type.itemsize
-                ids_ = np.frombuffer(b"".join(raw), encoder.type).astype(np.int32)
+                raw = [x + end for x in coder.texts(batch.column(1).to_pylist())]
+                n = np.fromiter(map(len, raw), np.int64, len(raw)) // coder.type.itemsize
+                ids_ = np.frombuffer(b"".join(raw), coder.type).astype(np.int32)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), pa.array(start + ends - n), pa.array(n),
