@@ -48,7 +48,7 @@ def _shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, width: int = 13, shingle: int = 5, percent: int = 5) -> DataFrame:
-    """One row per document row: id, n_words, n_hit, n_items, items (sorted strings), contaminated.
+    """One row per document row: id, text_hash (xxhash64), n_words, n_hit, n_items, items (sorted strings), contaminated.
 
     A document is contaminated if it has a hit word and the hit words are ``percent`` of all
     at least. Null and empty texts have no words and aren't. Items without words have no
@@ -94,6 +94,6 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
         F.sum(F.col("doc").cast("int")).alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     n_hit = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["to"], x["b"]).alias("to"), (s["n"] + F.greatest(x["b"] - F.greatest(s["to"], x["a"]), F.lit(0))).alias("n")), lambda s: s["n"])
-    docs_ = docs_.select("id", F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
+    docs_ = docs_.select("id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
     return docs_.drop("_").withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))

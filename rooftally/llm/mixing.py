@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rooftally.llm.text import BROADCAST_KEYS
+
 #: Rows of the source table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -88,7 +90,8 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, cycle: tuple[
 
 
 def repeated(df: DataFrame, mixed: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with each row as often as ``mixed`` says, which has ``id`` and ``repeats`` and one row per id."""
-    counts = mixed.select(F.col("id").alias("_id"), F.col("repeats").cast("int").alias("_n")).where("_n > 0")
+    """``df`` with each row as often as ``mixed`` says (``id``, ``repeats``); of rows with one id, the most counts for all."""
+    counts = mixed.groupBy(F.col("id").alias("_id")).agg(F.max("repeats").cast("int").alias("_n")).where("_n > 0").persist()
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts
     joined = df.join(counts, F.col(id_col).eqNullSafe(F.col("_id")))
     return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*df.columns)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rooftally.llm.graph import components
+from rooftally.llm.text import without
 
 #: Fingerprints of a block of a large entry.
 BLOCK = 1024
@@ -229,3 +230,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 4, radiu
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "label").select("fp", "component_id")
     return rows.join(named, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(df: DataFrame, id_col: str, text_col: str, k: int = 4, radius: int = 4) -> DataFrame:
+    """``df`` with one row of each component: that with the smallest id, once if rows repeat it.
+
+    Rows with a null id go if their component has an id; else one row of each text stays.
+    """
+    rows = near_duplicates(df, id_col, text_col, k, radius).select(F.col("id").alias("_id"), "component_id").persist()
+    stays = F.col("_id").eqNullSafe(F.col("component_id"))
+    kept = without(df, rows.where(~stays & F.col("_id").isNotNull()).select("_id").distinct(), [F.col(id_col)])
+    again = rows.where(stays).groupBy("_id").count().where("count > 1").select("_id").persist()
+    if again.isEmpty() and rows.where("_id is null").isEmpty():
+        return kept
+    lone = rows.where("_id is null and component_id is null").isEmpty()
+    once = without(kept.where(F.col(id_col).isNotNull()), again, [F.col(id_col)])
+    repeated = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    nameless = kept.where(F.col(id_col).isNull() & F.lit(not lone)).dropDuplicates([text_col])
+    return once.unionByName(repeated).unionByName(nameless)

@@ -53,3 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a list of keys up to which it is broadcast, some tens of MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
+    """The rows of ``df`` whose ``on`` isn't in ``keys``, column by column; null is a key like others. Short lists are broadcast."""
+    keys = keys.toDF(*[f"_k{i}" for i in range(len(on))]).persist()
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & c.eqNullSafe(F.col(f"_k{i}"))
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, same, "left_anti")
