@@ -3,7 +3,8 @@
 Texts are dealt by ranges of the id and sorted, so part k of the files holds ids below
 those of part k + 1. Each part is encoded and written by one task: ORC's integer run-length
 encoding packs the ids, each stripe has row indexes, and document ids have a Bloom filter
-besides, so a look-up of one id opens the stripes that may hold it. A row also has its place in the
+besides, so a look-up of one id opens the stripes that may hold it. Packed ids hardly
+shrink any more, so there is no further compression. A row also has its place in the
 part (``part``, ``row``, ``start_in_part``), which makes the whole order readable from
 column pruned scans: parts before it are summed, one row for each part.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from rooftally.llm.text import shared_dir
 
 #: Pieces that a worker remembers before it starts anew.
-PIECES = 400_000
+PIECES = 800_000
 #: Rows of the table of parts up to which it is broadcast.
 BROADCAST_PARTS = 50_000
 #: Bytes of text in one call of the tokenizer's batch.
@@ -165,7 +166,7 @@ def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, out: s
 
     coded = rows.mapInArrow(run, f"doc_id {ids}, part int, row bigint, start_in_part bigint, n_tokens bigint, ids array<int>")
     (coded.write.mode("error").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", "10000").option("compression", "zstd").orc(out))
+        .option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", "10000").option("compression", "none").orc(out))
 
 
 def look_up(spark: SparkSession, out: str, doc_id) -> DataFrame:
