@@ -90,14 +90,15 @@ def nms_score(p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
 def nms_area(p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
     """In row order the smaller box of a pair above ``iou`` goes; a box that goes stops looking, its earlier victims stay gone.
 
-    The outcome depends on the order inside a component of overlapping boxes alone, so each
-    component is folded in order, with its pairs already found; components are small groups.
+    The outcome depends on the order inside a component of overlapping boxes alone, so components
+    are folded in order, some thousands of pairs at a time, with their pairs already found.
     """
     import pandas as pd
 
     pairs = conflicts(p.select(*keys, "poly_id", "area", "x0", "y0", "x1", "y1"), keys, iou).select("poly_id", "area", "b_poly_id", "b_area")
     labels = graph.components(pairs, "poly_id", "b_poly_id")
-    grouped = pairs.join(labels.withColumnRenamed("node", "poly_id"), "poly_id")
+    groups = max(1, labels.count() // 20_000)
+    grouped = pairs.join(labels.withColumnRenamed("node", "poly_id"), "poly_id").withColumn("group", F.pmod(F.xxhash64("label"), F.lit(groups)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[tuple[int, int, int]]] = {}
@@ -117,7 +118,7 @@ def nms_area(p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
                     break
         return pd.DataFrame({"poly_id": pd.Series(sorted(gone), dtype="int64")})
 
-    gone = grouped.groupBy("label").applyInPandas(fold, "poly_id long")
+    gone = grouped.groupBy("group").applyInPandas(fold, "poly_id long")
     return p.join(gone, "poly_id", "left_anti")
 
 
