@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rooftally.llm.graph import components
 from rooftally.llm.text import without
+from rooftally.operators.graph import components
 
 #: Fingerprints of a block of a large entry.
 BLOCK = 1024

@@ -3,8 +3,8 @@
 Texts are dealt by ranges of the id and sorted, so part k of the files holds ids below
 those of part k + 1. Each part is encoded and written by one task: ORC's integer run-length
 encoding packs the ids, each stripe has row indexes, and document ids have a Bloom filter
-besides, so a look-up of one id opens the stripes that may hold it. Packed ids hardly
-shrink any more, so there is no further compression. A row also has its place in the
+besides, so a look-up of one id opens the stripes that may hold it. There is no
+further compression: it would cost more CPU than the disk that it saves is worth here. A row also has its place in the
 part (``part``, ``row``, ``start_in_part``), which makes the whole order readable from
 column pruned scans: parts before it are summed, one row for each part.
 
