@@ -51,7 +51,7 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} r ON n_
 """
 
 _UNITS = """
-SELECT c_custkey AS unit_id, c_custkey % (SELECT count(*) FROM {supplier}) + 1 AS grid_id, c_acctbal / 1000 AS kw,
+SELECT c_custkey AS unit_id, c_custkey % (SELECT count(*) FROM {supplier}) + 1 AS grid_id, c_acctbal / 1000 AS kw, CAST(round(c_acctbal * 100) AS BIGINT) AS centiwatts,
        CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'residential' WHEN 'MACHINERY' THEN 'industrial' ELSE 'commercial' END AS customer_type,
        c_custkey * 7919 % 3000 AS x, c_custkey * 104729 % 3000 AS y
 FROM {customer}
