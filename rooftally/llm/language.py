@@ -36,7 +36,8 @@ def raw_bytes(text: str | None) -> np.ndarray:
 
 class Scorer:
     def __init__(self, net: convnet.Net):
-        f, t = net.filters, net.table
+        f, t = net.filters, net.table[:256].copy()
+        t[0] = 0  # stands behind the end of a text, as the padding does in training
         two, four = slice(0, 2 * f), slice(2 * f, 6 * f)
         a, b = t[:256, two], t[:256, four]
         pair = lambda x, j: (x[:, None, j * f : (j + 1) * f] + x[None, :, (j + 1) * f : (j + 2) * f]).reshape(65536, f)
