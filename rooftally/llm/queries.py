@@ -157,5 +157,34 @@ FROM d LEFT JOIN hw USING (k) LEFT JOIN hi USING (k)
 """
 
 
+
+def _op4_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = [quoted(p) for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)]
+    found = " UNION ALL ".join(f"SELECT k, {i} AS kind, regexp_extract_all(text, {p}, 0) AS v, regexp_split_to_array(text, {p}) AS g FROM d" for i, p in enumerate(patterns))
+    limit = "CASE " + " ".join(f"WHEN regexp_matches(value, {quoted(p)}) THEN {bits}" for _, p, bits in secrets.CLASSES) + " END"
+    allowed = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in secrets.ALLOWED)
+    names = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END"
+    listed = f"string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    n = secrets.RUN
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
+f AS ({found}),
+s AS (SELECT k, kind, i, v[i] AS value, g[i] AS gap FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM f)),
+p AS (SELECT k, kind, i, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS stop FROM s),
+q AS (SELECT *, stop - length(value) AS start FROM p),
+base AS (SELECT * FROM q WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(value, {patterns[0]}, 2)) >= 6)),
+c AS (SELECT * FROM q WHERE kind = 3 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = q.k AND b.start <= q.start AND q.stop <= b.stop)),
+w AS (SELECT k, i, o, substr(value, o, {n}) AS win FROM (SELECT k, i, value, unnest(generate_series(1, length(value) - {n - 1})) AS o FROM c)),
+h AS (SELECT k, i, o, -sum(n / {n}.0E0 * log2(n / {n}.0E0)) AS bits FROM (SELECT k, i, o, ch, count(*) AS n FROM (SELECT k, i, o, unnest(string_split(win, '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT k, i, max(bits) AS bits FROM h GROUP BY ALL),
+every_ AS (SELECT k, kind, start, stop FROM base UNION ALL SELECT c.k, c.kind, c.start, c.stop FROM c JOIN m USING (k, i) WHERE m.bits >= {limit}),
+r AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  {listed} FILTER (WHERE kind < 3) AS base, {listed} AS spans FROM every_ GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (k)"""
+
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op4_secrets": _op4_sql(), "op5_decontaminate": OP5_SQL}
