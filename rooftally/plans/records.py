@@ -164,9 +164,9 @@ round(count(*) FILTER (WHERE review_status <> 'delete') / CAST(count(*) AS DOUBL
 round(2 * count(*) FILTER (WHERE review_status <> 'delete') / CAST(count(*) + any_value(pos) AS DOUBLE), 6) AS f1 FROM predictions, t, n WHERE confidence >= threshold GROUP BY threshold""")
 def h23_conf_sweep(spark, d):
     p = view(spark, d, "predictions").select("confidence", (F.col("review_status") != "delete").alias("pos"))
-    swept = stats.through_thresholds(p, [0.5, 0.6, 0.7, 0.8, 0.9], "confidence").groupBy("threshold").agg(F.count_if("pos").alias("tp"), F.count_if(~F.col("pos")).alias("fp"))
-    total = p.agg(F.count_if("pos").alias("n_pos"))
-    return matching.prf(swept.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn")))  # the total is one row
+    every = p.withColumn("threshold", F.explode(F.array(*map(F.lit, [0.5, 0.6, 0.7, 0.8, 0.9]))))
+    kept = F.col("confidence") >= F.col("threshold")
+    return matching.prf(every.groupBy("threshold").agg(F.count_if(kept & F.col("pos")).alias("tp"), F.count_if(kept & ~F.col("pos")).alias("fp"), F.count_if(~kept & F.col("pos")).alias("fn")))
 
 
 @query(f"{with_views('units')} SELECT grid_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(centiwatts) AS BIGINT) AS total, CAST(coalesce(sum(centiwatts) FILTER (WHERE customer_type = 'residential'), 0) AS BIGINT) AS residential, CAST(coalesce(sum(centiwatts) FILTER (WHERE customer_type = 'industrial'), 0) AS BIGINT) AS industrial FROM units WHERE kw >= 0 GROUP BY grid_id")
