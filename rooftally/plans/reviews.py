@@ -405,3 +405,65 @@ def n9_backfill_geometry(spark, d):
     status = columns.first_match([(~blank, "present"), (F.col("found").isNotNull(), "filled")], "no_match")
     eligible = F.coalesce(F.nullif("training_eligible", F.lit("")), F.when(F.col("region") == "ASIA", "false").otherwise("true"))
     return view(spark, d, "negative_pool").join(found, "chip_id", "left").select("chip_id", F.when(blank, F.coalesce("found", F.lit(""))).otherwise(F.trim("bbox_geo")).alias("bbox_geo"), status.alias("status"), eligible.alias("training_eligible"))
+
+
+@query(f"""{_P}, c AS (SELECT poly_id, grid_id, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM predictions WHERE model_run = 'run_A')
+SELECT poly_id, CAST((cx // 600) * 5 + (cy // 600) AS BIGINT) AS tile FROM c WHERE cx < 3000 AND cy < 3000""")
+def c15_reviewable_only(spark, d):
+    """Boxes whose centre lies in a tile, with the tile's number."""
+    p = view(spark, d, "predictions").where("model_run = 'run_A'").withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2), "cy": F.floor((F.col("y0") + F.col("y1")) / 2)})
+    return p.where("cx < 3000 and cy < 3000").select("poly_id", (F.floor(F.col("cx") / _TILE) * 5 + F.floor(F.col("cy") / _TILE)).alias("tile"))
+
+
+@query(f"""{with_views('task_grid')}, r AS (SELECT gx, gy FROM task_grid WHERE grid_id % 17 = 0), b AS (SELECT grid_id, gx, gy FROM task_grid WHERE grid_id % 17 <> 0)
+SELECT grid_id, CAST(min((b.gx - r.gx) * (b.gx - r.gx) + (b.gy - r.gy) * (b.gy - r.gy)) AS BIGINT) AS dist2, min(greatest(abs(b.gx - r.gx), abs(b.gy - r.gy))) <= 1 AS touches FROM b, r
+WHERE greatest(abs(b.gx - r.gx), abs(b.gy - r.gy)) <= 3 GROUP BY grid_id""")
+def d17_overlap_audit(spark, d):
+    """Cells within three steps of a reserved one: the distance, and whether they touch it."""
+    t = view(spark, d, "task_grid").select("grid_id", "gx", "gy")
+    box = lambda df: df.withColumns({"x0": F.col("gx"), "y0": F.col("gy"), "x1": F.col("gx"), "y1": F.col("gy")})
+    pairs = spatial.box_join(box(t.where("grid_id % 17 <> 0")), box(t.where("grid_id % 17 = 0")), [], margin=3, closed=True, size=8)
+    dx, dy = F.abs(F.col("gx") - F.col("b_gx")), F.abs(F.col("gy") - F.col("b_gy"))
+    return pairs.groupBy("grid_id").agg(F.min(dx * dx + dy * dy).cast("long").alias("dist2"), (F.min(F.greatest(dx, dy)) <= 1).alias("touches"))
+
+
+@query(f"""{with_views('predictions', 'ground_truth')}, p AS (SELECT model_run, grid_id, count(*) FILTER (WHERE review_status = 'correct') AS tp, count(*) FILTER (WHERE review_status = 'delete') AS fp FROM predictions GROUP BY ALL), g AS (SELECT grid_id, count(*) AS n_gt FROM ground_truth WHERE area > 12000 GROUP BY ALL)
+SELECT model_run, CASE WHEN n_gt IS NULL THEN 'no_gt' WHEN tp > n_gt * 4 THEN 'invalid' WHEN grid_id % 4 = 0 THEN 'legacy' ELSE 'configured' END AS class, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp FROM p LEFT JOIN g USING (grid_id) GROUP BY ALL""")
+def h17_metrics_tracker(spark, d):
+    """Classes of evaluated cells; rows without a hit stay."""
+    p = view(spark, d, "predictions").groupBy("model_run", "grid_id").agg(F.count_if(F.col("review_status") == "correct").alias("tp"), F.count_if(F.col("review_status") == "delete").alias("fp"))
+    g = view(spark, d, "ground_truth").where("area > 12000").groupBy("grid_id").agg(F.count("*").alias("n_gt"))
+    kind = columns.first_match([(F.col("n_gt").isNull(), "no_gt"), (F.col("tp") > F.col("n_gt") * 4, "invalid"), (F.col("grid_id") % 4 == 0, "legacy")], "configured")
+    return p.join(g, "grid_id", "left").groupBy("model_run", kind.alias("class")).agg(F.count("*").alias("n_rows"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+
+
+@query(f"""{with_views('ground_truth', 'task_grid')}, q AS (SELECT grid_id, source, count(*) AS n FROM ground_truth GROUP BY ALL), b AS (SELECT grid_id, arg_max(source, (n, source)) AS source, max(n) AS n FROM q GROUP BY grid_id)
+SELECT t.grid_id, coalesce(b.source, 'none') AS source, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN n IS NULL THEN 'zero_gt' WHEN n >= 60 THEN 'richest' ELSE 'only' END AS action FROM task_grid t LEFT JOIN b USING (grid_id)""")
+def a13_ingest_annotations(spark, d):
+    """The richest source of each cell; cells without one stay with zero."""
+    q = view(spark, d, "ground_truth").groupBy("grid_id", "source").agg(F.count("*").alias("n"))
+    b = q.groupBy("grid_id").agg(F.max(F.struct("n", "source")).alias("m")).select("grid_id", "m.source", "m.n")
+    action = columns.first_match([(F.col("n").isNull(), "zero_gt"), (F.col("n") >= 60, "richest")], "only")
+    return view(spark, d, "task_grid").select("grid_id").join(b, "grid_id", "left").select("grid_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("n", F.lit(0)).alias("n"), action.alias("action"))
+
+
+@query(f"""{with_views('predictions', 'ground_truth', 'negative_pool')}, a AS (SELECT region, grid_id, gt_id AS item_id, source AS provenance, 1 AS prio FROM ground_truth UNION ALL SELECT region, grid_id, poly_id, 'prediction', 2 FROM predictions WHERE model_run = 'run_B' AND review_status = 'correct'),
+b AS (SELECT *, min(prio) OVER (PARTITION BY region, grid_id, item_id) AS best FROM a), n AS (SELECT DISTINCT grid_id FROM negative_pool WHERE archetype = 'ECONOMY')
+SELECT b.item_id, b.grid_id, provenance, CASE provenance WHEN 'reviewed' THEN 'trusted' WHEN 'redrawn' THEN 'trusted' ELSE 'untrusted' END AS trust, n.grid_id IS NOT NULL AS shares_cell FROM b LEFT JOIN n USING (grid_id) WHERE prio = best""")
+def m13_training_pool_manifest(spark, d):
+    """Every annotation once, the first source before the second, with its trust and whether the negative pool uses its cell."""
+    g = view(spark, d, "ground_truth").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.col("source").alias("provenance"), F.lit(1).alias("prio"))
+    p = view(spark, d, "predictions").where("model_run = 'run_B' and review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("prediction").alias("provenance"), F.lit(2).alias("prio"))
+    a = g.unionByName(p).groupBy("region", "grid_id", "item_id").agg(F.min_by("provenance", "prio").alias("provenance"))
+    n = view(spark, d, "negative_pool").where("archetype = 'ECONOMY'").select("grid_id", F.lit(True).alias("used")).distinct()
+    trust = F.when(F.col("provenance").isin(*_TRUST), "trusted").otherwise("untrusted")
+    return a.join(n, "grid_id", "left").select("item_id", "grid_id", "provenance", trust.alias("trust"), F.col("used").isNotNull().alias("shares_cell"))
+
+
+@query(f"""{_P}, v AS (SELECT * FROM predictions WHERE grid_id % 5 = 0), t AS (SELECT region, grid_id, count(*) AS n FROM predictions WHERE grid_id % 5 <> 0 AND review_status <> 'delete' GROUP BY ALL)
+SELECT region, grid_id, CAST(n AS BIGINT) AS n, 'train' AS split FROM t UNION ALL SELECT region, grid_id, CAST(count(*) AS BIGINT), 'val' FROM v GROUP BY ALL""")
+def c10_split_selection(spark, d):
+    """Held-out cells keep all; training cells leave out what reviewers deleted."""
+    held = F.col("grid_id") % 5 == 0
+    p = view(spark, d, "predictions").where(held | (F.col("review_status") != "delete"))
+    return p.groupBy("region", "grid_id", F.when(held, "val").otherwise("train").alias("split")).agg(F.count("*").alias("n"))
