@@ -212,12 +212,14 @@ def h49_empty_grid_probe(spark, d):
 s AS (SELECT *, CASE WHEN k1 > 12 THEN row_number() OVER (PARTITION BY region, {_SIZE}, k1 > 12 ORDER BY sha2) END AS k2 FROM (SELECT *, concat(sha256(concat('42:', CAST(poly_id AS VARCHAR))), CAST(poly_id AS VARCHAR)) AS sha2 FROM r))
 SELECT region, {_SIZE} AS size_class, poly_id, k1 <= 12 AS by_priority FROM s WHERE k1 <= 12 OR k2 <= 8""")
 def j9_priority_plus_random(spark, d):
-    """Per stratum of 20: 12 by priority, 8 by digest among the rest."""
-    p = view(spark, d, "predictions").withColumn("size_class", _size()).select("region", "size_class", "poly_id", "second_score")
-    w = Window.partitionBy("region", "size_class")
-    p = p.withColumns({"k1": F.row_number().over(w.orderBy(F.desc("second_score"), "poly_id")), "_d": sampling.digest("42", F.col("poly_id"))}).withColumn("top", F.col("k1") <= 12)
-    p = p.withColumn("k2", F.row_number().over(Window.partitionBy("region", "size_class", "top").orderBy("_d", "poly_id")))
-    return p.where("top or k2 <= 8").select("region", "size_class", "poly_id", F.col("top").alias("by_priority"))
+    """Per stratum of 20: 12 by priority, 8 by digest among the rest. Both ranks are bounded, so tasks keep a few rows each before the shuffle."""
+    keys = ["region", "size_class"]
+    p = view(spark, d, "predictions").withColumn("size_class", _size()).select(*keys, "poly_id", "second_score")
+    w = Window.partitionBy(*keys)
+    top = p.withColumn("k", F.row_number().over(w.orderBy(F.desc("second_score"), "poly_id"))).where("k <= 12")
+    rest = p.join(top.select("poly_id"), "poly_id", "left_anti").withColumn("_d", sampling.digest("42", F.col("poly_id")))
+    rest = rest.withColumn("k", F.row_number().over(w.orderBy("_d", "poly_id"))).where("k <= 8")
+    return top.select(*keys, "poly_id", F.lit(True).alias("by_priority")).unionByName(rest.select(*keys, "poly_id", F.lit(False).alias("by_priority")))
 
 
 @query(f"""{_P}, n AS (SELECT region, CAST(floor(count(*) FILTER (WHERE review_status = 'correct') * 0.5) AS BIGINT) AS quota FROM predictions GROUP BY region),

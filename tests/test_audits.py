@@ -79,3 +79,26 @@ def test_sizes_add_up(spark):
     by = {(r.model_run, r.size_class, r.level): r.tp for r in rows}
     assert all(by[a, b, 0.3] >= by[a, b, 0.7] for a, b, _ in by)
     assert sum(r.n for r in audits.h8_area_error_by_size(spark, SF).collect()) == sum(r.n for r in audits.h7_footprint_quality(spark, SF).collect())
+
+
+def test_dissolved_ground_truth_equals_union_find(spark):
+    rows = view(spark, SF, "ground_truth").collect()
+    up = {r.gt_id: r.gt_id for r in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if a.gt_id < b.gt_id and (a.region, a.grid_id) == (b.region, b.grid_id):
+                w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
+                if w > 0 and h > 0 and w * h > 100:
+                    x, y = sorted((top(a.gt_id), top(b.gt_id)))
+                    up[y] = x
+    want = {}
+    for r in rows:
+        want.setdefault(top(r.gt_id), []).append(r.source)
+    got = {r.component: (r.n_members, r.source) for r in audits.f10_dissolve_clean_gt(spark, SF).collect()}
+    assert got == {k: (len(v), "+".join(sorted(set(v)))) for k, v in want.items()}
