@@ -237,7 +237,12 @@ def distinct_documents(df: DataFrame, id_col: str, text_col: str, k: int = 4, ra
 
     Rows with a null id go if their component has an id; else one row of each text stays.
     """
-    rows = near_duplicates(df, id_col, text_col, k, radius).select(F.col("id").alias("_id"), "component_id").persist()
+    return one_of_each(df, near_duplicates(df, id_col, text_col, k, radius), id_col, text_col)
+
+
+def one_of_each(df: DataFrame, components_of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each component; components_of: (id, component_id), a row per row of ``df``."""
+    rows = components_of.select(F.col("id").alias("_id"), "component_id").persist()
     stays = F.col("_id").eqNullSafe(F.col("component_id"))
     kept = without(df, rows.where(~stays & F.col("_id").isNotNull()).select("_id").distinct(), [F.col(id_col)])
     again = rows.where(stays).groupBy("_id").count().where("count > 1").select("_id").persist()
