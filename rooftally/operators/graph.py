@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from rooftally.functions.session import cut
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node (a whole number) that each node of ``edges`` can reach, itself included.
 
-    Each round takes the smallest label next to a node, then the label of that label. Labels
-    only fall, so a round that leaves their sum as it was is the last. Hot nodes are a join's
-    skew, which Spark splits, and a minimum, which is taken before the shuffle. Nodes without
+    Each round takes the smallest label next to a node, gives it to the node and to the node's own
+    label, then takes the label of that label. As whole trees are hooked, rounds grow with the
+    logarithm of the longest path. Labels only fall, so a round that leaves their sum as it was is
+    the last, and there always is one. Hot nodes are a join's skew, which Spark splits, and a
+    minimum, which is taken before the shuffle. Nodes without
     an edge aren't in the result; no edges give an empty one.
     """
     one_way = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
@@ -26,18 +28,18 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("label")))
     total = F.sum(F.col("label").cast("decimal(38,0)"))
     last = labels.agg(total).first()[0]
-    for _ in range(max_rounds):
-        if last is None:
-            return labels
+    while last is not None:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "low").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        found = labels.join(near, "node").select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("label").alias("node"), "low"))).alias("f"))
+        low = found.groupBy("f.node").agg(F.min("f.low").alias("low"))
+        hooked = cut(labels.join(low, "node").select("node", F.least("label", "low").alias("label")))
+        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = cut(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label")))
         now = labels.agg(total).first()[0]
         if now == last:
-            return labels
+            break
         last = now
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+    return labels
 
 
 def with_component(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:

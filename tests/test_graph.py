@@ -145,3 +145,10 @@ def test_box_join_once(spark):
     touching = spark.createDataFrame([(0, 1000, 0, 1100, 50)], one.schema)
     assert spatial.box_join(one, touching, KEYS).count() == 0
     assert spatial.box_join(one, touching, KEYS, closed=True).count() == 1
+
+
+def test_components_of_a_long_path(spark):
+    ids = list(range(1000))
+    random.Random(2).shuffle(ids)
+    got = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), "a", "b").collect()
+    assert {r.node: r.label for r in got} == dict.fromkeys(ids, 0)
