@@ -161,8 +161,6 @@ def f11_mutual_iou_set(spark, d):
 def f13_cluster_metrics(spark, d):
     """Area accuracy of each component of the two-sided overlap graph."""
     g, p = both(spark, d)
-    g = g.where("model_run = 'run_A'")
-    p = p.where("model_run = 'run_A'")
     nodes = matching.clusters(g, p, KEYS)
     keys = [*KEYS, "component"]
     sets = spatial.area_sets(nodes.where("side = 'p'"), nodes.where("side = 'g'"), keys)

@@ -63,15 +63,15 @@ def f16_edit_replacement_kind(spark, d):
 def f12_overlap_clusters(spark, d):
     """Sizes of the components of the two-sided overlap graph, lone boxes included."""
     g, p = both(spark, d)
-    nodes = matching.clusters(g.where("model_run = 'run_B'"), p.where("model_run = 'run_B'"), KEYS, 0.1)
+    nodes = matching.clusters(g, p, KEYS, 0.1)
     sizes = nodes.groupBy(*KEYS, "component").agg(F.count_if(F.col("side") == "g").alias("n_gt"), F.count_if(F.col("side") == "p").alias("n_pred"))
-    return sizes.groupBy("region", "n_gt", "n_pred").agg(F.count("*").alias("n_clusters"))
+    return sizes.groupBy("region", "model_run", "n_gt", "n_pred").agg(F.count("*").alias("n_clusters"))
 
 
 @query()
 def f9_dissolve_hairline(spark, d):
     """Boxes within half a metre become one: the largest member names it, numbers take their maximum."""
-    p = view(spark, d, "predictions").where("model_run = 'run_C'")
+    p = view(spark, d, "predictions")
     box = p.select(*KEYS, "poly_id", *spatial.BOX)
     tagged = graph.with_component(p, spatial.near_boxes(box, box, KEYS, 5).where("poly_id < b_poly_id"), "poly_id", "poly_id", "b_poly_id")
     best = F.max_by("poly_id", F.struct("area", (-F.col("poly_id")).alias("n"))).alias("base_id")
