@@ -8,12 +8,11 @@ index one table, so a filter of four bytes is two rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rooftally.llm import convnet
@@ -21,12 +20,12 @@ from rooftally.llm import convnet
 LENGTH = 256
 WIDTHS = (2, 4)
 FILTERS = 12
-#: Documents that training takes, about, over all languages; bytes of a text in training; windows of each.
+#: Documents that training takes over all languages, but LEAST of each language at least; windows cut from each.
 TRAIN_DOCS = 3000
-TRAIN_BYTES = 65_536
+LEAST = 20
 TRAIN_WINDOWS = 3
-#: Languages that can be learned.
-LANGUAGES = 500
+#: Languages up to which their table is broadcast.
+BROADCAST_LANGUAGES = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -67,35 +66,38 @@ class Scorer:
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column) -> tuple[convnet.Net | None, list[str]]:
-    """Net and languages from a seeded sample of the rows with a language for which ``usable`` (on ``_id``) holds."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & usable)
-    counts = {r[0]: r[1] for r in rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()}
-    languages = sorted(counts)
-    if not languages:
+    """Net and languages from a seeded sample of the rows with a language for which ``usable`` (on ``_id``) holds.
+
+    Every language that has such rows is learned: from all of them, or of more than TRAIN_DOCS / languages (LEAST at
+    least) from those of the smallest digests. Long texts give windows like others. What comes
+    to the driver is TRAIN_WINDOWS windows of LENGTH bytes a row. Empty texts are left out; rows of one id are rows of their own.
+    """
+    size = F.octet_length("_t")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where(F.col("_l").isNotNull() & (size > 0) & usable)
+    counts = rows.groupBy("_l").agg(F.count("*").alias("n")).persist()
+    many = counts.count()
+    if not many:
         return None, []
-    each = max(20, TRAIN_DOCS // len(languages))
-    share = F.lit(0.0)
-    for x in languages:
-        share = F.when(F.col("_l") == x, min(1.0, each / counts[x])).otherwise(share)
-    draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
-    picked = rows.where((draw < share) & (F.octet_length("_t") <= TRAIN_BYTES)).select("_t", "_l").limit(2 * TRAIN_DOCS + 40 * len(languages))
-    got = sorted((r[0], r[1]) for r in picked.collect())
-    texts, labels = [], []
-    for t, x in got:
-        raw = raw_bytes(t)
-        rng = np.random.default_rng(zlib.crc32(raw.tobytes()))
-        starts = sorted({int(rng.integers(0, max(1, len(raw) - LENGTH + 1))) for _ in range(TRAIN_WINDOWS)}) if len(raw) > LENGTH else [0]
-        for s in starts:
-            if len(raw):
-                texts.append(raw[s : s + LENGTH].astype(np.int32)[:, None])
-                labels.append(languages.index(x))
-    if not texts:
-        return None, []
-    return convnet.train(texts, np.array(labels), len(languages), 256, WIDTHS, FILTERS, epochs=4), languages
+    each = max(LEAST, TRAIN_DOCS // many)
+    digest = F.xxhash64("_id", "_t", F.lit(5))
+    shares = counts.select("_l", F.least(F.lit(1.0), 2 * each / F.col("n")).alias("share"))
+    drawn = rows.withColumn("_d", digest).join(F.broadcast(shares) if many <= BROADCAST_LANGUAGES else shares, "_l").where(F.pmod("_d", F.lit(1 << 20)) / (1 << 20) < F.col("share"))
+    at = lambda k: (F.pmod(F.xxhash64("_d", F.lit(k)), F.greatest(size - LENGTH + 1, F.lit(1))) + 1).cast("int")
+    starts = F.when(size > LENGTH, F.array_distinct(F.array(*[at(k) for k in range(TRAIN_WINDOWS)]))).otherwise(F.array(F.lit(1)))
+    drawn = drawn.withColumn("_b", F.col("_t").cast("binary")).select("_l", "_d", F.transform(starts, lambda i: F.substr("_b", i, F.lit(LENGTH))).alias("_w"))
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_d", "_w"))
+    got = sorted((bytes(w), r[0]) for r in drawn.withColumn("_k", rank).where(F.col("_k") <= each).select("_l", "_w").collect() for w in r[1])
+    languages = sorted({x for _, x in got})
+    number = {x: i for i, x in enumerate(languages)}
+    texts = [np.frombuffer(w.translate(_LOWER), np.uint8).astype(np.int32)[:, None] for w, _ in got]
+    return convnet.train(texts, np.array([number[x] for _, x in got]), len(languages), 256, WIDTHS, FILTERS, epochs=4), languages
 
 
 def predict(docs: DataFrame, text_col: str, model: tuple[convnet.Net | None, list[str]], carry: list[str]) -> DataFrame:
-    """``carry`` columns, ``lang_pred`` and ``score`` of each row; ``und`` and 0 for a null text, one without a letter, or a model that learned nothing."""
+    """``carry`` columns, ``lang_pred`` and ``score`` of each row; ``und`` and 0 for a null text, one without a letter, or a model that learned nothing.
+
+    Rows are independent: repeated ones give equal rows, an empty table none. ``carry`` may hold any columns but the two new names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carry, F.col(text_col).alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")

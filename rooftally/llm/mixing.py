@@ -3,7 +3,8 @@
 Sources get shares of the whole mass by weight. A source may be repeated ``max_epochs``
 times at most; what it can't take goes to the others by weight until nobody is above.
 Sorted by cap / weight, the clamped sources are a prefix, so the fixed point of that
-clamping is found with running sums over one row per source.
+clamping is found with running sums over one row per source. These rows pass one task, which
+spills: some hundred bytes a source, so about a gigabyte for ten million sources.
 
 Each source then needs ``whole`` epochs of all its rows and part of one more. The part is
 taken in the order of a seeded digest of the id, up to the row that the target falls into
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rooftally.llm.text import BROADCAST_KEYS
+from rooftally.llm.text import BROADCAST_KEYS, fresh
 
 #: Rows of the source table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -90,8 +91,12 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, cycle: tuple[
 
 
 def repeated(df: DataFrame, mixed: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with each row as often as ``mixed`` says (``id``, ``repeats``); of rows with one id, the most counts for all."""
-    counts = mixed.groupBy(F.col("id").alias("_id")).agg(F.max("repeats").cast("int").alias("_n")).where("_n > 0").persist()
+    """``df`` with each row as often as ``mixed`` says (``id``, ``repeats``); of rows with one id, the most counts for all.
+
+    A null id is an id like others. ``df`` may have any names; rows that ``mixed`` doesn't have, or has with 0, go.
+    """
+    key, n = fresh(df.columns, "_id", "_n")
+    counts = mixed.groupBy(F.col("id").alias(key)).agg(F.max("repeats").cast("int").alias(n)).where(F.col(n) > 0).persist()
     counts = F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts
-    joined = df.join(counts, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*df.columns)
+    joined = df.join(counts, df[id_col].eqNullSafe(F.col(key)))
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*df.columns)

@@ -11,26 +11,19 @@ from pyspark.sql import functions as F
 
 from rooftally.llm.text import SPACE, WORD, bind, word_count, words_by
 
-SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture, matched in lower case.
+#: Phrases of page furniture, in lower case, in English, German, French and Spanish.
 BOILERPLATE = (
-    "all rights reserved",
-    "terms of use",
-    "terms of service",
-    "privacy policy",
-    "cookie policy",
-    "accept cookies",
-    "click here",
-    "read more",
-    "sign up",
-    "log in",
-    "subscribe to our",
-    "share this",
-    "skip to content",
-    "enable javascript",
-    "lorem ipsum",
-    "licensed under",
-)
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "click here", "read more",
+    "sign up", "log in", "subscribe to our", "share this", "skip to content", "enable javascript", "lorem ipsum", "licensed under",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "weiterlesen", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "se connecter", "abonnez-vous", "aller au contenu",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aceptar cookies", "haga clic aquí", "leer más", "iniciar sesión", "suscríbete", "saltar al contenido",
+)
+#: Whole words only: in a longer word, as "log in" in "catalog index", there is no phrase. One for each so many words of a line, or more, make it furniture.
+FURNITURE = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(BOILERPLATE)})($|[^\p{{L}}\p{{N}}])"
+PER_WORDS = 8
+#: A line of fewer words needs punctuation at its end; a longer one without any punctuation inside fails from RUN_ON words on.
+STUB, RUN_ON = 3, 100
 #: Separators of menus and tables.
 NAVIGATION = r"\||»|›|•|·| > "
 
@@ -59,12 +52,17 @@ def repeated_words(words: Column, width: int = 8) -> Column:
 
 
 def failing_line(line: Column) -> Column:
-    """A rule on one line that has a word: navigation, symbols for punctuation, shouting marks, furniture, stubs."""
+    """A rule on one line that has a word: navigation, symbols for punctuation, furniture, punctuation that is missing.
+
+    Furniture is counted against the line's words, so a paragraph that holds a phrase stays.
+    """
     n = word_count(line)
     navigation = F.regexp_count(line, F.lit(NAVIGATION))
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>]|!!"))
-    stub = (n < 3) & ~F.rlike(line, F.lit(r"[.!?:;,…\"”»)\]][\x20\x09-\x0D]*$"))
-    return ((navigation >= 3) & (navigation * 4 >= n)) | ((marks >= 3) & (marks * 4 >= n)) | F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE))) | stub
+    stub = (n < STUB) & ~F.rlike(line, F.lit(r"[.!?:;,…\"”»)\]][\x20\x09-\x0D]*$"))
+    run_on = (n >= RUN_ON) & ~F.rlike(line, F.lit(r"[.!?:;,…。！？]"))
+    furniture = F.regexp_count(F.lower(line), F.lit(FURNITURE))
+    return ((navigation >= 3) & (navigation * 4 >= n)) | ((marks >= 3) & (marks * 4 >= n)) | ((furniture > 0) & (furniture * PER_WORDS >= n)) | stub | run_on
 
 
 def quality(df: DataFrame, id_col: str, text_col: str, min_words: int = 20, repeat_percent: int = 30, lost_percent: int = 50) -> DataFrame:
@@ -73,7 +71,7 @@ def quality(df: DataFrame, id_col: str, text_col: str, min_words: int = 20, repe
     A line with a word goes if a rule fails it, or if it equals an earlier line. A document is
     kept if the base doesn't fail it and its lines that stay hold over ``100 - lost_percent``
     of its word characters. Null and empty texts have no words, fail and have an empty clean
-    text. Rows are independent: repeated rows give equal rows, an empty table none.
+    text. Rows are independent: repeated rows give equal rows, an empty table none. Only id and text are read, so other columns can't clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))

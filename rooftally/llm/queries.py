@@ -47,7 +47,7 @@ def id_crc(id_col: str, n: int):
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", id_crc("_id", 5) != 0)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", id_crc("_id", 5) != 0, "lang")
     rows = toxicity.score(docs, "text", model, ["doc_id"])
     held = F.coalesce(id_crc("doc_id", 5) == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -120,10 +120,16 @@ r AS (SELECT k, sum(least(8, coalesce(j - i, 8))) AS n_repeat_words FROM (SELECT
 l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 u AS (SELECT k, line, min(pos) AS pos, count(*) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line),
 v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '\||»|›|•|·| > ')) AS nav,
-        len(regexp_extract_all(line, '[#*$%&|<>]|!!')) AS marks FROM u),
+        len(regexp_extract_all(line, '[#*$%&|<>]|!!')) AS marks,
+        len(regexp_extract_all(lower(line), '(^|[^\pL\pN])('
+          || 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|accept cookies|click here|read more|sign up|log in|subscribe to our|share this|skip to content|enable javascript|lorem ipsum|licensed under'
+          || '|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|cookies akzeptieren|hier klicken|weiterlesen|jetzt anmelden|newsletter abonnieren|zum inhalt springen'
+          || '|tous droits réservés|conditions d''utilisation|politique de confidentialité|accepter les cookies|cliquez ici|lire la suite|se connecter|abonnez-vous|aller au contenu'
+          || '|todos los derechos reservados|términos de uso|política de privacidad|aceptar cookies|haga clic aquí|leer más|iniciar sesión|suscríbete|saltar al contenido'
+          || ')($|[^\pL\pN])')) AS furniture FROM u),
 f AS (SELECT *, (nav >= 3 AND nav * 4 >= n) OR (marks >= 3 AND marks * 4 >= n)
-        OR regexp_matches(lower(line), 'BOILERPLATE')
-        OR (n < 3 AND NOT regexp_matches(line, '[.!?:;,…"”»)\]][\x20\x09-\x0D]*$')) AS bad FROM v),
+        OR (furniture > 0 AND furniture * 8 >= n)
+        OR (n < 3 AND NOT regexp_matches(line, '[.!?:;,…"”»)\]][\x20\x09-\x0D]*$')) OR (n >= 100 AND NOT regexp_matches(line, '[.!?:;,…。！？]')) AS bad FROM v),
 s AS (SELECT k, sum(c) - count(*) AS dup, coalesce(sum(CASE WHEN NOT bad THEN length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) END), 0) AS stay FROM f GROUP BY k),
 a AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
@@ -134,7 +140,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND stay * 100 > word_chars * 50 AS kept
 FROM b
-""".replace("BOILERPLATE", "|".join(quality.BOILERPLATE))
+"""
 
 OP5_SQL = r"""
 WITH d AS (
@@ -158,33 +164,37 @@ FROM d LEFT JOIN hw USING (k) LEFT JOIN hi USING (k)
 
 
 
-def _op4_sql() -> str:
-    quoted = lambda p: "'" + p.replace("'", "''") + "'"
-    patterns = [quoted(p) for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)]
-    found = " UNION ALL ".join(f"SELECT k, {i} AS kind, regexp_extract_all(text, {p}, 0) AS v, regexp_split_to_array(text, {p}) AS g FROM d" for i, p in enumerate(patterns))
-    limit = "CASE " + " ".join(f"WHEN regexp_matches(value, {quoted(p)}) THEN {bits}" for _, p, bits in secrets.CLASSES) + " END"
-    allowed = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in secrets.ALLOWED)
-    names = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END"
-    listed = f"string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
-    n = secrets.RUN
-    return f"""
+#: Patterns are written out here once more, so that a slip in the operator's shows.
+OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
-f AS ({found}),
+p(kind, name) AS (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'entropy')),
+f AS (FOUND),
 s AS (SELECT k, kind, i, v[i] AS value, g[i] AS gap FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM f)),
-p AS (SELECT k, kind, i, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS stop FROM s),
-q AS (SELECT *, stop - length(value) AS start FROM p),
-base AS (SELECT * FROM q WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(value, {patterns[0]}, 2)) >= 6)),
-c AS (SELECT * FROM q WHERE kind = 3 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = q.k AND b.start <= q.start AND q.stop <= b.stop)),
-w AS (SELECT k, i, o, substr(value, o, {n}) AS win FROM (SELECT k, i, value, unnest(generate_series(1, length(value) - {n - 1})) AS o FROM c)),
-h AS (SELECT k, i, o, -sum(n / {n}.0E0 * log2(n / {n}.0E0)) AS bits FROM (SELECT k, i, o, ch, count(*) AS n FROM (SELECT k, i, o, unnest(string_split(win, '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL),
+o AS (SELECT k, kind, i, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS stop FROM s),
+q AS (SELECT *, stop - length(value) AS start FROM o),
+base AS (SELECT * FROM q WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(value, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 6)),
+c AS (SELECT * FROM q WHERE kind = 3
+  AND NOT regexp_matches(value, '^[0-9+/_=-]+$')
+  AND NOT regexp_matches(value, '^[+/_=-]*(([A-Z]?[a-z]{2,})+|[A-Z]+)([+/_=-]+(([A-Z]?[a-z]{2,})+|[A-Z]+))*[+/_=-]*$')
+  AND NOT regexp_matches(value, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+  AND NOT regexp_matches(value, '(?i)^(.*=)?[a-z_-]*(example|placeholder|changeme|dummy|sample|xxxx)[a-z_-]*[0-9]{0,4}$')
+  AND NOT regexp_matches(value, '(?i)^(.*=)?(0?123456789|abcdef(ghijkl(mnopqr(stuvwxyz)?)?)?|[+/_-])+[0-9a-f]{0,5}$')
+  AND NOT regexp_matches(value, '^(/?[a-z]+)+(/[a-z0-9_-]+)+/?$')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = q.k AND b.start <= q.start AND q.stop <= b.stop)),
+w AS (SELECT k, i, o, substr(value, o, 20) AS win FROM (SELECT k, i, value, unnest(generate_series(1, length(value) - 19)) AS o FROM c)),
+h AS (SELECT k, i, o, -sum(n / 20.0E0 * log2(n / 20.0E0)) AS bits FROM (SELECT k, i, o, ch, count(*) AS n FROM (SELECT k, i, o, unnest(string_split(win, '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL),
 m AS (SELECT k, i, max(bits) AS bits FROM h GROUP BY ALL),
-every_ AS (SELECT k, kind, start, stop FROM base UNION ALL SELECT c.k, c.kind, c.start, c.stop FROM c JOIN m USING (k, i) WHERE m.bits >= {limit}),
+every_ AS (SELECT k, kind, start, stop FROM base UNION ALL SELECT c.k, c.kind, c.start, c.stop FROM c JOIN m USING (k, i)
+  WHERE m.bits >= CASE WHEN regexp_matches(value, '^[0-9a-fA-F]+$') THEN 3.02 WHEN regexp_matches(value, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 3.62 ELSE 3.82 END),
 r AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
-  {listed} FILTER (WHERE kind < 3) AS base, {listed} AS spans FROM every_ GROUP BY k)
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM every_ JOIN p USING (kind) GROUP BY k)
 SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN r USING (k)"""
-
+FROM d LEFT JOIN r USING (k)""".replace("FOUND", " UNION ALL ".join(
+    f"SELECT k, {kind} AS kind, regexp_extract_all(text, {p}, 0) AS v, regexp_split_to_array(text, {p}) AS g FROM d"
+    for kind, p in enumerate((
+        r"""'(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", "'AKIA[A-Z0-9]{16,}'", "'[0-9a-f]{24,}'", "'[A-Za-z0-9+/_=-]{20,}'"))))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op4_secrets": _op4_sql(), "op5_decontaminate": OP5_SQL}
+    return {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op4_secrets": OP4_SQL, "op5_decontaminate": OP5_SQL}

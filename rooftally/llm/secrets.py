@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rooftally.llm.text import bind
+from rooftally.llm.text import bind, running
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -32,36 +32,60 @@ CLASSES = (
     ("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", 3.62),
     ("base64", r"^[0-9A-Za-z+/_=-]+$", 3.82),
 )
-#: What is random-looking but public. Digits alone, uuids, one repeated or rising run, placeholders, paths.
+#: What looks random and is public. Digits alone; words (lower case, capitalised, camel case or upper case) with
+#: separators; uuids; values, taken after the last "=", that are a placeholder's name with letters and four digits at most around it,
+#: one character repeated, or rising runs; paths of words.
 ALLOWED = (
     r"^[0-9+/_=-]+$",
-    r"^[A-Za-z+/_=-]+$",
+    r"^[+/_=-]*(([A-Z]?[a-z]{2,})+|[A-Z]+)([+/_=-]+(([A-Z]?[a-z]{2,})+|[A-Z]+))*[+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh",
+    r"(?i)^(.*=)?[a-z_-]*(example|placeholder|changeme|dummy|sample|xxxx)[a-z_-]*[0-9]{0,4}$",
+    r"(?i)^(.*=)?(0?123456789|abcdef(ghijkl(mnopqr(stuvwxyz)?)?)?|[+/_-])+[0-9a-f]{0,5}$",
     r"^(/?[a-z]+)+(/[a-z0-9_-]+)+/?$",
 )
+_MATCH = "struct<start:bigint,end:bigint,kind:int,value:string>"
 
 
 def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start, end, kind, value>> of the matches, leftmost first, without overlap; places in code points."""
 
-    def alternate(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>").alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        lengths = F.zip_with(gaps, found, lambda g, v: (F.char_length(g) + F.char_length(v)).cast("long"))
 
-        def step(state: Column, pair: Column) -> Column:
-            first = state["at"] + F.char_length(pair["gap"])
-            last = first + F.char_length(pair["value"])
-            return F.struct(last.alias("at"), F.concat(state["out"], F.array(F.struct(first.alias("start"), last.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), pair["value"].alias("value")))).alias("out"))
+        def at(pair: Column) -> Column:
+            first = pair["before"] + F.char_length(pair["gap"])
+            return F.struct(first.alias("start"), (first + F.char_length(pair["value"])).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), pair["value"].alias("value"))
 
-        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        return F.aggregate(pairs, start, step, lambda s: s["out"])
+        pairs = F.zip_with(F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), running(lengths, lambda a, x: a + x, F.lit(0).cast("long")),
+            lambda p, b: F.struct(p["value"].alias("value"), p["gap"].alias("gap"), b.alias("before")))
+        return F.transform(pairs, at)
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>")
-    found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) == 0, none).otherwise(alternate(f)))
+    none = F.array().cast(f"array<{_MATCH}>")
+    found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) == 0, none).otherwise(placed(f)))
     return found if keep is None else F.filter(found, lambda m: keep(m["value"]))
 
 
+def outside(base: Column, more: Column) -> Column:
+    """The matches of ``more`` that don't lie inside one of ``base``. In one order of both, what holds a match begins before it and ends no earlier than it."""
+    as_span = lambda own: lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), F.lit(int(own)).alias("own"), m.alias("m"))
+    ordered = F.array_sort(F.concat(F.transform(base, as_span(False)), F.transform(more, as_span(True))))
+
+    def of(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: F.when(s["own"] == 0, -s["back"]).otherwise(F.lit(-1).cast("long")))
+        reach = running(ends, lambda a, x: F.greatest(a, x), F.lit(-1).cast("long"))
+        told = F.zip_with(spans, reach, lambda s, r: F.when((s["own"] == 1) & (r < s["m"]["end"]), s["m"]))
+        return F.filter(told, lambda m: m.isNotNull())
+
+    return F.when(F.size(base) == 0, more).when(F.size(more) == 0, more).otherwise(bind(ordered, of))
+
+
+def by_start(spans: Column) -> Column:
+    """Spans by start, then kind."""
+    keyed = F.array_sort(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["value"].alias("value"))))
+    return F.transform(keyed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value")))
+
+
 def _clog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
@@ -104,15 +128,15 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Kinds: assign (value of 6 characters or more after a key word), access (key ids), hex (24
     digits or more), entropy (candidates above their class's bits that no allow rule holds
-    and that aren't inside a base span). Null texts are empty; texts without matches have empty arrays.
+    and that aren't inside a base span). Null texts are empty; texts without matches have empty arrays. Rows are
+    independent: repeated ones give equal rows, an empty table none. Only id and text are read, so other columns can't clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
     t = F.col("text")
     long_value = lambda v: F.char_length(F.regexp_extract(v, ASSIGN, 2)) >= 6
-    rows = rows.select("id", F.array_sort(F.concat(matches(t, ASSIGN, "assign", long_value), matches(t, ACCESS, "access"), matches(t, HEX, "hex"))).alias("base"), matches(t, CANDIDATE, "entropy", flagged).alias("more"))
-    outside = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return rows.select("id", "base", F.array_sort(F.concat(F.col("base"), outside)).alias("spans"))
+    rows = rows.select("id", by_start(F.concat(matches(t, ASSIGN, "assign", long_value), matches(t, ACCESS, "access"), matches(t, HEX, "hex"))).alias("base"), matches(t, CANDIDATE, "entropy", flagged).alias("more"))
+    return rows.select("id", "base", by_start(F.concat(F.col("base"), outside(F.col("base"), F.col("more")))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -122,14 +146,17 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(df: DataFrame, text_col: str, spans: str, mark: str = "[secret]") -> DataFrame:
-    """``df`` with its spans' characters replaced by ``mark``; overlapping spans merge into one mark."""
+    """``df`` with its spans' characters replaced by ``mark``; overlapping spans merge into one mark. Null texts become empty.
+
+    ``spans`` are by start. What lies between them is cut out piece by piece and joined once. Columns keep their names, whatever they are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        gap = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(m["start"] - s["at"], F.lit(0)).cast("int"))
-        fresh = F.when((m["start"] < s["at"]), F.lit("")).otherwise(F.lit(mark))
-        return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.concat(s["out"], gap, fresh).alias("out"))
+    def of(found: Column) -> Column:
+        reach = running(F.transform(found, lambda m: m["end"]), lambda a, x: F.greatest(a, x), F.lit(0).cast("long"))
+        piece = lambda a, n: F.substr(text, (a + 1).cast("int"), n.cast("int"))
+        head = F.zip_with(found, reach, lambda m, r: F.when(m["start"] < r, F.lit("")).otherwise(F.concat(piece(r, m["start"] - r), F.lit(mark))))
+        last = F.aggregate(found, F.lit(0).cast("long"), lambda a, m: F.greatest(a, m["end"]))
+        return F.concat(F.array_join(head, ""), piece(last, F.char_length(text)))
 
-    clean = F.aggregate(F.col(spans), start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.char_length(text))))
-    return df.withColumn(text_col, clean)
+    return df.withColumn(text_col, F.when(F.size(spans) == 0, text).otherwise(bind(F.col(spans), of)))

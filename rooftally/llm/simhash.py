@@ -10,7 +10,9 @@ Entries are compared in sorted runs, bit-sliced: plane b holds bit b of all rows
 differing bits of all pairs (i, i + d) at once; they're added with carry-save counters, and
 words of 64 pairs that are all above the radius are abandoned. Links leave a run as a
 spanning forest, never as all pairs. Entries of more than ``2 * BLOCK`` fingerprints are cut
-into blocks, and each two blocks meet in one task of bounded size.
+into blocks. First each block is compared with itself. An entry whose fingerprints are all in
+one component by then has nothing to add, as in a large group of near copies; in the others
+each two blocks meet in one task of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rooftally.llm.text import without
+from rooftally.functions.session import cut
+from rooftally.llm.text import BROADCAST_KEYS, fresh, join_skewed, without
 from rooftally.operators.graph import components
 
 #: Fingerprints of a block of a large entry.
@@ -178,8 +181,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).any(axis=1))))
-            # a split entry is met under several keys; a row alone needs no comparison
+            group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).any(axis=1))))  # a split entry is met under several keys
             rows, roots = forest(len(fps), links_of(fps.view(np.uint64), group, radius))
             return pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(fps[roots])], ["a", "b"])
 
@@ -205,15 +207,46 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
     listed = fps.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in every])).alias("t", "mask"))
     listed = listed.select(F.col("t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     large = listed.groupBy("t", "key").count().where(F.col("count") > 2 * BLOCK).select(F.col("t"), F.col("key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")).persist()
-    hint = F.broadcast if large.count() <= BROADCAST_ENTRIES else lambda x: x
+    many = large.count()
+    hint = F.broadcast if many <= BROADCAST_ENTRIES else lambda x: x
     dealt = listed.join(hint(large), ["t", "key"], "left")
     mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks"))
+    found = _compared(dealt.select("t", "key", F.coalesce(mine, F.lit(0)).cast("long").alias("meet"), "fp"), radius)
+    if not many:
+        return found
+    found = cut(found)
+    labels = components(found, "a", "b").withColumnRenamed("node", "fp")
+    inside = listed.join(hint(large), ["t", "key"]).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    open_ = inside.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "key").persist()
+    hint = F.broadcast if open_.count() <= BROADCAST_ENTRIES else lambda x: x
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != mine)
     meets = F.transform(others, lambda o: F.least(o.cast("long"), mine) * F.col("blocks") + F.greatest(o.cast("long"), mine))
-    dealt = dealt.select("t", "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("meet"), "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "t", "key", "meet").sortWithinPartitions("t", "key", "meet", "fp")
-    return dealt.mapInArrow(_compare(radius), "a bigint, b bigint")
+    left = inside.join(hint(open_), ["t", "key"], "left_semi").select("t", "key", F.explode(meets).alias("meet"), "fp")
+    return found.unionByName(_compared(left, radius))
+
+
+def _compared(dealt: DataFrame, radius: int) -> DataFrame:
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "t", "key", "meet").sortWithinPartitions("t", "key", "meet", "fp").mapInArrow(_compare(radius), "a bigint, b bigint")
+
+
+def lowest_of(distinct: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """``distinct`` (fp, low, …) with the least ``low`` of the component in place of its own, under the names of ``low``'s fields, if it has any.
+
+    labels: (node, label) of the fingerprints with a link; the others are on their own. A component of a third of
+    all fingerprints is one row of what is joined: it is broadcast while counted short, else dealt out in copies by salt.
+    """
+    linked = labels.withColumnRenamed("node", "fp").join(distinct, "fp").persist()
+    least = linked.groupBy("label").agg(F.min("low").alias("least"))
+    if least.count() <= BROADCAST_KEYS:
+        told = linked.join(F.broadcast(least), "label")
+    else:
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        told = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(32)).cast("int")).join(salted, ["label", "salt"])
+    lone = distinct.join(labels, F.col("fp") == F.col("node"), "left_anti").withColumn("least", F.col("low"))
+    rest = [c for c in distinct.columns if c not in ("fp", "low")]
+    rows = told.select("fp", "least", *rest, F.lit(True).alias("linked")).unionByName(lone.select("fp", "least", *rest, F.lit(False).alias("linked")))
+    return rows.select("fp", *([F.col("least").alias(names[0])] if len(names) == 1 else [F.col(f"least.{x}").alias(x) for x in names]), *rest, "linked")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 4, radius: int = 4) -> DataFrame:
@@ -221,35 +254,42 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 4, radiu
 
     Ids that are null never name a component unless no other id is in it. Copies and
     repeated rows have one fingerprint and so one component. Null, empty and blank texts
-    have fingerprint 0, linked like any other. An empty table gives no rows.
+    have fingerprint 0, linked like any other. An empty table gives no rows. Only id and text
+    are read, so other columns can't clash.
     """
     rows = fingerprints(df, id_col, text_col, k).persist()
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("low")).persist()
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")).persist()
     labels = components(links(distinct.select("fp"), radius, distinct.count()), "a", "b")
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = lowest_of(distinct, labels, ["component_id"]).drop("linked").persist()
+    return join_skewed(rows, named, "fp", "n").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_documents(df: DataFrame, id_col: str, text_col: str, k: int = 4, radius: int = 4) -> DataFrame:
-    """``df`` with one row of each component: that with the smallest id, once if rows repeat it.
+    """``df`` with one row of each component, as `one_of_each` chooses it."""
+    both = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    rows = cut(fingerprints(df.select(both.alias("both"), F.col(text_col).alias("text")), "both", "text", k).select("id.id", "id.text_hash", "fp"))
+    distinct = rows.select("fp").distinct().persist()
+    return one_of_each(df, rows, components(links(distinct, radius, distinct.count()), "a", "b"), id_col, text_col)
 
-    Rows with a null id go if their component has an id; else one row of each text stays.
-    """
-    return one_of_each(df, near_duplicates(df, id_col, text_col, k, radius), id_col, text_col)
 
+def one_of_each(df: DataFrame, rows: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each component: of those with the smallest id, the one of the smallest text hash.
 
-def one_of_each(df: DataFrame, components_of: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with one row of each component; components_of: (id, component_id), a row per row of ``df``."""
-    rows = components_of.select(F.col("id").alias("_id"), "component_id").persist()
-    stays = F.col("_id").eqNullSafe(F.col("component_id"))
-    kept = without(df, rows.where(~stays & F.col("_id").isNotNull()).select("_id").distinct(), [F.col(id_col)])
-    again = rows.where(stays).groupBy("_id").count().where("count > 1").select("_id").persist()
-    if again.isEmpty() and rows.where("_id is null").isEmpty():
+    rows: (id, text_hash, fp) of each row of ``df``; labels: (node, label) of the fps with a link. A null id is
+    larger than all others, so it stays only where a component has nothing else, once. A row is told by id and
+    text, so a text stays though its id is met elsewhere with another one; rows that repeat both stay once.
+    ``df`` may have any columns; an empty one gives no rows.
+    """
+    who = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("text_hash"))
+    distinct = rows.groupBy("fp").agg(F.min(who).alias("low"), F.count("*").alias("n")).persist()
+    named = lowest_of(distinct, labels, ["nameless", "id", "text_hash"]).where("n > 1 or linked")
+    several = named.select("fp", F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash"), "n").persist()
+    met = join_skewed(rows, several, "fp", "n").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash"))).persist()
+    kept = without(df, met.where("not stays").select("id", "text_hash").distinct(), [df[id_col], F.xxhash64(df[text_col])])
+    again = met.where("stays").groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash").persist()
+    if again.isEmpty():
         return kept
-    lone = rows.where("_id is null and component_id is null").isEmpty()
-    once = without(kept.where(F.col(id_col).isNotNull()), again, [F.col(id_col)])
-    repeated = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    nameless = kept.where(F.col(id_col).isNull() & F.lit(not lone)).dropDuplicates([text_col])
-    return once.unionByName(repeated).unionByName(nameless)
+    a, b = fresh(df.columns, "_id", "_hash")
+    same = kept[id_col].eqNullSafe(F.col(a)) & F.xxhash64(kept[text_col]).eqNullSafe(F.col(b))
+    keys = again.toDF(a, b)
+    return without(kept, again, [kept[id_col], F.xxhash64(kept[text_col])]).unionByName(kept.join(keys, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -33,6 +33,8 @@ from rooftally.llm.text import shared_dir
 PIECES = 800_000
 #: Rows of the table of parts up to which it is broadcast.
 BROADCAST_PARTS = 50_000
+#: Bytes of text that a part holds, about, so that parts are many, not large, when the input grows.
+PART_BYTES = 64 << 20
 #: Bytes of text in one call of the tokenizer's batch.
 _BATCH = 1 << 20
 #: White space of the pre-tokenizer besides the blank and the line end.
@@ -137,13 +139,16 @@ def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, out: s
     """Writes ORC files to ``out``, which must be in a store that all executors share.
 
     Null texts are empty and have the end id alone. Rows of equal ids are in the order of
-    their texts, null ids first. An empty table gives files without rows.
+    their texts, null ids first. Parts are cut by id and the text's first characters, so rows of one id can be in
+    several; rows that repeat both are in one. An empty table gives files without rows. Other columns aren't read.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(parts, F.col("id"), F.substring("text", 1, 16)).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,7 +180,10 @@ def look_up(spark: SparkSession, out: str, doc_id) -> DataFrame:
 
 
 def digest(spark: SparkSession, out: str) -> DataFrame:
-    """From the files: doc_id, start (ids before it), n_tokens, ids_crc32 (of little-endian 32 bits)."""
+    """From the files: doc_id, start (ids before it), n_tokens, ids_crc32 (of little-endian 32 bits).
+
+    A row for each row written, repeated ones too; files without rows give none.
+    """
     files = spark.read.orc(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
