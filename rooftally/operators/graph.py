@@ -1,13 +1,15 @@
 """Graph steps over edge tables: components, greedy matching, suppression, merging.
 
 Greedy orders are run as rounds that give what the one-by-one order would: each round settles
-what can't be changed by anything still open. Rounds are few, as chains of priorities are
-local; each is cut in the shared folder, so a lost executor costs a round at most.
+what can't be changed by anything still open, and is cut in the shared folder, so a lost executor costs
+a round at most. Chains of priorities are mostly local and settled by a few rounds. A long chain, such as a
+row of boxes with one score, would take a round a box: what is open by then is gone through in order,
+component by component, inside tasks of bounded size. Only components larger than that go on in rounds. There is no limit on rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rooftally.functions.session import cut
@@ -48,67 +50,159 @@ def with_component(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str
     return nodes.join(labels.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("label", node)).drop("label")
 
 
-def greedy_match(edges: DataFrame, keys: list[str], a: str, b: str, order: list[Column], max_rounds: int = 100) -> DataFrame:
-    """Edges that the greedy one-to-one matching takes, going through them by ``order`` (a total order inside keys).
+#: Rounds of joins before the rest is folded component by component; edges of a component up to which one task folds it; edges of a group of such components.
+ROUNDS, FOLD, GROUP = 5, 200_000, 20_000
+
+
+def foldable(edges: DataFrame, u: Column, v: Column) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (ends ``u`` and ``v``, whole numbers) with ``_group``, for folding in order group by group; and those of components of over FOLD edges.
+
+    A group holds whole components, so what happens in it depends on nothing else, and FOLD + about GROUP edges at most.
+    """
+    tagged = cut(edges.withColumns({"_u": u, "_v": v}))
+    labels = components(tagged, "_u", "_v")
+    tagged = cut(tagged.join(labels.select(F.col("node").alias("_u"), F.col("label").alias("_label")), "_u").drop("_u", "_v"))
+    sizes = tagged.groupBy("_label").count()
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("count") > FOLD).select("_label")
+    group = F.pmod(F.xxhash64("_label"), F.lit(max(1, total // GROUP)))
+    return tagged.join(large, "_label", "left_anti").withColumn("_group", group).drop("_label"), tagged.join(large, "_label", "left_semi").drop("_label")
+
+
+def _end(side: str, keys: list[str], name: str) -> Column:
+    """A node's number; two nodes with one number only make a component larger."""
+    return F.xxhash64(F.lit(side), *keys, name)
+
+
+def greedy_match(edges: DataFrame, keys: list[str], a: str, b: str, order: list[Column]) -> DataFrame:
+    """Edges that the greedy one-to-one matching takes, going through them by ``order`` (ascending; a total order inside keys).
 
     An edge that comes first at both of its ends is taken whatever happens elsewhere; then its
-    ends are gone. Repeating that until no edge is left takes the same edges as going one by one.
+    ends are gone. Repeating that takes the same edges as going one by one. What a few rounds leave is folded in order,
+    a component in one task; rounds go on for components too large for one. Each round takes an edge at least.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    left = cut(edges.withColumn("_rank", rank))
+    left = cut(edges.withColumn("_rank", F.struct(*order)))
+    taken, left = _matched(left, keys, a, b, ROUNDS)
+    if left is not None:
+        small, large = foldable(left, _end("a", keys, a), _end("b", keys, b))
+        at = [*keys, a], [*keys, b]
+
+        def fold(pdf):
+            pdf = pdf.loc[_ranked(pdf)]
+            used_a, used_b, won = set(), set(), []
+            for x, y in zip(pdf[at[0]].itertuples(index=False, name=None), pdf[at[1]].itertuples(index=False, name=None)):
+                won.append(x not in used_a and y not in used_b)
+                if won[-1]:
+                    used_a.add(x)
+                    used_b.add(y)
+            return pdf.loc[won].drop(columns=["_rank", "_group"])
+
+        taken = taken.unionByName(cut(small.groupBy("_group").applyInPandas(fold, edges.schema)))
+        if not large.isEmpty():
+            taken = taken.unionByName(_matched(cut(large), keys, a, b)[0])
+    return taken
+
+
+def _ranked(pdf):
+    """The index of ``pdf`` by its column of structs ``_rank``."""
+    return sorted(pdf.index, key=lambda i: tuple(pdf.at[i, "_rank"].values()))
+
+
+def _matched(left: DataFrame, keys: list[str], a: str, b: str, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(taken, what is open after so many rounds, None if nothing is)."""
     taken = None
-    for _ in range(max_rounds):
-        best_a = F.min("_rank").over(Window.partitionBy(*keys, a))
-        best_b = F.min("_rank").over(Window.partitionBy(*keys, b))
-        marked = left.withColumns({"_a": best_a, "_b": best_b})
-        won = cut(marked.where("_rank = _a and _rank = _b").drop("_a", "_b"))
-        taken = won if taken is None else taken.unionByName(won)
+    while rounds is None or rounds > 0:
+        rounds = rounds if rounds is None else rounds - 1
+        row = F.struct("_rank", *[c for c in left.columns if c not in (*keys, "_rank")])
+        best_a = left.groupBy(*keys, a).agg(F.min(row).alias("m")).select(*keys, "m.*")
+        best_b = left.groupBy(*keys, b).agg(F.min("_rank").alias("_rank"))
+        won = cut(best_a.join(best_b, [*keys, b, "_rank"]).select(*left.columns))
+        taken = won.drop("_rank") if taken is None else taken.unionByName(won.drop("_rank"))
         left = cut(left.join(won.select(*keys, a), [*keys, a], "left_anti").join(won.select(*keys, b), [*keys, b], "left_anti"))
         if left.isEmpty():
-            return taken.drop("_rank")
-    raise RuntimeError(f"matching didn't settle in {max_rounds} rounds")
+            return taken, None
+    return taken, left
 
 
-def priority_keep(nodes: DataFrame, conflicts: DataFrame, node: str, high: str, low: str, max_rounds: int = 100) -> DataFrame:
-    """Nodes that greedy suppression keeps. ``conflicts``: (high, low), where high comes before low.
+def priority_keep(nodes: DataFrame, conflicts: DataFrame, node: str, high: str, low: str, order: list[Column]) -> DataFrame:
+    """Nodes that greedy suppression keeps. ``conflicts``: pairs, where high comes before low by ``order`` (ascending, of high; total).
 
-    A node goes if a node that stays comes before it; it stays once all before it are gone.
+    A node goes if a node that stays comes before it; it stays once all before it are gone. Rounds, then folds, as in `greedy_match`.
     """
-    open_ = cut(nodes.select(F.col(node).alias("_n")))
-    edges = cut(conflicts.select(F.col(high).alias("_h"), F.col(low).alias("_l")).distinct())
-    kept = None
-    for _ in range(max_rounds):
-        stays = cut(open_.join(edges.select(F.col("_l").alias("_n")), "_n", "left_anti"))
-        kept = stays if kept is None else kept.unionByName(stays)
-        gone = cut(edges.join(stays.withColumnRenamed("_n", "_h"), "_h", "left_semi").select(F.col("_l").alias("_n")).distinct())
-        settled = stays.unionByName(gone)
-        open_ = cut(open_.join(settled, "_n", "left_anti"))
-        edges = cut(edges.join(settled.withColumnRenamed("_n", "_h"), "_h", "left_anti").join(settled.withColumnRenamed("_n", "_l"), "_l", "left_anti"))
-        if open_.isEmpty():
-            return nodes.join(kept.withColumnRenamed("_n", node), node, "left_semi")
-    raise RuntimeError(f"suppression didn't settle in {max_rounds} rounds")
-
-
-def merge_match(cover: DataFrame, members: DataFrame, keys: list[str], gt: str, pred: str, order: list[Column], max_rounds: int = 100) -> DataFrame:
+    edges = cut(conflicts.select(F.col(high).alias("_h"), F.col(low).alias("_l"), F.struct(*order).alias("_rank")).dropDuplicates(["_h", "_l"]))
+    gone, edges = _suppressed(edges, ROUNDS)
+    if edges is not None:
+        small, large = foldable(edges, F.col("_h"), F.col("_l"))
+
+        def fold(pdf):
+            pdf = pdf.loc[_ranked(pdf)]
+            out = set()
+            for h, x in zip(pdf["_h"], pdf["_l"]):
+                if h not in out:
+                    out.add(x)
+            return pdf[["_l"]].drop_duplicates().loc[lambda d: d["_l"].isin(out)].rename(columns={"_l": "_n"})
+
+        gone = gone.unionByName(cut(small.groupBy("_group").applyInPandas(fold, gone.schema)))
+        if not large.isEmpty():
+            gone = gone.unionByName(_suppressed(cut(large))[0])
+    return nodes.join(gone.withColumnRenamed("_n", node), node, "left_anti")
+
+
+def _suppressed(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    gone = edges.select(F.col("_l").alias("_n")).limit(0)
+    while rounds is None or rounds > 0:
+        rounds = rounds if rounds is None else rounds - 1
+        first = edges.select("_h").distinct().join(edges.select(F.col("_l").alias("_h")), "_h", "left_anti")
+        out = cut(edges.join(first, "_h", "left_semi").select(F.col("_l").alias("_n")).distinct())
+        gone = gone.unionByName(out)
+        edges = cut(edges.join(out.withColumnRenamed("_n", "_h"), "_h", "left_anti").join(out.withColumnRenamed("_n", "_l"), "_l", "left_anti"))
+        if edges.isEmpty():
+            return gone, None
+    return gone, edges
+
+
+def merge_match(cover: DataFrame, members: DataFrame, keys: list[str], gt: str, pred: str, order: list[Column]) -> DataFrame:
     """Ground truth that the many-to-one matching accepts. cover: a row per candidate; members: its predictions.
 
-    By ``order``, a candidate is accepted if one of its predictions is free, and then takes all
-    of them. A candidate is settled once all before it that share a prediction are.
+    By ``order`` (ascending), a candidate is accepted if one of its predictions is free, and then takes all
+    of them. A candidate is settled once all before it that share a prediction are. Rounds, then folds, as in `greedy_match`.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = cut(cover.withColumn("_rank", rank))
-    links = cut(members.join(ranked.select(*keys, gt, "_rank"), [*keys, gt]))  # (keys, gt, pred, _rank)
-    taken = accepted = None
-    for _ in range(max_rounds):
-        first = F.min("_rank").over(Window.partitionBy(*keys, pred))
-        ready = links.withColumn("_first", first).groupBy(*keys, gt).agg(F.min((F.col("_rank") == F.col("_first")).cast("int")).alias("ready"))
-        now = cut(links.join(ready.where("ready = 1").select(*keys, gt), [*keys, gt], "left_semi"))
-        free = now if taken is None else now.join(taken, [*keys, pred], "left_anti")
-        won = cut(free.select(*keys, gt).distinct())
-        accepted = won if accepted is None else accepted.unionByName(won)
-        new = now.join(won, [*keys, gt], "left_semi").select(*keys, pred).distinct()
-        taken = cut(new if taken is None else taken.unionByName(new).distinct())
+    ranked = cut(cover.withColumn("_rank", F.struct(*order)))
+    links = cut(members.select(*keys, gt, pred).join(ranked.select(*keys, gt, "_rank"), [*keys, gt]))
+    accepted, taken, links = _merged(links, keys, gt, pred, ROUNDS)
+    if links is not None:
+        free = links.join(taken.withColumn("_taken", F.lit(True)), [*keys, pred], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+        small, large = foldable(free, _end("a", keys, gt), _end("b", keys, pred))
+
+        def fold(pdf):
+            pdf = pdf.loc[_ranked(pdf)]
+            used = {p for p, t in zip(pdf[[*keys, pred]].itertuples(index=False, name=None), pdf["_taken"]) if t}
+            won = []
+            for who, rows in pdf.groupby([*keys, gt], sort=False):
+                own = set(rows[[*keys, pred]].itertuples(index=False, name=None))
+                if own - used:
+                    won.append(who)
+                    used |= own
+            return pdf[[*keys, gt]].drop_duplicates().loc[lambda d: [x in set(won) for x in d.itertuples(index=False, name=None)]]
+
+        accepted = accepted.unionByName(cut(small.groupBy("_group").applyInPandas(fold, accepted.schema)))
+        if not large.isEmpty():
+            accepted = accepted.unionByName(_merged(cut(large.drop("_taken")), keys, gt, pred, taken=taken)[0])
+    return ranked.join(accepted, [*keys, gt], "left_semi").drop("_rank")
+
+
+def _merged(links: DataFrame, keys: list[str], gt: str, pred: str, rounds: int | None = None, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    accepted = links.select(*keys, gt).limit(0)
+    taken = links.select(*keys, pred).limit(0) if taken is None else taken
+    while rounds is None or rounds > 0:
+        rounds = rounds if rounds is None else rounds - 1
+        first = links.groupBy(*keys, pred).agg(F.min("_rank").alias("_first"))
+        ready = links.join(first, [*keys, pred]).groupBy(*keys, gt).agg(F.every(F.col("_rank") == F.col("_first")).alias("ready")).where("ready").drop("ready")
+        now = cut(links.join(ready, [*keys, gt], "left_semi"))
+        won = cut(now.join(taken, [*keys, pred], "left_anti").select(*keys, gt).distinct())
+        accepted = accepted.unionByName(won)
+        taken = cut(taken.unionByName(now.join(won, [*keys, gt], "left_semi").select(*keys, pred)).distinct())
         links = cut(links.join(now.select(*keys, gt).distinct(), [*keys, gt], "left_anti"))
         if links.isEmpty():
-            return ranked.join(accepted, [*keys, gt], "left_semi").drop("_rank")
-    raise RuntimeError(f"matching didn't settle in {max_rounds} rounds")
+            return accepted, taken, None
+    return accepted, taken, links

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rooftally.functions.session import cut
 from rooftally.operators import graph
 from rooftally.operators.spatial import box_join, cover_by_union, overlaps, union_area
 
@@ -14,17 +15,16 @@ from rooftally.operators.spatial import box_join, cover_by_union, overlaps, unio
 def match_strict(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.3) -> DataFrame:
     """One-to-one by IoU, at or above ``iou``; ties by gt_id, then poly_id. (keys, gt_id, poly_id, iou)"""
     edges = overlaps(g, p, keys).where(F.col("iou") >= iou).select(*keys, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
-    return graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.desc("iou"), F.asc("gt_id"), F.asc("poly_id")])
+    return graph.greedy_match(edges, keys, "gt_id", "poly_id", [-F.col("iou"), F.col("gt_id"), F.col("poly_id")])
 
 
 def match_by_confidence(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
     """Predictions by confidence take the free ground truth of the highest IoU. (keys, gt_id, poly_id, iou)
 
-    As rounds: an edge is taken when its prediction is the first that still wants its ground truth
-    and the ground truth is the prediction's best free one.
+    As edges: by confidence, then by IoU, an edge is taken if both of its ends are free.
     """
     edges = overlaps(p, g, keys).where(F.col("iou") >= iou).select(*keys, "poly_id", F.col("b_gt_id").alias("gt_id"), "iou", "confidence")
-    return graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.desc("confidence"), F.asc("poly_id"), F.desc("iou"), F.asc("gt_id")]).drop("confidence")
+    return graph.greedy_match(edges, keys, "gt_id", "poly_id", [-F.col("confidence"), F.col("poly_id"), -F.col("iou"), F.col("gt_id")]).drop("confidence")
 
 
 def match_merged(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.3) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def match_merged(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.3)
     cover = whole.join(inside, [*keys, "gt_id"]).join(g.select(*keys, "gt_id", "area"), [*keys, "gt_id"])
     cover = cover.withColumn("iou", F.col("covered") / (F.col("union_area") + F.col("area") - F.col("covered"))).where(F.col("iou") >= iou)
     members = near.select(*keys, "gt_id", "poly_id")
-    accepted = graph.merge_match(cover.select(*keys, "gt_id", "iou"), members, keys, "gt_id", "poly_id", [F.desc("iou"), F.asc("gt_id")])
+    accepted = graph.merge_match(cover.select(*keys, "gt_id", "iou"), members, keys, "gt_id", "poly_id", [-F.col("iou"), F.col("gt_id")])
     return accepted, members.join(accepted.select(*keys, "gt_id"), [*keys, "gt_id"], "left_semi")
 
 
@@ -83,45 +83,54 @@ def nms_score(p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
     """Keeps boxes by confidence (ties by poly_id) unless their IoU with a kept one is above ``iou``."""
     pairs = conflicts(p.select(*keys, "poly_id", "area", "confidence", "x0", "y0", "x1", "y1"), keys, iou)
     first = F.col("confidence") >= F.col("b_confidence")
-    edges = pairs.select(F.when(first, F.col("poly_id")).otherwise(F.col("b_poly_id")).alias("h"), F.when(first, F.col("b_poly_id")).otherwise(F.col("poly_id")).alias("l"))
-    return graph.priority_keep(p, edges, "poly_id", "h", "l")
+    ends = [F.struct(F.col(f"{x}poly_id").alias("id"), F.col(f"{x}confidence").alias("c")) for x in ("", "b_")]
+    edges = pairs.select(F.when(first, ends[0]).otherwise(ends[1]).alias("h"), F.when(first, ends[1]["id"]).otherwise(ends[0]["id"]).alias("l"))
+    edges = edges.select(F.col("h.id").alias("h"), "l", F.col("h.c").alias("c"))
+    return graph.priority_keep(p, edges, "poly_id", "h", "l", [-F.col("c"), F.col("h")])
 
 
 def nms_area(p: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
     """In row order the smaller box of a pair above ``iou`` goes; a box that goes stops looking, its earlier victims stay gone.
 
     The outcome depends on the order inside a component of overlapping boxes alone, so components
-    are folded in order, some thousands of pairs at a time, with their pairs already found.
+    are folded in order, some thousands of pairs at a time, with their pairs already found; components too large for a task go in rounds.
     """
-    import pandas as pd
-
-    pairs = conflicts(p.select(*keys, "poly_id", "area", "x0", "y0", "x1", "y1"), keys, iou).select("poly_id", "area", "b_poly_id", "b_area")
-    labels = graph.components(pairs, "poly_id", "b_poly_id")
-    groups = max(1, labels.count() // 20_000)
-    grouped = pairs.join(labels.withColumnRenamed("node", "poly_id"), "poly_id").withColumn("group", F.pmod(F.xxhash64("label"), F.lit(groups)))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int, int]]] = {}
-        for i, ai, j, aj in sorted(zip(pdf.poly_id, pdf.area, pdf.b_poly_id, pdf.b_area)):
-            near.setdefault(i, []).append((j, ai, aj))
-        gone: set[int] = set()
-        for i in sorted(near):
-            if i in gone:
-                continue
-            for j, ai, aj in near[i]:
-                if j in gone:
-                    continue
-                if ai >= aj:
-                    gone.add(j)
-                else:
-                    gone.add(i)
+    pairs = conflicts(p.select(*keys, "poly_id", "area", "x0", "y0", "x1", "y1"), keys, iou).select(F.col("poly_id").alias("i"), F.col("b_poly_id").alias("j"), (F.col("area") >= F.col("b_area")).alias("larger"))
+    small, large = graph.foldable(pairs, F.col("i"), F.col("j"))
+
+    def fold(pdf):
+        pdf = pdf.sort_values(["i", "j"])
+        out = set()
+        for i, rows in pdf.groupby("i", sort=False):
+            for j, larger in zip(rows["j"], rows["larger"]):
+                if i in out:
                     break
-        return pd.DataFrame({"poly_id": pd.Series(sorted(gone), dtype="int64")})
+                if j not in out:
+                    out.add(j if larger else i)
+        return pdf[["i", "j"]].melt(value_name="poly_id")[["poly_id"]].drop_duplicates().loc[lambda d: d["poly_id"].isin(out)]
 
-    gone = grouped.groupBy("group").applyInPandas(fold, "poly_id long")
+    gone = cut(small.groupBy("_group").applyInPandas(fold, "poly_id long"))
+    if not large.isEmpty():
+        gone = gone.unionByName(_area_rounds(cut(large)))
     return p.join(gone, "poly_id", "left_anti")
 
 
+def _area_rounds(pairs: DataFrame) -> DataFrame:
+    """(poly_id) of the boxes that go. A box looks once no earlier box may still touch it or anything that it touches."""
+    gone = pairs.select(F.col("i").alias("poly_id")).limit(0)
+    while not pairs.isEmpty():
+        first = pairs.groupBy("j").agg(F.min("i").alias("first"))
+        ready = pairs.join(first, "j").groupBy("i").agg(F.every(F.col("i") == F.col("first")).alias("ready")).where("ready").select("i")
+        ready = ready.join(first.select(F.col("j").alias("i")), "i", "left_anti")
+        looks = pairs.join(ready, "i", "left_semi").join(gone.withColumnRenamed("poly_id", "j"), "j", "left_anti")
+        looks = looks.join(gone.withColumnRenamed("poly_id", "i"), "i", "left_anti")
+        stops = looks.groupBy("i").agg(F.min(F.when(~F.col("larger"), F.col("j"))).alias("stop"))
+        victims = looks.join(stops, "i").where("stop is null or j < stop").select(F.col("j").alias("poly_id"))
+        gone = cut(gone.unionByName(victims).unionByName(stops.where("stop is not null").select(F.col("i").alias("poly_id"))).distinct())
+        pairs = cut(pairs.join(ready, "i", "left_anti"))
+    return gone
+
+
 def merge_groups(p: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per component of ``pairs``: its union's area, members, the values of its best member."""
     tagged = graph.with_component(p, pairs.select("poly_id", "b_poly_id"), "poly_id", "poly_id", "b_poly_id")

@@ -51,7 +51,7 @@ def h9_recall_by_size(spark, d):
     levels = F.explode(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7)]))
     keys = [*KEYS, "level"]
     edges = spatial.overlaps(g, p, KEYS).withColumn("level", levels).where("iou >= level").select(*keys, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
-    hit = graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.desc("iou"), F.asc("gt_id"), F.asc("poly_id")]).select("model_run", "gt_id", "level", F.lit(1).alias("hit"))
+    hit = graph.greedy_match(edges, keys, "gt_id", "poly_id", [-F.col("iou"), F.col("gt_id"), F.col("poly_id")]).select("model_run", "gt_id", "level", F.lit(1).alias("hit"))
     rows = g.select("model_run", "gt_id", _by_size().alias("size_class"), levels.alias("level")).join(hit, ["model_run", "gt_id", "level"], "left")
     return rows.groupBy("model_run", "size_class", "level").agg(F.count("*").alias("n_gt"), F.count("hit").alias("tp")).withColumn("recall", F.round(ratio("tp", "n_gt"), 6))
 
@@ -168,7 +168,7 @@ def f14_dedup_cross_grid(spark, d):
     dx, dy = ((F.col(f"{c}0") + F.col(f"{c}1") - F.col(f"b_{c}0") - F.col(f"b_{c}1")) / 2 for c in "xy")
     pairs = spatial.overlaps(reach, reach, []).where("grid_id <> b_grid_id and iou >= 0.3").where(dx * dx + dy * dy <= 22500)
     first = (F.col("area") > F.col("b_area")) | ((F.col("area") == F.col("b_area")) & (F.col("poly_id") < F.col("b_poly_id")))
-    kept = graph.priority_keep(p, pairs.where(first).select(F.col("poly_id").alias("h"), F.col("b_poly_id").alias("l")), "poly_id", "h", "l")
+    kept = graph.priority_keep(p, pairs.where(first).select(F.col("poly_id").alias("h"), F.col("b_poly_id").alias("l"), "area"), "poly_id", "h", "l", [-F.col("area"), F.col("h")])
     return kept.select("grid_id", "poly_id", F.row_number().over(Window.partitionBy("grid_id").orderBy("poly_id")).alias("new_no"))
 
 
@@ -178,7 +178,7 @@ def f17_stable_reindex(spark, d):
     keys = ["region", "grid_id"]
     old, new = view(spark, d, "ground_truth"), view(spark, d, "predictions").where("model_run = 'run_A'")
     edges = spatial.overlaps(old, new, keys).where("iou > 0.5").select(*keys, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
-    kept = graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.asc("gt_id"), F.desc("iou"), F.asc("poly_id")]).select("poly_id", F.col("gt_id").alias("old_id"))
+    kept = graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.col("gt_id"), -F.col("iou"), F.col("poly_id")]).select("poly_id", F.col("gt_id").alias("old_id"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("old_id").isNull(), "old_id", "poly_id"))
     return new.select(*keys, "poly_id").join(kept, "poly_id", "left").select(*keys, "poly_id", "old_id", place.alias("place"))
 
@@ -213,8 +213,8 @@ def j7_spaced_pick(spark, d):
     g = view(spark, d, "task_grid").select("region", "grid_id", "gx", "gy").join(score, "grid_id")
     boxes = g.withColumns({"x0": F.col("gx") * 10, "y0": F.col("gy") * 10, "x1": F.col("gx") * 10 + 1, "y1": F.col("gy") * 10 + 1})
     near = spatial.box_join(boxes, boxes, ["region"], margin=20, size=50).where("grid_id <> b_grid_id")
-    near = near.where("score > b_score or (score = b_score and grid_id < b_grid_id)").select(F.col("grid_id").alias("h"), F.col("b_grid_id").alias("l"))
-    return graph.priority_keep(g, near, "grid_id", "h", "l").select("region", "grid_id", "score")
+    near = near.where("score > b_score or (score = b_score and grid_id < b_grid_id)").select(F.col("grid_id").alias("h"), F.col("b_grid_id").alias("l"), "score")
+    return graph.priority_keep(g, near, "grid_id", "h", "l", [-F.col("score"), F.col("h")]).select("region", "grid_id", "score")
 
 
 _LATTICE = 1300

@@ -188,7 +188,7 @@ def h6_presence_metrics(spark, d):
     edges = spatial.overlaps(g, p.select(*KEYS, "poly_id", "area", *spatial.BOX), KEYS).select(*KEYS, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
     keys = [*KEYS, "threshold"]
     edges = stats.through_thresholds(edges, [0.1, 0.3, 0.5, 0.7], "iou")
-    won = graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.desc("iou"), F.asc("gt_id"), F.asc("poly_id")])
+    won = graph.greedy_match(edges, keys, "gt_id", "poly_id", [-F.col("iou"), F.col("gt_id"), F.col("poly_id")])
     per = ["region", "model_run", "threshold"]
     every = F.explode(F.array(*map(F.lit, [0.1, 0.3, 0.5, 0.7])))
     return matching.counts(g.withColumn("threshold", every), p.withColumn("threshold", every), per, won, won)

@@ -101,7 +101,7 @@ def test_furniture_in_long_paragraphs(spark):
     filler = " ".join(f"Sentence s{i} says something t{i} of its u{i} own, as v{i} one would w{i} expect." for i in range(30))
     texts = [
         f"{filler} The catalog includes a blog in print, a dialog in three acts and the spread more of it. Please read more books.",
-        f"{filler} A design upgrade will sign up new readers; privacy policy is a matter of law.\n{filler[:600]} and an end.",
+        f"{filler} A design upgrade will sign up new readers; privacy policy is a matter of law.\n{filler.replace('t', 'z')[:600]} and an end.",
         "\n".join(["Read more", "Cookies akzeptieren", "Tous droits réservés 2024"] * 9) + "\nshort.",
         " ".join(f"word{i}" for i in range(300)),
     ]

@@ -1,6 +1,7 @@
 """Round-based steps against the one-by-one loops that they stand for."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,53 @@ def test_components_of_a_long_path(spark):
     random.Random(2).shuffle(ids)
     got = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), "a", "b").collect()
     assert {r.node: r.label for r in got} == dict.fromkeys(ids, 0)
+
+
+def test_components_of_a_long_path_with_its_start_at_the_far_end(spark):
+    n = 5000
+    path = [0, *range(n, 0, -1)]
+    started, cuts = time.time(), []
+    kept = graph.cut
+    graph.cut = lambda df: cuts.append(1) or kept(df)
+    try:
+        got = graph.components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long"), "a", "b").collect()
+    finally:
+        graph.cut = kept
+    assert {r.label for r in got} == {0} and len(got) == n + 1
+    assert len(cuts) <= 2 + 2 * 20 and time.time() - started < 120  # two cuts a round
+
+
+@pytest.fixture(params=[(5, 200_000), (1, 200_000), (1, 0)], ids=["rounds", "folds", "rounds to the end"])
+def ways(request, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", request.param[0])
+    monkeypatch.setattr(graph, "FOLD", request.param[1])
+
+
+def test_all_ways_give_the_same(spark, ways):
+    g, p = boxes(60, 1, "gt_id"), boxes(140, 2, "poly_id")
+    sides = g, p, spark.createDataFrame(g), spark.createDataFrame(p)
+    test_strict_matching(sides)
+    test_matching_by_confidence(sides)
+    test_merged_matching(sides)
+    test_suppression(sides)
+
+
+def test_a_row_of_a_thousand_tied_boxes(spark):
+    row = [{"grid_id": 1, "poly_id": i, "x0": i * 10, "y0": 0, "x1": i * 10 + 16, "y1": 10, "area": 160, "confidence": 0.5} for i in range(1000)]
+    p = spark.createDataFrame(row)
+    assert {r.poly_id for r in matching.nms_score(p, KEYS, 0.2).collect()} == set(range(0, 1000, 2))
+    g = p.withColumnRenamed("poly_id", "gt_id").withColumn("x0", F.col("x0") + 3).withColumn("x1", F.col("x1") + 3)
+    assert {(r.gt_id, r.poly_id) for r in matching.match_strict(g, p, KEYS, 0.1).collect()} == {(i, i) for i in range(1000)}
+    accepted, _ = matching.match_merged(g, p, KEYS, 0.1)
+    free, want = set(range(1000)), set()
+    rows = []
+    for i in range(1000):
+        own = [j for j in range(1000) if j * 10 <= i * 10 + 19 and i * 10 + 3 <= j * 10 + 16]
+        whole = 10 * (max(own) * 10 + 16 - min(own) * 10)
+        inside = 10 * (min(max(own) * 10 + 16, i * 10 + 19) - max(min(own) * 10, i * 10 + 3))
+        rows.append((-inside / (whole + 160 - inside), i, own))
+    for v, i, own in sorted(rows, key=lambda r: r[:2]):
+        if -v >= 0.1 and free & set(own):
+            want.add(i)
+            free -= set(own)
+    assert {r.gt_id for r in accepted.collect()} == want
