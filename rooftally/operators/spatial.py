@@ -100,38 +100,75 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], id_col: str,
     return points.select(*keys, id_col).join(found, [*keys, id_col], "left")
 
 
-def union_area(df: DataFrame, keys: list[str], size: int = BUCKET) -> DataFrame:
-    """``union_area`` per key: boxes are cut at bucket edges, each bucket is cut into slabs at its boxes' x edges.
+def union_areas(df: DataFrame, keys: list[str], layers: dict[str, Column], size: int = BUCKET) -> DataFrame:
+    """Per key, the area of the union of the boxes for which a layer's condition holds, a column a layer; a key of ``df`` without any has 0.
 
-    In a slab the boxes, by lower edge, add what lies above the highest edge so far. Buckets are
-    disjoint, so their areas add up and a slab never meets more than its bucket's boxes.
+    Boxes are cut at bucket edges, so areas of buckets add up. The x edges in a bucket, at most size + 1 as they are
+    whole numbers, are an array beside each of its boxes, and a box is listed under the slabs that it covers: work
+    grows with the boxes of a bucket, never with their square. In a slab the boxes, by lower edge, add what lies above the
+    highest edge so far; a layer is one more running maximum over the same order, so many thresholds cost one pass. Boxes that repeat count once.
     """
-    cut = bucketed(df.select(*keys, *BOX), size=size)
+    flags = list(layers)
+    cut = bucketed(df.select(*keys, *BOX, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in layers.items()]), size=size)
     bx, by = F.col("bx") * size, F.col("by") * size
     cut = cut.withColumns({"x0": F.greatest("x0", bx), "x1": F.least("x1", bx + size), "y0": F.greatest("y0", by), "y1": F.least("y1", by + size)})
-    cut = cut.where("x1 > x0 and y1 > y0").distinct()
+    cut = cut.where("x1 > x0 and y1 > y0").groupBy(*keys, "bx", "by", *BOX).agg(*[F.bool_or(n).alias(n) for n in flags])
     part = [*keys, "bx", "by"]
-    edges = cut.select(*part, F.explode(F.array("x0", "x1")).alias("xa")).distinct()
-    slabs = edges.withColumn("xb", F.lead("xa").over(Window.partitionBy(*part).orderBy("xa"))).where("xb is not null")
-    rows = cut.join(slabs, part).where("x0 <= xa and x1 >= xb")
-    top = F.max("y1").over(Window.partitionBy(*part, "xa").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
-    gain = (F.col("xb") - F.col("xa")) * F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(top, F.col("y0"))))
-    return rows.withColumn("gain", gain).groupBy(*keys).agg(F.sum("gain").cast("long").alias("union_area"))
+    every = Window.partitionBy(*part)
+    edges = F.array_sort(F.array_union(F.collect_set("x0").over(every), F.collect_set("x1").over(every)))
+    rows = cut.withColumn("edges", edges)
+    first, last = F.array_position("edges", F.col("x0")), F.array_position("edges", F.col("x1"))
+    own = F.slice("edges", first.cast("int"), (last - first + 1).cast("int"))
+    slabs = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.struct(F.element_at(own, i).alias("xa"), (F.element_at(own, i + 1) - F.element_at(own, i)).alias("w")))
+    rows = rows.select(*part, "y0", "y1", *flags, F.explode(slabs).alias("s")).select(*part, "y0", "y1", *flags, "s.xa", "s.w")
+    before = Window.partitionBy(*part, "xa").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+
+    def gain(n: str) -> Column:
+        top = F.max(F.when(F.col(n), F.col("y1"))).over(before)
+        return F.when(F.col(n), F.col("w") * F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(top, F.col("y0"))))).otherwise(0)
+
+    rows = rows.select(*keys, *[gain(n).alias(n) for n in flags])
+    return rows.groupBy(*keys).agg(*[F.sum(n).cast("long").alias(n) for n in flags])
+
+
+def union_area(df: DataFrame, keys: list[str], size: int = BUCKET) -> DataFrame:
+    """``union_area`` per key of the boxes of ``df``."""
+    return union_areas(df, keys, {"union_area": F.lit(True)}, size)
+
+
+def two_sides(p: DataFrame, g: DataFrame, keys: list[str], more: list[str] = []) -> DataFrame:
+    """Boxes of both sides with ``side`` (p or g) and ``more`` columns of the predictions, null on the other side."""
+    mine = p.select(*keys, *BOX, F.lit("p").alias("side"), *more)
+    return mine.unionByName(g.select(*keys, *BOX, F.lit("g").alias("side")), allowMissingColumns=True)
 
 
 def area_sets(p: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame:
     """pred_union, gt_union, inter_union and pred_sum per key; absent sides count 0.
 
     The intersection of two unions is what their areas have more than their common union,
-    so one pass over tagged boxes gives all three.
+    so one pass over the boxes of both sides gives all three.
     """
-    tagged = p.select(*keys, *BOX, F.array(F.lit("p"), F.lit("b")).alias("tags")).unionByName(g.select(*keys, *BOX, F.array(F.lit("g"), F.lit("b")).alias("tags")))
-    unions = union_area(tagged.withColumn("tag", F.explode("tags")), [*keys, "tag"])
-    wide = unions.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("union_area"))), F.lit(0)).alias(t) for t in "pgb"])
+    side = F.col("side")
+    wide = union_areas(two_sides(p, g, keys), keys, {"p": side == "p", "g": side == "g", "b": F.lit(True)})
     sums = p.groupBy(*keys).agg(F.sum("area").alias("pred_sum"))
     return wide.join(sums, keys, "left").select(*keys, F.col("p").alias("pred_union"), F.col("g").alias("gt_union"), (F.col("p") + F.col("g") - F.col("b")).alias("inter_union"), F.coalesce("pred_sum", F.lit(0)).alias("pred_sum"))
 
 
+def swept_sets(p: DataFrame, g: DataFrame, keys: list[str], rules: list[tuple[tuple, Column]], names: list[str]) -> DataFrame:
+    """``area_sets`` without sums for each rule on the predictions: a row per key and rule, told by the rule's values under ``names``.
+
+    All rules come from one pass: each is two layers. Predictions carry the columns that the rules name in ``p``.
+    """
+    side, more = F.col("side"), [c for c in p.columns if c not in (*keys, *BOX)]
+    layers = {"g": side == "g"}
+    for i, (_, rule) in enumerate(rules):
+        layers |= {f"p{i}": (side == "p") & rule, f"b{i}": (side == "g") | rule}
+    wide = union_areas(two_sides(p, g, keys, more), keys, layers)
+    of = lambda i, at: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, at)], F.col(f"p{i}").alias("pred_union"), F.col("g").alias("gt_union"), (F.col(f"p{i}") + F.col("g") - F.col(f"b{i}")).alias("inter_union"))
+    rows = wide.select(*keys, F.explode(F.array(*[of(i, at) for i, (at, _) in enumerate(rules)])).alias("r")).select(*keys, "r.*")
+    return rows.where("pred_union > 0 or gt_union > 0")
+
+
 def cover_by_union(g: DataFrame, p: DataFrame, keys: list[str], gt_id: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Per ground-truth box: the area of it under the union of the predictions, ``covered``; ``more`` are further keys of p."""
     extra = [f"b_{m}" for m in more]

@@ -110,10 +110,13 @@ SELECT region, model_run, threshold, CAST(n_gt AS BIGINT) AS n_gt, CAST(count(*)
 FROM c JOIN gr USING ({_K}, gt_id) JOIN n USING (region, model_run) GROUP BY region, model_run, threshold, n_gt""")
 def e6_cov50_sweep(spark, d):
     g, p = both(spark, d)
-    swept = stats.through_thresholds(p.select(*KEYS, "confidence", *spatial.BOX), THRESHOLDS, "confidence")
-    covered = spatial.cover_by_union(g, swept, KEYS, "gt_id", ("threshold",))
+    pairs = spatial.box_join(g, p.select(*KEYS, "confidence", *spatial.BOX), KEYS)
+    clipped = pairs.select(*KEYS, "gt_id", "area", "b_confidence", *[F.greatest(f"{c}0", f"b_{c}0").alias(f"{c}0") for c in "xy"], *[F.least(f"{c}1", f"b_{c}1").alias(f"{c}1") for c in "xy"])
+    wide = spatial.union_areas(clipped, [*KEYS, "gt_id", "area"], {f"c{i}": F.col("b_confidence") >= t for i, t in enumerate(THRESHOLDS)})
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("covered")) for i, t in enumerate(THRESHOLDS)]))
+    rows = wide.select("region", "model_run", "area", at.alias("r")).where("r.covered > 0").groupBy("region", "model_run", "r.threshold")
     total = g.groupBy("region", "model_run").agg(F.count("*").alias("n_gt"))
-    rows = covered.join(g.select(*KEYS, "gt_id", "area"), [*KEYS, "gt_id"]).groupBy("region", "model_run", "threshold").agg(F.count_if(2 * F.col("covered") >= F.col("area")).alias("n_cov50"))
+    rows = rows.agg(F.count_if(2 * F.col("r.covered") >= F.col("area")).alias("n_cov50"))
     return rows.join(total, ["region", "model_run"]).withColumn("cov50", F.round(F.col("n_cov50") / F.col("n_gt"), 6))
 
 
@@ -227,9 +230,8 @@ sets AS (SELECT {_K}, threshold, coalesce(max(CASE WHEN tag = 'p' THEN union_are
 def swept(spark: SparkSession, d: str) -> DataFrame:
     """Per-grid area rows at every confidence threshold, in one job."""
     g, p = both(spark, d)
-    p = stats.through_thresholds(p, THRESHOLDS, "confidence")
-    g = g.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    return stats.with_area_errors(spatial.area_sets(p, g, [*KEYS, "threshold"]))
+    rules = [((t,), F.col("confidence") >= t) for t in THRESHOLDS]
+    return stats.with_area_errors(spatial.swept_sets(p.select(*KEYS, *spatial.BOX, "confidence"), g, KEYS, rules, ["threshold"]))
 
 
 @query(f"{_SWEEP}, {_tier1_sql('model_run, threshold', 'unweighted')}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, spatial, stats
+from rooftally.operators import columns, spatial
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import _SETS, ERRORS, GR, KEYS, both, errors, slab
 from rooftally.plans.registry import query
@@ -49,10 +49,10 @@ SELECT model_run, {_T2}, round(CAST(i AS DOUBLE) / a, 6) AS precision, round(CAS
 def h27_inventory_sweep(spark, d):
     """Area accuracy over two thresholds at once: both are keys of one job."""
     g, p = both(spark, d)
-    p = stats.through_thresholds(stats.through_thresholds(p, [0.6, 0.8], "confidence"), [0.5, 0.7], "second_score", "second")
-    g = g.withColumn("threshold", F.explode(F.array(F.lit(0.6), F.lit(0.8)))).withColumn("second", F.explode(F.array(F.lit(0.5), F.lit(0.7))))
+    rules = [((c, k), (F.col("confidence") >= c) & (F.col("second_score") >= k)) for c in (0.6, 0.8) for k in (0.5, 0.7)]
+    sets = spatial.swept_sets(p.select(*KEYS, *spatial.BOX, "confidence", "second_score"), g, KEYS, rules, ["threshold", "second"])
     per = ["model_run", "threshold", "second"]
-    s = spatial.area_sets(p, g, [*KEYS, "threshold", "second"]).groupBy(*per).agg(F.sum("pred_union").alias("a"), F.sum("gt_union").alias("b"), F.sum("inter_union").alias("i"))
+    s = sets.groupBy(*per).agg(F.sum("pred_union").alias("a"), F.sum("gt_union").alias("b"), F.sum("inter_union").alias("i"))
     return s.select(*per, F.round(ratio("i", "a"), 6).alias("precision"), F.round(ratio("i", "b"), 6).alias("recall"), F.round(ratio(2 * F.col("i"), F.col("a") + F.col("b")), 6).alias("f1"))
 
 
