@@ -103,32 +103,35 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], id_col: str,
 def union_areas(df: DataFrame, keys: list[str], layers: dict[str, Column], size: int = BUCKET) -> DataFrame:
     """Per key, the area of the union of the boxes for which a layer's condition holds, a column a layer; a key of ``df`` without any has 0.
 
-    Boxes are cut at bucket edges, so areas of buckets add up. The x edges in a bucket, at most size + 1 as they are
-    whole numbers, are an array beside each of its boxes, and a box is listed under the slabs that it covers: work
-    grows with the boxes of a bucket, never with their square. In a slab the boxes, by lower edge, add what lies above the
-    highest edge so far; a layer is one more running maximum over the same order, so many thresholds cost one pass. Boxes that repeat count once.
+    Boxes are cut at bucket edges, so areas of buckets add up. A bucket is one row: its distinct boxes and its
+    x edges, of which there are size + 1 at most, as they are whole numbers. Between two neighbouring edges lies a slab; in
+    it the boxes, by lower edge, add what lies above the highest edge so far. So work grows with the boxes of
+    a bucket times its slabs, never with their square. A layer is one more highest edge in the same walk, so many thresholds cost one pass.
     """
     flags = list(layers)
     cut = bucketed(df.select(*keys, *BOX, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in layers.items()]), size=size)
     bx, by = F.col("bx") * size, F.col("by") * size
     cut = cut.withColumns({"x0": F.greatest("x0", bx), "x1": F.least("x1", bx + size), "y0": F.greatest("y0", by), "y1": F.least("y1", by + size)})
-    cut = cut.where("x1 > x0 and y1 > y0").groupBy(*keys, "bx", "by", *BOX).agg(*[F.bool_or(n).alias(n) for n in flags])
-    part = [*keys, "bx", "by"]
-    every = Window.partitionBy(*part)
-    edges = F.array_sort(F.array_union(F.collect_set("x0").over(every), F.collect_set("x1").over(every)))
-    rows = cut.withColumn("edges", edges)
-    first, last = F.array_position("edges", F.col("x0")), F.array_position("edges", F.col("x1"))
-    own = F.slice("edges", first.cast("int"), (last - first + 1).cast("int"))
-    slabs = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.struct(F.element_at(own, i).alias("xa"), (F.element_at(own, i + 1) - F.element_at(own, i)).alias("w")))
-    rows = rows.select(*part, "y0", "y1", *flags, F.explode(slabs).alias("s")).select(*part, "y0", "y1", *flags, "s.xa", "s.w")
-    before = Window.partitionBy(*part, "xa").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
-
-    def gain(n: str) -> Column:
-        top = F.max(F.when(F.col(n), F.col("y1"))).over(before)
-        return F.when(F.col(n), F.col("w") * F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(top, F.col("y0"))))).otherwise(0)
-
-    rows = rows.select(*keys, *[gain(n).alias(n) for n in flags])
-    return rows.groupBy(*keys).agg(*[F.sum(n).cast("long").alias(n) for n in flags])
+    cut = cut.where("x1 > x0 and y1 > y0")
+    edges = F.array_sort(F.array_union(F.collect_set("x0"), F.collect_set("x1")))
+    rows = cut.groupBy(*keys, "bx", "by").agg(edges.alias("edges"), F.collect_set(F.struct("y0", "y1", "x0", "x1", *flags)).alias("boxes"))
+    slabs = F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), lambda a, b: F.struct(a.alias("xa"), b.alias("xb")))
+    rows = rows.select(*keys, "boxes", F.explode(slabs).alias("s"))
+    inside = F.array_sort(F.filter("boxes", lambda q: (q["x0"] <= F.col("s.xa")) & (q["x1"] >= F.col("s.xb"))))
+    zero, low = F.lit(0).cast("long"), F.lit(-(2**62))
+    start = F.struct(*[c for i in range(len(flags)) for c in (zero.alias(f"a{i}"), low.alias(f"t{i}"))])
+
+    def step(state: Column, q: Column) -> Column:
+        out = []
+        for i, n in enumerate(flags):
+            top = state[f"t{i}"]
+            gain = F.greatest(zero, q["y1"] - F.greatest(q["y0"], top))
+            out += [(state[f"a{i}"] + F.when(q[n], gain).otherwise(zero)).alias(f"a{i}"), F.when(q[n], F.greatest(top, q["y1"])).otherwise(top).alias(f"t{i}")]
+        return F.struct(*out)
+
+    width = F.col("s.xb") - F.col("s.xa")
+    rows = rows.select(*keys, width.alias("w"), F.aggregate(inside, start, step).alias("of"))
+    return rows.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(f"of.a{i}")).cast("long").alias(n) for i, n in enumerate(flags)])
 
 
 def union_area(df: DataFrame, keys: list[str], size: int = BUCKET) -> DataFrame:
