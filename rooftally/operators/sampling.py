@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rooftally.operators import graph, spatial
+
 
 def digest(seed: str, id_: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), id_.cast("string")), 256)
@@ -55,6 +57,32 @@ def weighted_without_replacement(df: DataFrame, keys: list[str], id_col: str, we
     return df.where(F.col(weight) > 0).withColumn("_key", F.log(u) / F.col(weight)).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_key", "_rank")
 
 
+def spaced_pick(df: DataFrame, keys: list[str], id_col: str, score: str, at: tuple[str, str], spacing: int, n: int) -> DataFrame:
+    """``n`` rows of each group with ``chosen_by``: by score, none within ``spacing`` steps on both axes of a chosen one; then the best others, spaced or not.
+
+    Ties go to the smaller id. Rows stand on a lattice of whole numbers, a row a place or few, so a group holds no more rows than its places.
+    """
+    x, y = at
+    boxes = df.select(*keys, id_col, score, F.col(x).alias("x0"), F.col(y).alias("y0"), (F.col(x) + 1).alias("x1"), (F.col(y) + 1).alias("y1"))
+    near = spatial.box_join(boxes, boxes, keys, margin=spacing, closed=True, size=max(8, 2 * spacing)).where(F.col(id_col) != F.col(f"b_{id_col}"))
+    near = near.where((F.abs(F.col("x0") - F.col("b_x0")) <= spacing) & (F.abs(F.col("y0") - F.col("b_y0")) <= spacing))
+    first = (F.col(score) > F.col(f"b_{score}")) | ((F.col(score) == F.col(f"b_{score}")) & (F.col(id_col) < F.col(f"b_{id_col}")))
+    pairs = near.where(first).select(F.col(id_col).alias("h"), F.col(f"b_{id_col}").alias("l"), F.col(score).alias("c"))
+    kept = graph.priority_keep(df, pairs, id_col, "h", "l", [-F.col("c"), F.col("h")]).select(id_col, F.lit("spaced").alias("chosen_by"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("chosen_by").isNull(), F.desc(score), id_col))
+    return df.join(kept, id_col, "left").withColumn("_k", rank).where(F.col("_k") <= n).drop("_k").withColumn("chosen_by", F.coalesce("chosen_by", F.lit("fill")))
+
+
+def quota_fill(df: DataFrame, keys: list[str], stratum: str, id_col: str, score: str, quota: int, total: int, sparse: tuple[str, int]) -> DataFrame:
+    """Rows with ``chosen_by``: ``quota`` of each stratum by score, then by score up to ``total`` of a group, then of the rest the lowest by ``sparse``."""
+    order = [F.desc(score), F.asc(id_col)]
+    s = df.withColumn("_q", F.row_number().over(Window.partitionBy(*keys, stratum).orderBy(*order)) <= quota)
+    s = s.withColumns({"_k": F.row_number().over(Window.partitionBy(*keys, "_q").orderBy(*order)), "_t": F.count_if("_q").over(Window.partitionBy(*keys))})
+    s = s.withColumn("chosen_by", F.when(F.col("_q"), "quota").when(F.col("_k") <= total - F.col("_t"), "fallback"))
+    last = F.row_number().over(Window.partitionBy(*keys, F.col("chosen_by").isNull()).orderBy(sparse[0], id_col))
+    return s.withColumn("_l", last).where(F.col("chosen_by").isNotNull() | (F.col("_l") <= sparse[1])).drop("_q", "_k", "_t", "_l").withColumn("chosen_by", F.coalesce("chosen_by", F.lit("sparse")))
+
+
 def greedy_split(df: DataFrame, keys: list[str], id_col: str, n_col: str, share: float, seed: str = "42") -> DataFrame:
     """``split``: the groups with the most annotations go to val while val holds less than the target; empty ones by share.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, graph, matching, spatial, stats
+from rooftally.operators import columns, graph, matching, sampling, spatial, stats
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import GR, KEYS, PAIRS, THRESHOLDS, both, slab
+from rooftally.plans import loops
 from rooftally.plans.registry import query
 from rooftally.sources.views import table, view, with_views
 
@@ -18,6 +19,12 @@ _SIZES = ([4000, 10000], ["small", "medium", "large"])
 _SIZE = "CASE WHEN {0} < 4000 THEN 'small' WHEN {0} < 10000 THEN 'medium' ELSE 'large' END"
 
 
+_IOU = "inter / CAST(gt_area + pred_area - inter AS DOUBLE)"
+_STRICT = "iou DESC, gt_id, poly_id"
+_MATCHED = f"""{_PG}, {GR}, {PAIRS}, e AS (SELECT *, {_IOU} AS iou FROM pairs WHERE {_IOU} >= 0.3), {loops.pick_pairs('m', 'e', _K, _STRICT)},
+mm AS (SELECT m.model_run, m.iou, g.area AS gt_area, p.area AS pred_area FROM m JOIN gr g USING (model_run, gt_id) JOIN predictions p ON p.poly_id = m.poly_id)"""
+
+
 def _by_size(c="area"):
     return columns.bucket(F.col(c), *_SIZES)
 
@@ -28,7 +35,7 @@ def _matched(spark, d, iou=0.3):
     return g, m, m.join(g.select("model_run", "gt_id", F.col("area").alias("gt_area")), ["model_run", "gt_id"]).join(p.select("poly_id", F.col("area").alias("pred_area")), "poly_id")
 
 
-@query()
+@query(f"{_MATCHED} SELECT model_run, CAST(count(*) AS BIGINT) AS n, round(avg(iou), 6) AS iou_mean, round(quantile_cont(iou, 0.25), 6) AS iou_p25, round(quantile_cont(iou, 0.5), 6) AS iou_p50, round(quantile_cont(iou, 0.75), 6) AS iou_p75, round(quantile_cont(dice, 0.25), 6) AS dice_p25, round(quantile_cont(dice, 0.5), 6) AS dice_p50, round(quantile_cont(dice, 0.75), 6) AS dice_p75, round(avg(CASE WHEN iou >= 0.5 THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_half FROM (SELECT *, 2 * iou / (1 + iou) AS dice FROM mm) GROUP BY model_run")
 def h7_footprint_quality(spark, d):
     """IoU and Dice of matched pairs per run."""
     m = _matched(spark, d)[2].withColumn("dice", 2 * F.col("iou") / (1 + F.col("iou")))
@@ -36,7 +43,7 @@ def h7_footprint_quality(spark, d):
     return m.groupBy("model_run").agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("iou_mean"), *spread, F.round(F.avg((F.col("iou") >= 0.5).cast("double")), 6).alias("share_half"))
 
 
-@query()
+@query(f"""{_MATCHED} SELECT model_run, {_SIZE.format('gt_area')} AS size_class, CAST(count(*) AS BIGINT) AS n, CAST(sum(pred_area - gt_area) AS BIGINT) AS signed_error, CAST(sum(abs(pred_area - gt_area)) AS BIGINT) AS abs_error, round(avg(abs(pred_area - gt_area) / CAST(gt_area AS DOUBLE)), 6) AS relative_error FROM mm GROUP BY ALL""")
 def h8_area_error_by_size(spark, d):
     m = _matched(spark, d)[2].withColumns({"size_class": _by_size("gt_area"), "error": F.col("pred_area") - F.col("gt_area")})
     return m.groupBy("model_run", "size_class").agg(
@@ -44,7 +51,8 @@ def h8_area_error_by_size(spark, d):
     )
 
 
-@query()
+@query(f"""{_PG}, {GR}, {PAIRS}, th AS (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS level), e AS (SELECT pairs.*, level, {_IOU} AS iou FROM pairs, th WHERE {_IOU} >= level), {loops.pick_pairs('m', 'e', _K + ', level', _STRICT)}
+SELECT g.model_run, {_SIZE.format('g.area')} AS size_class, th.level, CAST(count(*) AS BIGINT) AS n_gt, CAST(count(m.gt_id) AS BIGINT) AS tp, round(count(m.gt_id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM gr g JOIN th ON true LEFT JOIN m ON m.model_run = g.model_run AND m.gt_id = g.gt_id AND m.level = th.level GROUP BY ALL""")
 def h9_recall_by_size(spark, d):
     """Recall of one matching per IoU; the thresholds are a key."""
     g, p = both(spark, d)
@@ -56,7 +64,8 @@ def h9_recall_by_size(spark, d):
     return rows.groupBy("model_run", "size_class", "level").agg(F.count("*").alias("n_gt"), F.count("hit").alias("tp")).withColumn("recall", F.round(ratio("tp", "n_gt"), 6))
 
 
-@query()
+@query(f"""{_PG}, {GR}, th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold), gt AS (SELECT * FROM gr, th), pt AS (SELECT * FROM predictions, th WHERE confidence >= threshold),
+{loops.pick_groups('m', 'gt', 'pt', _K + ', threshold', 0.3)}, {loops.counted('c', 'gt', 'pt', 'model_run, threshold', 'm', 'm_hit')} SELECT * FROM c""")
 def h11_pr_curve(spark, d):
     """Precision and recall per confidence threshold, installations matched to unions; the threshold is a key."""
     g, p = both(spark, d)
@@ -147,7 +156,10 @@ def h48_vintage_availability(spark, d):
         F.countDistinct("created").alias("n_dates"), F.countDistinct(y).alias("n_years"), *[F.min(F.when(y == k, F.col("created"))).cast("string").alias(f"first_{k}") for k in (1995, 1996, 1997)])
 
 
-@query()
+@query(f"""{loops.recursive(with_views('ground_truth'))}, e AS (SELECT a.gt_id AS a, b.gt_id AS b FROM ground_truth a JOIN ground_truth b USING (region, grid_id) WHERE a.gt_id < b.gt_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+  AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 100), {loops.components('lab', 'e')},
+t AS (SELECT g.*, coalesce(component, gt_id) AS component FROM ground_truth g LEFT JOIN lab ON gt_id = node), {slab('u', 't', 'region, grid_id, component')}
+SELECT region, grid_id, component, CAST(count(*) AS BIGINT) AS n_members, string_agg(DISTINCT source, '+' ORDER BY source) AS source, any_value(u.union_area) AS union_area FROM t JOIN u USING (region, grid_id, component) GROUP BY region, grid_id, component""")
 def f10_dissolve_clean_gt(spark, d):
     """Ground truth that overlaps by over 100 square decimetres becomes one; sources are listed, areas are of the union."""
     g = view(spark, d, "ground_truth")
@@ -158,7 +170,12 @@ def f10_dissolve_clean_gt(spark, d):
     return rows.join(spatial.union_area(tagged, keys), keys)
 
 
-@query()
+@query(f"""{with_views('predictions', 'task_grid')}, p AS (SELECT p.grid_id, poly_id, area, x0 + gx * 3000 AS x0, y0 + gy * 3000 AS y0, x1 + gx * 3000 AS x1, y1 + gy * 3000 AS y1 FROM predictions p JOIN task_grid t USING (grid_id) WHERE review_status <> 'delete'),
+r AS (SELECT * FROM p WHERE x0 % 3000 < 250 OR x1 % 3000 < 250 OR y0 % 3000 < 250 OR y1 % 3000 < 250),
+s AS (SELECT a.*, b.poly_id AS b_poly_id, b.area AS b_area, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x0 + a.x1 - b.x0 - b.x1) / 2.0E0 AS dx, (a.y0 + a.y1 - b.y0 - b.y1) / 2.0E0 AS dy
+  FROM r a JOIN r b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.grid_id <> b.grid_id),
+e AS (SELECT poly_id AS h, b_poly_id AS l, -area AS c FROM s WHERE inter / CAST(area + b_area - inter AS DOUBLE) >= 0.3 AND dx * dx + dy * dy <= 22500 AND (area > b_area OR (area = b_area AND poly_id < b_poly_id))),
+{loops.suppressed('gone', 'e', '', 'c')} SELECT grid_id, poly_id, CAST(row_number() OVER (PARTITION BY grid_id ORDER BY poly_id) AS INTEGER) AS new_no FROM p WHERE poly_id NOT IN (SELECT id FROM gone)""")
 def f14_dedup_cross_grid(spark, d):
     """Of boxes in different cells, centres 150 at most apart and IoU 0.3 or more, the larger stays."""
     cells = view(spark, d, "task_grid").select("grid_id", (F.col("gx") * 3000).alias("ox"), (F.col("gy") * 3000).alias("oy"))
@@ -172,11 +189,14 @@ def f14_dedup_cross_grid(spark, d):
     return kept.select("grid_id", "poly_id", F.row_number().over(Window.partitionBy("grid_id").orderBy("poly_id")).alias("new_no"))
 
 
-@query()
+@query(f"""{_PG}, e AS (SELECT g.region, g.grid_id, p.model_run, g.gt_id, p.poly_id, (least(g.x1, p.x1) - greatest(g.x0, p.x0)) * (least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS inter, g.area AS ga, p.area AS pa
+  FROM ground_truth g JOIN predictions p ON g.region = p.region AND g.grid_id = p.grid_id AND g.x0 < p.x1 AND p.x0 < g.x1 AND g.y0 < p.y1 AND p.y0 < g.y1), f AS (SELECT *, inter / CAST(ga + pa - inter AS DOUBLE) AS iou FROM e WHERE inter / CAST(ga + pa - inter AS DOUBLE) > 0.5),
+{loops.pick_pairs('m', 'f', _K, 'gt_id, iou DESC, poly_id')}
+SELECT p.region, p.model_run, p.grid_id, p.poly_id, m.gt_id AS old_id, CAST(row_number() OVER (PARTITION BY p.region, p.model_run, p.grid_id ORDER BY m.gt_id IS NULL, m.gt_id, p.poly_id) AS INTEGER) AS place FROM predictions p LEFT JOIN m ON m.poly_id = p.poly_id""")
 def f17_stable_reindex(spark, d):
     """Old rows that a new box matches (IoU above 0.5, each once, in old order) keep their place; further new boxes follow."""
-    keys = ["region", "grid_id"]
-    old, new = view(spark, d, "ground_truth"), view(spark, d, "predictions").where("model_run = 'run_A'")
+    keys, new = KEYS, view(spark, d, "predictions")
+    old = view(spark, d, "ground_truth").join(new.select(*KEYS).distinct(), ["region", "grid_id"])
     edges = spatial.overlaps(old, new, keys).where("iou > 0.5").select(*keys, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
     kept = graph.greedy_match(edges, keys, "gt_id", "poly_id", [F.col("gt_id"), -F.col("iou"), F.col("poly_id")]).select("poly_id", F.col("gt_id").alias("old_id"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("old_id").isNull(), "old_id", "poly_id"))
@@ -193,28 +213,28 @@ def f19_merge_same_name(spark, d):
     return n.select(*keys, "num_parts", "union_area", F.concat(F.col("grid_id").cast("string"), F.lit("_"), F.lpad(no, 5, "0")).alias("installation_id"))
 
 
-@query(f"""{with_views('predictions')}, g AS (SELECT region, grid_id, count(*) AS n, avg(area) AS score FROM predictions GROUP BY ALL), s AS (SELECT *, CASE WHEN n < 590 THEN 'low' WHEN n < 610 THEN 'mid' ELSE 'high' END AS stratum FROM g),
-r AS (SELECT *, row_number() OVER (PARTITION BY region, stratum ORDER BY score DESC, grid_id) AS k FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY region, k > 2 ORDER BY score DESC, grid_id) AS k2, count(*) FILTER (WHERE k <= 2) OVER (PARTITION BY region) AS taken FROM r)
-SELECT region, stratum, grid_id, CASE WHEN k <= 2 THEN 'quota' ELSE 'fallback' END AS chosen_by FROM f WHERE k <= 2 OR k2 <= 8 - taken""")
+@query(f"""{with_views('predictions', 'units')}, u AS (SELECT grid_id, count(*) AS n_units FROM units GROUP BY ALL), g AS (SELECT region, p.grid_id, count(*) AS n, avg(area) AS score FROM predictions p GROUP BY ALL),
+s AS (SELECT g.*, coalesce(n_units, 0) AS n_units, CASE WHEN n < 590 THEN 'low' WHEN n < 610 THEN 'mid' ELSE 'high' END AS stratum FROM g LEFT JOIN u USING (grid_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY region, stratum ORDER BY score DESC, grid_id) <= 2 AS quota FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY region, quota ORDER BY score DESC, grid_id) AS k, count(*) FILTER (WHERE quota) OVER (PARTITION BY region) AS taken FROM r),
+c AS (SELECT *, CASE WHEN quota THEN 'quota' WHEN k <= 8 - taken THEN 'fallback' END AS by_ FROM f), x AS (SELECT *, row_number() OVER (PARTITION BY region, by_ IS NULL ORDER BY n_units, grid_id) AS k2 FROM c)
+SELECT region, stratum, grid_id, coalesce(by_, 'sparse') AS chosen_by FROM x WHERE by_ IS NOT NULL OR k2 <= 2""")
 def j8_quota_fill(spark, d):
-    """Two per stratum, then by score until eight of a region are chosen."""
-    g = view(spark, d, "predictions").groupBy("region", "grid_id").agg(F.count("*").alias("n"), F.avg("area").alias("score"))
+    """Two per stratum, then by score until eight of a region are chosen, then the two with the fewest buildings among the rest."""
+    u = view(spark, d, "units").groupBy("grid_id").agg(F.count("*").alias("n_units"))
+    g = view(spark, d, "predictions").groupBy("region", "grid_id").agg(F.count("*").alias("n"), F.avg("area").alias("score")).join(u, "grid_id", "left").na.fill(0, ["n_units"])
     s = g.withColumn("stratum", columns.bucket(F.col("n"), [590, 610], ["low", "mid", "high"]))
-    order = [F.desc("score"), F.asc("grid_id")]
-    s = s.withColumn("quota", F.row_number().over(Window.partitionBy("region", "stratum").orderBy(*order)) <= 2)
-    s = s.withColumns({"k": F.row_number().over(Window.partitionBy("region", "quota").orderBy(*order)), "taken": F.count_if("quota").over(Window.partitionBy("region"))})
-    return s.where("quota or k <= 8 - taken").select("region", "stratum", "grid_id", F.when(F.col("quota"), "quota").otherwise("fallback").alias("chosen_by"))
+    return sampling.quota_fill(s, ["region"], "stratum", "grid_id", "score", 2, 8, ("n_units", 2)).select("region", "stratum", "grid_id", "chosen_by")
 
 
-@query()
+@query(f"""{with_views('predictions', 'task_grid')}, g AS (SELECT t.region, t.grid_id, gx, gy, CAST(sum(area) AS BIGINT) AS score FROM predictions p JOIN task_grid t USING (grid_id) GROUP BY ALL),
+e AS (SELECT a.region, a.grid_id AS h, b.grid_id AS l, -a.score AS c FROM g a JOIN g b ON a.region = b.region AND a.grid_id <> b.grid_id AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 WHERE a.score > b.score OR (a.score = b.score AND a.grid_id < b.grid_id)),
+{loops.suppressed('gone', 'e', 'region', 'c')}, r AS (SELECT *, grid_id IN (SELECT id FROM gone) AS near FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY near, score DESC, grid_id) AS k FROM r)
+SELECT region, grid_id, score, CASE WHEN near THEN 'fill' ELSE 'spaced' END AS chosen_by FROM k WHERE k <= 12""")
 def j7_spaced_pick(spark, d):
-    """Cells by score, none within two steps of a chosen one of the same region."""
+    """Twelve cells of a region: by score, none within two steps of a chosen one; where these are too few, the best of the others."""
     score = view(spark, d, "predictions").groupBy("grid_id").agg(F.sum("area").alias("score"))
     g = view(spark, d, "task_grid").select("region", "grid_id", "gx", "gy").join(score, "grid_id")
-    boxes = g.withColumns({"x0": F.col("gx") * 10, "y0": F.col("gy") * 10, "x1": F.col("gx") * 10 + 1, "y1": F.col("gy") * 10 + 1})
-    near = spatial.box_join(boxes, boxes, ["region"], margin=20, size=50).where("grid_id <> b_grid_id")
-    near = near.where("score > b_score or (score = b_score and grid_id < b_grid_id)").select(F.col("grid_id").alias("h"), F.col("b_grid_id").alias("l"), "score")
-    return graph.priority_keep(g, near, "grid_id", "h", "l", [-F.col("score"), F.col("h")]).select("region", "grid_id", "score")
+    return sampling.spaced_pick(g, ["region"], "grid_id", "score", ("gx", "gy"), 2, 12).select("region", "grid_id", "score", "chosen_by")
 
 
 _LATTICE = 1300

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from rooftally.operators import graph, matching, spatial, stats
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import GR, KEYS, PAIRS, TILES, both, slab, tiles
+from rooftally.plans import loops
 from rooftally.plans.registry import query
 from rooftally.sources.views import view, with_views
 
 _K = "region, model_run, grid_id"
+CALIBERS = [0.1, 0.2, 0.3, 0.5, 0.7]
 _PG = f"{with_views('predictions', 'ground_truth')}, {GR}, {PAIRS}"
 _IOU = "inter / CAST(gt_area + pred_area - inter AS DOUBLE)"
 #: Pairs of predictions of one run and grid, each once.
 _SELF = f"""{with_views('predictions')}, self AS (SELECT a.region, a.model_run, a.grid_id, a.poly_id, b.poly_id AS b_poly_id, a.area, b.area AS b_area, a.confidence, b.confidence AS b_confidence,
   (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter
   FROM predictions a JOIN predictions b USING ({_K}) WHERE a.poly_id < b.poly_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"""
+_STRICT = "iou DESC, gt_id, poly_id"
 _SIOU = "inter / CAST(area + b_area - inter AS DOUBLE)"
 
 
@@ -89,20 +92,20 @@ def d10_assign_tile_centroid(spark, d):
     return met.groupBy("model_run", "grid_id", "poly_id").agg(F.min("b_tile").alias("tile"))
 
 
-@query()
+@query(f"""{_PG}, e AS (SELECT *, {_IOU} AS iou FROM pairs WHERE {_IOU} >= 0.3), {loops.pick_pairs('m', 'e', _K, _STRICT)} SELECT {_K}, gt_id, poly_id, round(iou, 6) AS iou FROM m""")
 def f1_match_strict(spark, d):
     g, p = both(spark, d)
     return matching.match_strict(g, p, KEYS, 0.3).select(*KEYS, "gt_id", "poly_id", F.round("iou", 6).alias("iou"))
 
 
-@query()
+@query(f"""{with_views('predictions', 'ground_truth')}, {GR}, {loops.pick_groups('m', 'gr', 'predictions', _K, 0.3)}, {loops.counted('c', 'gr', 'predictions', _K, 'm', 'm_hit')} SELECT * FROM c""")
 def f2_match_merge(spark, d):
     g, p = both(spark, d)
     accepted, hit = matching.match_merged(g, p, KEYS, 0.3)
     return matching.counts(g, p, KEYS, accepted, hit)
 
 
-@query()
+@query(f"""{_PG}, e AS (SELECT *, {_IOU} AS iou FROM pairs WHERE {_IOU} >= 0.5), {loops.pick_pairs('m', 'e', _K, 'confidence DESC, poly_id, iou DESC, gt_id')} SELECT {_K}, gt_id, poly_id, round(iou, 6) AS iou FROM m""")
 def f3_match_by_confidence(spark, d):
     g, p = both(spark, d)
     return matching.match_by_confidence(g, p, KEYS, 0.5).select(*KEYS, "gt_id", "poly_id", F.round("iou", 6).alias("iou"))
@@ -116,12 +119,17 @@ def f4_best_match(spark, d):
     return best.select(*KEYS, "gt_id", F.round("best_iou", 6).alias("best_iou"), "best_poly_id", F.round("best_cover", 6).alias("best_cover"), "inter_sum", "n_hits")
 
 
-@query()
+@query(f"""{_SELF}, e AS (SELECT {_K}, CASE WHEN confidence >= b_confidence THEN poly_id ELSE b_poly_id END AS h, CASE WHEN confidence >= b_confidence THEN b_poly_id ELSE poly_id END AS l, -greatest(confidence, b_confidence) AS c FROM self WHERE {_SIOU} > 0.1),
+{loops.suppressed('gone', 'e', _K, 'c')} SELECT {_K}, poly_id, confidence FROM predictions WHERE poly_id NOT IN (SELECT id FROM gone)""")
 def f5_nms_score(spark, d):
     return matching.nms_score(view(spark, d, "predictions"), KEYS, 0.1).select(*KEYS, "poly_id", "confidence")
 
 
-@query()
+@query(f"""{_SELF}, n AS (SELECT {_K}, poly_id AS i, list({{j: b_poly_id, larger: area >= b_area}} ORDER BY b_poly_id) AS n FROM self WHERE {_SIOU} > 0.1 GROUP BY ALL),
+l AS (SELECT {_K}, list_reduce(list({{i: i, n: n, d: CAST([] AS BIGINT[])}} ORDER BY i), lambda a, x: CASE WHEN list_contains(a.d, x.i) THEN a ELSE {{i: x.i, n: x.n, d: list_concat(a.d, list_transform(
+  list_filter([{{v: list_filter(x.n, lambda y: NOT list_contains(a.d, y.j))}}], lambda z: len(z.v) > 0), lambda z: list_concat(list_transform(list_filter(z.v, lambda y, k: len(list_filter(z.v, lambda q, o: o <= k AND NOT q.larger)) = 0), lambda y: y.j),
+  CASE WHEN len(list_filter(z.v, lambda q: NOT q.larger)) > 0 THEN [x.i] ELSE CAST([] AS BIGINT[]) END))[1])}} END, {{i: CAST(-1 AS BIGINT), n: CAST([] AS STRUCT(j BIGINT, larger BOOLEAN)[]), d: CAST([] AS BIGINT[])}}) AS m FROM n GROUP BY {_K})
+SELECT {_K}, poly_id, area FROM predictions WHERE poly_id NOT IN (SELECT unnest(m.d) FROM l)""")
 def f6_nms_area(spark, d):
     return matching.nms_area(view(spark, d, "predictions"), KEYS, 0.1).select(*KEYS, "poly_id", "area")
 
@@ -157,7 +165,15 @@ def f11_mutual_iou_set(spark, d):
     return matching.merge_groups(p, matching.conflicts(p.select(*KEYS, "poly_id", "area", *spatial.BOX), KEYS, 0.5, strict=False), KEYS)
 
 
-@query()
+@query(f"""{loops.recursive(_PG)}, e AS (SELECT gt_id * 2 AS a, poly_id * 2 + 1 AS b FROM pairs), {loops.components('lab', 'e')},
+n AS (SELECT {_K}, gt_id * 2 AS node, 'g' AS side, x0, y0, x1, y1 FROM gr UNION ALL SELECT {_K}, poly_id * 2 + 1, 'p', x0, y0, x1, y1 FROM predictions),
+t AS (SELECT n.*, coalesce(component, n.node) AS component, unnest([side, 'b']) AS tag FROM n LEFT JOIN lab USING (node)), {slab('u', 't', _K + ', component, tag')},
+w AS (SELECT {_K}, component, coalesce(max(CASE WHEN tag = 'p' THEN union_area END), 0) AS p, coalesce(max(CASE WHEN tag = 'g' THEN union_area END), 0) AS g, max(CASE WHEN tag = 'b' THEN union_area END) AS b FROM u GROUP BY {_K}, component),
+c AS (SELECT {_K}, component, count(*) FILTER (WHERE tag = 'g') AS n_gt, count(*) FILTER (WHERE tag = 'p') AS n_pred FROM t GROUP BY {_K}, component),
+r AS (SELECT *, coalesce((p + g - b) / nullif(CAST(g AS DOUBLE), 0), 0) AS rec, coalesce((p + g - b) / nullif(CAST(p AS DOUBLE), 0), 0) AS prec FROM c JOIN w USING ({_K}, component))
+SELECT {_K}, component, CAST(n_gt AS BIGINT) AS n_gt, CAST(n_pred AS BIGINT) AS n_pred, round(rec, 6) AS recall, round(prec, 6) AS precision,
+  round(coalesce(2 * rec * prec / nullif(rec + prec, 0), 0) * CASE WHEN n_gt > 0 AND n_pred > 0 THEN least(n_gt, n_pred) / CAST(greatest(n_gt, n_pred) AS DOUBLE) ELSE 0 END, 6) AS balanced,
+  CASE WHEN n_gt > 0 AND n_pred > 0 THEN CASE WHEN rec >= 0.5 AND prec >= 0.3 THEN 'matched' ELSE 'partial' END WHEN n_pred > 0 THEN 'fp_only' ELSE 'fn_only' END AS kind FROM r""")
 def f13_cluster_metrics(spark, d):
     """Area accuracy of each component of the two-sided overlap graph."""
     g, p = both(spark, d)
@@ -181,14 +197,18 @@ def f15_cross_tag(spark, d):
     return p.join(hit.withColumn("hit", F.lit(True)), "poly_id", "left").select("poly_id", F.when(F.col("hit"), "both").otherwise("one").alias("detector"))
 
 
-@query()
+@query(f"""{_PG}, th AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7]::DOUBLE[]) AS threshold), e AS (SELECT pairs.*, threshold, {_IOU} AS iou FROM pairs, th WHERE {_IOU} >= threshold), {loops.pick_pairs('m', 'e', _K + ', threshold', _STRICT)},
+gt AS (SELECT * FROM gr, th), pt AS (SELECT * FROM predictions, th), {loops.counted('c', 'gt', 'pt', 'region, model_run, threshold', 'm', 'm')}
+SELECT *, round(coalesce(5 * tp / nullif(CAST(5 * tp + 4 * fn + fp AS DOUBLE), 0), 0), 6) AS f2, concat('iou_', threshold) AS iou_caliber, 'one_to_one' AS merge_mode FROM c""")
 def h6_presence_metrics(spark, d):
-    """Strict matching at several IoUs: the pairs are found once, the threshold is a key."""
+    """Strict matching at several IoUs, F1 and F2, tagged with caliber and mode: the pairs are found once, the threshold is a key."""
     g, p = both(spark, d)
     edges = spatial.overlaps(g, p.select(*KEYS, "poly_id", "area", *spatial.BOX), KEYS).select(*KEYS, "gt_id", F.col("b_poly_id").alias("poly_id"), "iou")
     keys = [*KEYS, "threshold"]
-    edges = stats.through_thresholds(edges, [0.1, 0.3, 0.5, 0.7], "iou")
+    edges = stats.through_thresholds(edges, CALIBERS, "iou")
     won = graph.greedy_match(edges, keys, "gt_id", "poly_id", [-F.col("iou"), F.col("gt_id"), F.col("poly_id")])
     per = ["region", "model_run", "threshold"]
-    every = F.explode(F.array(*map(F.lit, [0.1, 0.3, 0.5, 0.7])))
-    return matching.counts(g.withColumn("threshold", every), p.withColumn("threshold", every), per, won, won)
+    every = F.explode(F.array(*map(F.lit, CALIBERS)))
+    rows = matching.counts(g.withColumn("threshold", every), p.withColumn("threshold", every), per, won, won)
+    f2 = F.coalesce(ratio(5 * F.col("tp"), 5 * F.col("tp") + 4 * F.col("fn") + F.col("fp")), F.lit(0.0))
+    return rows.withColumns({"f2": F.round(f2, 6), "iou_caliber": F.concat(F.lit("iou_"), F.col("threshold").cast("string")), "merge_mode": F.lit("one_to_one")})

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rooftally.operators import columns, graph, matching, sampling, spatial
-from rooftally.plans.area import KEYS, TILES, both, slab, tiles
-from rooftally.plans.graphs import _PG, _SELF, _SIOU
+from rooftally.plans.area import GR, KEYS, TILES, both, slab, tiles
+from rooftally.plans.graphs import _IOU, _PG, _SELF, _SIOU, _STRICT
+from rooftally.plans import loops
 from rooftally.plans.registry import query
 from rooftally.sources.views import table, view, with_views
 
@@ -59,7 +60,10 @@ def f16_edit_replacement_kind(spark, d):
     return g.join(hits, ["gt_id", "model_run"], "left").select("gt_id", "model_run", columns.first_match(rules, "uncovered").alias("kind"))
 
 
-@query()
+@query(f"""{loops.recursive(_PG)}, e AS (SELECT gt_id * 2 AS a, poly_id * 2 + 1 AS b FROM pairs WHERE {_IOU} > 0.1), {loops.components('lab', 'e')},
+n AS (SELECT region, model_run, gt_id * 2 AS node FROM gr UNION ALL SELECT region, model_run, poly_id * 2 + 1 FROM predictions),
+c AS (SELECT region, model_run, coalesce(component, n.node) AS component, count(*) FILTER (WHERE node % 2 = 0) AS n_gt, count(*) FILTER (WHERE node % 2 = 1) AS n_pred FROM n LEFT JOIN lab USING (node) GROUP BY ALL)
+SELECT region, model_run, CAST(n_gt AS BIGINT) AS n_gt, CAST(n_pred AS BIGINT) AS n_pred, CAST(count(*) AS BIGINT) AS n_clusters FROM c GROUP BY ALL""")
 def f12_overlap_clusters(spark, d):
     """Sizes of the components of the two-sided overlap graph, lone boxes included."""
     g, p = both(spark, d)
@@ -68,7 +72,9 @@ def f12_overlap_clusters(spark, d):
     return sizes.groupBy("region", "model_run", "n_gt", "n_pred").agg(F.count("*").alias("n_clusters"))
 
 
-@query()
+@query(f"""{loops.recursive(_P)}, e AS (SELECT a.poly_id AS a, b.poly_id AS b FROM predictions a JOIN predictions b USING ({_K}) WHERE a.poly_id < b.poly_id AND pow(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 2) + pow(greatest(b.y0 - a.y1, a.y0 - b.y1, 0), 2) <= 25),
+{loops.components('lab', 'e')}, t AS (SELECT p.*, coalesce(component, poly_id) AS component FROM predictions p LEFT JOIN lab ON poly_id = node), {slab('u', 't', _K + ', component')}
+SELECT {_K}, component, CAST(count(*) AS BIGINT) AS n_members, arg_min(poly_id, (-area, poly_id)) AS base_id, max(confidence) AS confidence, max(second_score) AS second_score, any_value(u.union_area) AS union_area FROM t JOIN u USING ({_K}, component) GROUP BY {_K}, component""")
 def f9_dissolve_hairline(spark, d):
     """Boxes within half a metre become one: the largest member names it, numbers take their maximum."""
     p = view(spark, d, "predictions")
@@ -79,7 +85,7 @@ def f9_dissolve_hairline(spark, d):
     return rows.join(spatial.union_area(tagged, [*KEYS, "component"]), [*KEYS, "component"])
 
 
-@query()
+@query(f"""{with_views('predictions', 'ground_truth')}, {GR}, sure AS (SELECT * FROM predictions WHERE confidence >= 0.7), {loops.pick_groups('m', 'gr', 'sure', _K, 0.3)} SELECT region, model_run, source, CAST(count(*) AS BIGINT) AS n_missed FROM gr ANTI JOIN m USING ({_K}, gt_id) GROUP BY ALL""")
 def f21_missed_gt(spark, d):
     """Ground truth that the many-to-one matching at confidence 0.7 leaves."""
     g, p = both(spark, d)
@@ -168,11 +174,19 @@ def m19_trust_ratio_gate(spark, d):
     return p.withColumn("passes", F.col("untrusted") <= 4 * F.col("trusted"))
 
 
-@query()
+_DRAW = "ln((CAST(concat('0x', substr(sha256(concat('42:', CAST(grid_id AS VARCHAR))), 1, 8)) AS BIGINT) + 1) / 4294967298.0E0) / n"
+
+
+@query(f"""{with_views('predictions', 'task_grid')}, c AS (SELECT t.region, t.grid_id, stratum, count(*) AS n FROM predictions p JOIN task_grid t USING (grid_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {_DRAW} DESC, grid_id) AS k, {_DRAW} AS u FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY region, stratum ORDER BY u DESC, grid_id) AS k2 FROM r WHERE k > 5)
+SELECT region, grid_id, stratum, CAST(n AS BIGINT) AS n, 'core' AS part FROM r WHERE k <= 5 UNION ALL SELECT region, grid_id, stratum, CAST(n AS BIGINT), 'oversample' FROM s WHERE k2 <= 1""")
 def j6_weighted_sample(spark, d):
-    """Fifty grids of a region, likelier by their predictions."""
-    n = view(spark, d, "predictions").groupBy("region", "grid_id").agg(F.count("*").alias("n"))
-    return sampling.weighted_without_replacement(n, ["region"], "grid_id", "n", 50)
+    """Five grids of a region, likelier by their predictions, and one more of each stratum among the rest."""
+    n = view(spark, d, "predictions").groupBy("grid_id").agg(F.count("*").alias("n")).join(view(spark, d, "task_grid").select("region", "grid_id", "stratum"), "grid_id")
+    core = sampling.weighted_without_replacement(n, ["region"], "grid_id", "n", 5)
+    more = sampling.weighted_without_replacement(n.join(core.select("grid_id"), "grid_id", "left_anti"), ["region", "stratum"], "grid_id", "n", 1)
+    names = ["region", "grid_id", "stratum", "n"]
+    return core.select(*names, F.lit("core").alias("part")).unionByName(more.select(*names, F.lit("oversample").alias("part")))
 
 
 @query(f"{with_views('negative_pool')} SELECT region, CAST(count(DISTINCT archetype) AS BIGINT) AS n_archetypes, CAST(count(DISTINCT grid_id) AS BIGINT) AS n_grids, CASE WHEN count(DISTINCT archetype) >= 5 THEN 'broad' ELSE 'narrow' END AS verdict FROM negative_pool WHERE training_eligible <> 'false' GROUP BY region")
@@ -188,7 +202,9 @@ def d2_self_overlap(spark, d):
     return pairs.groupBy("region", "model_run").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("iou") > 0.1).alias("n_overlapping"), F.sum("inter").alias("inter"))
 
 
-@query()
+@query(f"""{_PG}, e AS (SELECT *, {_IOU} AS iou FROM pairs WHERE {_IOU} >= 0.5), {loops.pick_pairs('s', 'e', _K, _STRICT)}, {loops.pick_groups('m', 'gr', 'predictions', _K, 0.5)},
+{loops.counted('a', 'gr', 'predictions', 'region, model_run', 's', 's')}, {loops.counted('b', 'gr', 'predictions', 'region, model_run', 'm', 'm_hit')}
+SELECT region, model_run, a.f1 AS f1_strict, b.f1 AS f1_merge, round(b.f1 - a.f1, 6) AS gain FROM a JOIN b USING (region, model_run)""")
 def h44_strict_vs_merge(spark, d):
     """F1 of the one-to-one and of the many-to-one matching by region and run."""
     g, p = both(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rooftally.operators import raster
 from rooftally.plans.area import KEYS
+from rooftally.plans import loops
 from rooftally.plans.registry import query
 from rooftally.sources.views import view, with_views
 
@@ -43,7 +44,11 @@ def g7_zonal_mean(spark, d):
     return raster.zonal_mean(view(spark, d, "predictions"), painted, KEYS, "poly_id", SIZE).select("poly_id", F.round("mean", 6).alias("mean"))
 
 
-@query()
+@query(f"""{loops.recursive(_PX)}, b AS (SELECT {_K}, (ascii(substr(model_run, 5, 1)) - 65) AS run_no, px, py FROM px GROUP BY {_K}, px, py HAVING max(v) >= 235),
+r0 AS (SELECT *, px - row_number() OVER (PARTITION BY {_K}, py ORDER BY px) AS run FROM b), r AS (SELECT {_K}, run_no, py, min(px) AS px, max(px) AS last, count(*) AS n FROM r0 GROUP BY {_K}, run_no, py, run),
+s AS (SELECT *, CAST(((grid_id * 3 + run_no) * 200 + py) * 200 + px AS BIGINT) AS node FROM r),
+e AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.region = b.region AND a.model_run = b.model_run AND a.grid_id = b.grid_id AND b.py = a.py + 1 AND a.px <= b.last AND b.px <= a.last), {loops.components('lab', 'e')}
+SELECT {_K}, coalesce(component, s.node) AS component, CAST(sum(n) AS BIGINT) AS n_pixels, CAST(min(px) AS BIGINT) AS px0, CAST(max(last) AS BIGINT) AS px1, CAST(min(py) AS BIGINT) AS py0, CAST(max(py) AS BIGINT) AS py1 FROM s LEFT JOIN lab USING (node) GROUP BY ALL""")
 def g4_components(spark, d):
     bright = raster.paint_max(pixels(spark, d), KEYS).where("v >= 235").withColumn("run", F.ascii(F.substring("model_run", 5, 1)) - 65)
     number = ((F.col("grid_id") * 3 + F.col("run_no")) * 200 + F.col("py")) * 200 + F.col("px")
