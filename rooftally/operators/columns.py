@@ -84,3 +84,10 @@ def funnel(df: DataFrame, keys: list[str], stages: list[tuple[str, Column]]) ->
         passed = passed & F.coalesce(rule, F.lit(False))
         counts.append(F.count_if(passed).alias(f"n_{name}"))
     return df.groupBy(*keys).agg(*counts)
+
+
+def quartiles(df: DataFrame, key: str, by: str, kinds: list[str], value: str) -> DataFrame:
+    """Per key: n, p25, p50 and p75 of ``value``, and its median for each of ``kinds`` of ``by`` in a column of that name."""
+    all_ = [F.round(F.percentile(value, F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.75)]
+    of = [F.round(F.percentile(F.when(F.col(by) == k, F.col(value)), F.lit(0.5)), 6).alias(k) for k in kinds]
+    return df.groupBy(key).agg(F.count("*").alias("n"), *all_, *of)
