@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.functions.session import shared_dir
 from rooftally.operators import columns
 from rooftally.plans.registry import query
 from rooftally.sources.views import view, with_views
@@ -32,23 +29,3 @@ def a3_discover_best_file(spark, d):
     best = columns.first_match([(F.col("name").contains(t), str(i)) for i, t in enumerate(("_SAM2_", "_V4_", "_reviewed"))], "3")
     rank = F.row_number().over(Window.partitionBy("grid_id").orderBy(best, F.desc("name")))
     return f.withColumn("k", rank).where("k = 1").drop("k")
-
-
-@query(f"{_P} SELECT region, model_run, poly_id, area, confidence, strftime(interval_end, '%Y-%m-%d') AS interval_end FROM predictions WHERE confidence >= 0.9")
-def a10_write_inventory(spark, d):
-    """The inventory written by region and run in contract order, and read back."""
-    out = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
-    rows = view(spark, d, "predictions").where("confidence >= 0.9")
-    rows.select("poly_id", "area", "confidence", "interval_end", "region", "model_run").write.partitionBy("region", "model_run").parquet(out)
-    back = spark.read.schema("poly_id bigint, area bigint, confidence double, interval_end date, region string, model_run string").parquet(out)
-    return back.select("region", "model_run", "poly_id", "area", "confidence", F.date_format("interval_end", "yyyy-MM-dd").alias("interval_end"))
-
-
-@query(f"""{with_views('predictions', 'task_grid')}, a AS (SELECT grid_id, count(*) FILTER (WHERE model_run = 'run_A' AND confidence >= 0.99) AS n FROM predictions WHERE mean_r < 12 GROUP BY grid_id)
-SELECT region, CASE WHEN n > 0 THEN 'with_detections' WHEN n = 0 THEN 'empty' ELSE 'missing' END AS status, CAST(count(*) AS BIGINT) AS n_grids, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM task_grid LEFT JOIN a USING (grid_id) GROUP BY ALL""")
-def a11_merge_census(spark, d):
-    """Grids with detections, empty and missing ones of the census, by region."""
-    a = view(spark, d, "predictions").where("mean_r < 12").groupBy("grid_id").agg(F.count_if((F.col("model_run") == "run_A") & (F.col("confidence") >= 0.99)).alias("n"))
-    status = columns.first_match([(F.col("n") > 0, "with_detections"), (F.col("n") == 0, "empty")], "missing")
-    rows = view(spark, d, "task_grid").join(a, "grid_id", "left").groupBy("region", status.alias("status"))
-    return rows.agg(F.count("*").alias("n_grids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
