@@ -91,3 +91,12 @@ def quartiles(df: DataFrame, key: str, by: str, kinds: list[str], value: str) ->
     all_ = [F.round(F.percentile(value, F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.75)]
     of = [F.round(F.percentile(F.when(F.col(by) == k, F.col(value)), F.lit(0.5)), 6).alias(k) for k in kinds]
     return df.groupBy(key).agg(F.count("*").alias("n"), *all_, *of)
+
+
+def degree_tiles(df: DataFrame, lon: str, lat: str, side: str, step: float) -> DataFrame:
+    """Tiles of ``step`` degrees of each square (lower left corner and side), by col and row, the last ones cut at its edge."""
+    n = F.ceil(F.round(F.col(side) / step, 6)).cast("int")
+    t = df.withColumn("col", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("row", F.explode(F.sequence(F.lit(0), n - 1)))
+    low = lambda start, i: F.round(F.col(start) + F.col(i) * step, 6)
+    high = lambda start, i: F.round(F.least(F.col(start) + (F.col(i) + 1) * step, F.col(start) + F.col(side)), 6)
+    return t.withColumns({"x0": low(lon, "col"), "y0": low(lat, "row"), "x1": high(lon, "col"), "y1": high(lat, "row")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rooftally.functions.session import cut
 from rooftally.operators import graph
-from rooftally.operators.spatial import box_join, cover_by_union, overlaps, union_area
+from rooftally.operators.spatial import BOX, area_sets, box_join, cover_by_union, overlaps, union_area
 
 
 def match_strict(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.3) -> DataFrame:
@@ -150,3 +150,46 @@ def clusters(g: DataFrame, p: DataFrame, keys: list[str], iou: float = 0.0) -> D
 
 def rank_fraction(order: list[Column], keys: list[str]) -> Column:
     return F.percent_rank().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def match_sets(g: DataFrame, p: DataFrame, keys: list[str], gt: str, iou: float) -> tuple[DataFrame, DataFrame]:
+    """As `match_merged`, for ground truth of several boxes: all of one ``gt`` against the union of the predictions that touch any of them."""
+    near = box_join(g.select(*keys, gt, *BOX), p.select(*keys, "poly_id", *BOX), keys, closed=True)
+    near = near.select(*keys, gt, F.col("b_poly_id").alias("poly_id"), *[F.col(f"b_{c}").alias(c) for c in BOX]).distinct()
+    sets = area_sets(near.withColumn("area", F.lit(0)), g.join(near.select(*keys, gt).distinct(), [*keys, gt], "left_semi"), [*keys, gt])
+    sets = sets.withColumn("iou", F.col("inter_union") / (F.col("pred_union") + F.col("gt_union") - F.col("inter_union"))).where(F.col("iou") >= iou)
+    members = near.select(*keys, gt, "poly_id")
+    accepted = graph.merge_match(sets.select(*keys, gt, "iou"), members, keys, gt, "poly_id", [-F.col("iou"), F.col(gt)])
+    return accepted, members.join(accepted.select(*keys, gt), [*keys, gt], "left_semi")
+
+
+def pack_targets(p: DataFrame, keys: list[str], tile: str, chip: int, most: int) -> DataFrame:
+    """``pack`` (from 1, by tile): boxes by falling confidence, then id, go into the first pack of their tile that still fits a
+    square of ``chip`` with them and holds fewer than ``most``. A box larger than that is alone. Tiles of one key are packed in one task: a key is one cell's detections."""
+
+    def packed(pdf):
+        pdf = pdf.sort_values(["confidence", "poly_id"], ascending=[False, True])
+        packs, out = {}, []
+        for t, a, b, c, d in zip(pdf[tile], pdf.x0, pdf.y0, pdf.x1, pdf.y1):
+            own = packs.setdefault(t, [])
+            for i, (n, u, v, w, z) in enumerate(own):
+                grown = min(a, u), min(b, v), max(c, w), max(d, z)
+                if n < most and grown[2] - grown[0] <= chip and grown[3] - grown[1] <= chip:
+                    own[i] = (n + 1, *grown)
+                    break
+            else:
+                i = len(own)
+                own.append((1, a, b, c, d))
+            out.append(i + 1)
+        return pdf.assign(pack=out)[[*keys, tile, "poly_id", "pack"]]
+
+    rows = p.select(*keys, tile, "poly_id", "confidence", *BOX)
+    return rows.groupBy(*keys).applyInPandas(packed, rows.select(*keys, tile, "poly_id").schema.add("pack", "long"))
+
+
+def dissolve_overlaps(g: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Boxes (gt_id, source, area) that overlap by more than ``least`` become one: members, their distinct sources joined by +, area of their union."""
+    pairs = overlaps(g, g, keys).where((F.col("gt_id") < F.col("b_gt_id")) & (F.col("inter") > least))
+    tagged = graph.with_component(g, pairs.select("gt_id", "b_gt_id"), "gt_id", "gt_id", "b_gt_id")
+    rows = tagged.groupBy(*keys, "component").agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
+    return rows.join(union_area(tagged, [*keys, "component"]), [*keys, "component"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import graph
+from rooftally.functions.session import cut
+from rooftally.operators import columns, graph, matching, spatial
 
 
 def rasterise(boxes: DataFrame, size: int, value) -> DataFrame:
@@ -43,16 +44,90 @@ def zonal_mean(boxes: DataFrame, raster: DataFrame, keys: list[str], id_col: str
     return boxes.select(*keys, id_col).join(means, [*keys, id_col], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
 
 
-def components_4(pixels: DataFrame, keys: list[str], number: Column) -> DataFrame:
-    """Components of pixels that share an edge: (keys, component, n_pixels, and the bounds).
+def labelled_runs(pixels: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """Runs of neighbouring pixels in a row (keys, py, run, px, last, n, node) with ``component``, the smallest node that each reaches.
 
-    Runs of neighbours in a row are the nodes, named by ``number`` (a whole number for keys, px and
+    Runs are the nodes, named by ``number`` (a whole number for keys, px and
     py), so a mask of a thousand pixels is some ten nodes; runs of neighbouring rows that overlap are linked.
     """
-    start = F.col("px") - F.row_number().over(Window.partitionBy(*keys, "py").orderBy("px"))
-    runs = pixels.select(*keys, "px", "py").distinct().withColumn("run", start).groupBy(*keys, "py", "run").agg(F.min("px").alias("px"), F.max("px").alias("last"), F.count("*").alias("n"))
-    runs = runs.withColumn("node", number).drop("run")
+    runs = with_runs(pixels.select(*keys, "px", "py").distinct(), keys).groupBy(*keys, "py", "run").agg(F.min("px").alias("px"), F.max("px").alias("last"), F.count("*").alias("n"))
+    runs = runs.withColumn("node", number)
     below = runs.select(*keys, (F.col("py") - 1).alias("py"), F.col("px").alias("b_px"), F.col("last").alias("b_last"), F.col("node").alias("b_node"))
     edges = runs.join(below, [*keys, "py"]).where("px <= b_last and b_px <= last")
-    labelled = graph.with_component(runs, edges, "node", "node", "b_node")
-    return labelled.groupBy(*keys, "component").agg(F.sum("n").alias("n_pixels"), F.min("px").alias("px0"), F.max("last").alias("px1"), F.min("py").alias("py0"), F.max("py").alias("py1"))
+    return graph.with_component(runs, edges, "node", "node", "b_node")
+
+
+def with_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``run``: the same for neighbouring pixels of a row. One row a pixel."""
+    return pixels.withColumn("run", F.col("px") - F.row_number().over(Window.partitionBy(*keys, "py").orderBy("px")))
+
+
+def components_4(pixels: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """Components of pixels that share an edge: (keys, component, n_pixels, and the bounds)."""
+    return labelled_runs(pixels, keys, number).groupBy(*keys, "component").agg(F.sum("n").alias("n_pixels"), F.min("px").alias("px0"), F.max("last").alias("px1"), F.min("py").alias("py0"), F.max("py").alias("py1"))
+
+
+def label_pixels(pixels: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """``pixels``, one row each, with ``component``."""
+    runs = labelled_runs(pixels, keys, number).select(*keys, "py", "run", "component")
+    return with_runs(pixels, keys).join(runs, [*keys, "py", "run"]).drop("run")
+
+
+def hysteresis_keep(pixels: DataFrame, keys: list[str], low: float, high: float, least: int, number: Column) -> DataFrame:
+    """Pixels of at least ``low`` whose component of such pixels has ``least`` or more of at least ``high``; with ``component``."""
+    labelled = label_pixels(pixels.where(F.col("v") >= low), keys, number)
+    cores = labelled.groupBy(*keys, "component").agg(F.count_if(F.col("v") >= high).alias("n")).where(F.col("n") >= least).select(*keys, "component")
+    return labelled.join(cores, [*keys, "component"], "left_semi")
+
+
+def component_stats(labelled: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    """Per component: n_pixels, score (the largest value above 0) and soft (mean of values from ``cutoff`` on), both in units of 1; null where none counts."""
+    v = F.col("v")
+    return labelled.groupBy(*keys, "component").agg(F.count("*").alias("n_pixels"), (F.max(F.when(v > 0, v)) / 255).alias("score"), (F.avg(F.when(v >= cutoff, v)) / 255).alias("soft"))
+
+
+def local_contrast(boxes: DataFrame, raster: DataFrame, keys: list[str], id_col: str, size: int, reach: int) -> DataFrame:
+    """Mean and population deviation of valid (non-zero) pixels within ``reach`` pixels of each box's centre; null where there is none."""
+    at = lambda a, b: F.floor(F.floor((F.col(a) + F.col(b)) / 2) / size)
+    near = lambda c: F.explode(F.sequence(c - reach, c + reach))
+    around = boxes.select(*keys, id_col, near(at("x0", "x1")).alias("px"), at("y0", "y1").alias("cy")).withColumn("py", near(F.col("cy")))
+    stats = around.join(raster.where("v <> 0"), [*keys, "px", "py"]).groupBy(*keys, id_col).agg(F.avg("v").alias("brightness"), F.stddev_pop("v").alias("contrast"))
+    return boxes.select(*keys, id_col).join(stats, [*keys, id_col], "left")
+
+
+def imagery_hint(raster: DataFrame, keys: list[str], white: int, edges: list[float], names: list[str]) -> DataFrame:
+    """Share of pixels that aren't white, mean brightness and its class."""
+    r = raster.groupBy(*keys).agg(F.avg((F.col("v") < white).cast("double")).alias("valid"), F.avg("v").alias("brightness"))
+    return r.withColumn("hint", columns.bucket(F.col("brightness"), edges, names))
+
+
+def vectorized(pixels: DataFrame, keys: list[str], mask: str, size: int) -> DataFrame:
+    """Of each mask the largest component, the upper left one among equals, as a box with its area: (keys, mask, x0, y0, x1, y1, area)."""
+    parts = components_4(pixels, [*keys, mask], F.xxhash64(mask, "py", "px"))
+    best = parts.groupBy(*keys, mask).agg(F.max_by(F.struct("px0", "px1", "py0", "py1", "n_pixels"), F.struct("n_pixels", -F.col("py0"), -F.col("px0"))).alias("m"))
+    return best.select(*keys, mask, (F.col("m.px0") * size).alias("x0"), (F.col("m.py0") * size).alias("y0"), ((F.col("m.px1") + 1) * size).alias("x1"), ((F.col("m.py1") + 1) * size).alias("y1"), (F.col("m.n_pixels") * size * size).alias("area"))
+
+
+def finalized(detections: DataFrame, pixels: DataFrame, keys: list[str], mask: str, size: int, gate: Column, cutoff: float, filters: Column, iou: float, tolerance: int, suppress_first: bool = False) -> dict[str, DataFrame]:
+    """The stages from detections to footprints by name: gated, vectorized, filtered and suppressed (or the other way round), dissolved.
+
+    ``pixels``: soft masks of the detections; ``filters`` sees area, elongation, mean (of the painted raster), and the detections' columns.
+    """
+    gated = cut(detections.where(gate))
+    masks = pixels.join(gated.select(*keys, mask), [*keys, mask], "left_semi").where(F.col("v") >= cutoff)
+    shapes = vectorized(masks, keys, mask, size).join(gated.drop("x0", "y0", "x1", "y1", "area"), [*keys, mask])
+    means = zonal_mean(shapes, paint_max(masks, keys), keys, mask, size)
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    shapes = cut(shapes.join(means, [*keys, mask]).withColumns({"elongation": F.greatest(w, h) / F.least(w, h), "box": w * h}))
+
+    def suppressed(df: DataFrame) -> DataFrame:
+        kept = matching.nms_area(df.select(*keys, F.col(mask).alias("poly_id"), "x0", "y0", "x1", "y1", F.col("box").alias("area")), keys, iou)
+        return df.join(kept.select(F.col("poly_id").alias(mask)), mask, "left_semi")
+
+    first = suppressed(shapes) if suppress_first else shapes.where(filters)
+    second = cut(first.where(filters) if suppress_first else suppressed(first))
+    box = second.select(*keys, F.col(mask).alias("poly_id"), "x0", "y0", "x1", "y1")
+    near = spatial.near_boxes(box, box, keys, tolerance).where("poly_id < b_poly_id")
+    dissolved = graph.with_component(box, near, "poly_id", "poly_id", "b_poly_id").select(*keys, "component").distinct()
+    names = ("suppressed", "filtered") if suppress_first else ("filtered", "suppressed")
+    return {"gated": gated, "vectorized": shapes, names[0]: first, names[1]: second, "dissolved": dissolved}

@@ -179,3 +179,46 @@ def cover_by_union(g: DataFrame, p: DataFrame, keys: list[str], gt_id: str, more
     clipped = pairs.select(*keys, gt_id, *extra, F.greatest("x0", "b_x0").alias("x0"), F.greatest("y0", "b_y0").alias("y0"), F.least("x1", "b_x1").alias("x1"), F.least("y1", "b_y1").alias("y1"))
     out = union_area(clipped, [*keys, gt_id, *extra]).withColumnRenamed("union_area", "covered")
     return out.withColumnsRenamed({f"b_{m}": m for m in more})
+
+
+def closing_area(df: DataFrame, keys: list[str], reach: int, size: int = BUCKET) -> DataFrame:
+    """``closed_area`` per key: the union of the boxes grown by ``reach`` and shrunk again by as much, so gaps of up to twice ``reach`` are filled.
+
+    What isn't covered by grown boxes is found bucket by bucket as the gaps of each slab, with the empty buckets beside covered ones;
+    grown by ``reach``, it is what shrinking takes away. ``reach`` is below the bucket's size. All of it stays inside a bucket and its neighbours.
+    """
+    grown = df.select(*keys, *[(F.col(c) - reach).alias(c) for c in BOX[:2]], *[(F.col(c) + reach).alias(c) for c in BOX[2:]])
+    part, low = [*keys, "bx", "by"], F.lit(-(2**62))
+    cut = bucketed(grown, size=size)
+    left, bottom = F.col("bx") * size, F.col("by") * size
+    cut = cut.withColumns({"x0": F.greatest("x0", left), "x1": F.least("x1", left + size), "y0": F.greatest("y0", bottom), "y1": F.least("y1", bottom + size)}).where("x1 > x0 and y1 > y0")
+    cells = cut.groupBy(*part).agg(F.collect_set("x0").alias("a"), F.collect_set("x1").alias("b"), F.collect_set(F.struct("y0", "y1", "x0", "x1")).alias("boxes"))
+    edges = F.array_sort(F.array_union(F.array_union("a", "b"), F.array(left, left + size)))
+    cells = cells.withColumn("edges", edges).persist()
+    slabs = F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), lambda a, b: F.struct(a.alias("xa"), b.alias("xb")))
+    rows = cells.select(*part, "boxes", F.explode(slabs).alias("s"))
+    inside = F.array_sort(F.filter("boxes", lambda q: (q["x0"] <= F.col("s.xa")) & (q["x1"] >= F.col("s.xb"))))
+    spans = F.concat(F.transform(inside, lambda q: F.struct(q["y0"].alias("y0"), q["y1"].alias("y1"))), F.array(F.struct((bottom + size).alias("y0"), (bottom + size).alias("y1"))))
+    start = F.struct(bottom.cast("long").alias("top"), F.array().cast("array<struct<y0:bigint,y1:bigint>>").alias("gaps"))
+
+    def step(state: Column, q: Column) -> Column:
+        gap = F.array(F.struct(state["top"].alias("y0"), q["y0"].cast("long").alias("y1")))
+        return F.struct(F.greatest(state["top"], q["y1"]).cast("long").alias("top"), F.when(q["y0"] > state["top"], F.concat(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"))
+
+    gaps = rows.select(*keys, F.col("s.xa").alias("x0"), F.col("s.xb").alias("x1"), F.explode(F.aggregate(spans, start, step, lambda s: s["gaps"])).alias("g")).select(*keys, "x0", "g.y0", "x1", "g.y1")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    empty = cells.select(*keys, "bx", "by", around.alias("d")).select(*keys, (F.col("bx") + F.col("d.dx")).alias("bx"), (F.col("by") + F.col("d.dy")).alias("by")).distinct().join(cells.select(*part), part, "left_anti")
+    gaps = gaps.unionByName(empty.select(*keys, left.alias("x0"), bottom.alias("y0"), (left + size).alias("x1"), (bottom + size).alias("y1")))
+    taken = bucketed(gaps.select(*keys, *[(F.col(c) - reach).alias(c) for c in BOX[:2]], *[(F.col(c) + reach).alias(c) for c in BOX[2:]]), size=size).join(cells.select(*part), part, "left_semi")
+    taken = taken.withColumns({"x0": F.greatest("x0", left), "x1": F.least("x1", left + size), "y0": F.greatest("y0", bottom), "y1": F.least("y1", bottom + size)}).where("x1 > x0 and y1 > y0")
+    away = union_area(taken, part, size)
+    rest = cells.select(*part).join(away, part, "left").groupBy(*keys)
+    return rest.agg(F.sum(size * size - F.coalesce("union_area", F.lit(0))).cast("long").alias("closed_area"))
+
+
+def within_gap(df: DataFrame, keys: list[str], id_col: str, gap: int) -> DataFrame:
+    """Pairs (a, b) of boxes, a < b, that are at most ``gap`` apart on both axes, with that distance (the larger of the two) as ``apart``."""
+    box = df.select(*keys, id_col, *BOX)
+    pairs = box_join(box, box, keys, margin=gap, closed=True).where(F.col(id_col) < F.col(f"b_{id_col}"))
+    apart = F.greatest(*[F.greatest(F.col(f"b_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"b_{c}1")) for c in "xy"], F.lit(0))
+    return pairs.select(*keys, F.col(id_col).alias("a"), F.col(f"b_{id_col}").alias("b"), apart.alias("apart"))

@@ -162,12 +162,7 @@ t AS (SELECT g.*, coalesce(component, gt_id) AS component FROM ground_truth g LE
 SELECT region, grid_id, component, CAST(count(*) AS BIGINT) AS n_members, string_agg(DISTINCT source, '+' ORDER BY source) AS source, any_value(u.union_area) AS union_area FROM t JOIN u USING (region, grid_id, component) GROUP BY region, grid_id, component""")
 def f10_dissolve_clean_gt(spark, d):
     """Ground truth that overlaps by over 100 square decimetres becomes one; sources are listed, areas are of the union."""
-    g = view(spark, d, "ground_truth")
-    pairs = spatial.overlaps(g, g, ["region", "grid_id"]).where("gt_id < b_gt_id and inter > 100")
-    tagged = graph.with_component(g, pairs.select("gt_id", "b_gt_id"), "gt_id", "gt_id", "b_gt_id")
-    keys = ["region", "grid_id", "component"]
-    rows = tagged.groupBy(*keys).agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
-    return rows.join(spatial.union_area(tagged, keys), keys)
+    return matching.dissolve_overlaps(view(spark, d, "ground_truth"), ["region", "grid_id"], 100)
 
 
 @query(f"""{with_views('predictions', 'task_grid')}, p AS (SELECT p.grid_id, poly_id, area, x0 + gx * 3000 AS x0, y0 + gy * 3000 AS y0, x1 + gx * 3000 AS x1, y1 + gy * 3000 AS y1 FROM predictions p JOIN task_grid t USING (grid_id) WHERE review_status <> 'delete'),

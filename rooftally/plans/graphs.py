@@ -125,11 +125,7 @@ def f5_nms_score(spark, d):
     return matching.nms_score(view(spark, d, "predictions"), KEYS, 0.1).select(*KEYS, "poly_id", "confidence")
 
 
-@query(f"""{_SELF}, n AS (SELECT {_K}, poly_id AS i, list({{j: b_poly_id, larger: area >= b_area}} ORDER BY b_poly_id) AS n FROM self WHERE {_SIOU} > 0.1 GROUP BY ALL),
-l AS (SELECT {_K}, list_reduce(list({{i: i, n: n, d: CAST([] AS BIGINT[])}} ORDER BY i), lambda a, x: CASE WHEN list_contains(a.d, x.i) THEN a ELSE {{i: x.i, n: x.n, d: list_concat(a.d, list_transform(
-  list_filter([{{v: list_filter(x.n, lambda y: NOT list_contains(a.d, y.j))}}], lambda z: len(z.v) > 0), lambda z: list_concat(list_transform(list_filter(z.v, lambda y, k: len(list_filter(z.v, lambda q, o: o <= k AND NOT q.larger)) = 0), lambda y: y.j),
-  CASE WHEN len(list_filter(z.v, lambda q: NOT q.larger)) > 0 THEN [x.i] ELSE CAST([] AS BIGINT[]) END))[1])}} END, {{i: CAST(-1 AS BIGINT), n: CAST([] AS STRUCT(j BIGINT, larger BOOLEAN)[]), d: CAST([] AS BIGINT[])}}) AS m FROM n GROUP BY {_K})
-SELECT {_K}, poly_id, area FROM predictions WHERE poly_id NOT IN (SELECT unnest(m.d) FROM l)""")
+@query(f"""{_SELF}, e AS (SELECT {_K}, poly_id AS i, b_poly_id AS j, area >= b_area AS larger FROM self WHERE {_SIOU} > 0.1), {loops.larger_stays('gone', 'e', _K)} SELECT {_K}, poly_id, area FROM predictions WHERE poly_id NOT IN (SELECT id FROM gone)""")
 def f6_nms_area(spark, d):
     return matching.nms_area(view(spark, d, "predictions"), KEYS, 0.1).select(*KEYS, "poly_id", "area")
 

@@ -58,3 +58,13 @@ def components(name: str, edges: str) -> str:
 
 def recursive(views: str) -> str:
     return views.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def larger_stays(name: str, src: str, keys: str) -> str:
+    """``name``: (id) of what goes when boxes look at later ones in order: src (keys, i, j, larger)."""
+    return f"""
+{name}_n AS (SELECT {keys}, i, list({{j: j, larger: larger}} ORDER BY j) AS n FROM {src} GROUP BY ALL),
+{name}_l AS (SELECT {keys}, list_reduce(list({{i: i, n: n, d: CAST([] AS BIGINT[])}} ORDER BY i), lambda a, x: CASE WHEN list_contains(a.d, x.i) THEN a ELSE {{i: x.i, n: x.n, d: list_concat(a.d, list_transform(
+  list_filter([{{v: list_filter(x.n, lambda y: NOT list_contains(a.d, y.j))}}], lambda z: len(z.v) > 0), lambda z: list_concat(list_transform(list_filter(z.v, lambda y, k: len(list_filter(z.v, lambda q, o: o <= k AND NOT q.larger)) = 0), lambda y: y.j),
+  CASE WHEN len(list_filter(z.v, lambda q: NOT q.larger)) > 0 THEN [x.i] ELSE CAST([] AS BIGINT[]) END))[1])}} END, {{i: CAST(-1 AS BIGINT), n: CAST([] AS STRUCT(j BIGINT, larger BOOLEAN)[]), d: CAST([] AS BIGINT[])}}) AS m FROM {name}_n GROUP BY {keys}),
+{name} AS (SELECT DISTINCT unnest(m.d) AS id FROM {name}_l)"""
