@@ -93,3 +93,30 @@ def kappa(df: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
 def through_thresholds(df: DataFrame, thresholds: list[float], score: str, name: str = "threshold") -> DataFrame:
     """Each row once for each threshold that its score reaches: a sweep in one pass."""
     return df.withColumn(name, F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(score) >= t)))
+
+
+def paired_ci(df: DataFrame, keys: list[str], order: str, a: str, b: str, draws: int = 200, seed: str = "42") -> DataFrame:
+    """Interval of the mean of ``a`` - ``b`` over resampled rows, which keep their two values together."""
+    return bootstrap_ci(df.withColumn("delta", F.col(a) - F.col(b)), keys, order, "delta", "mean", draws, seed)
+
+
+def against_base(df: DataFrame, keys: list[str], variant: str, is_base: Column, rules: list[tuple[str, Column]], score: str) -> DataFrame:
+    """Rows with ``reasons`` (names of the rules that hold against the base row of their keys, whose columns are ``b_…``) and ``place`` by falling score among those without any."""
+    base = df.where(is_base).select(*keys, *[F.col(c).alias(f"b_{c}") for c in df.columns if c not in keys])
+    rows = df.join(base, keys).withColumn("reasons", F.concat_ws(",", *[F.when(rule, F.lit(name)) for name, rule in rules]))
+    clean = F.col("reasons") == ""
+    place = F.row_number().over(Window.partitionBy(*keys, clean).orderBy(F.desc(F.round(score, 6)), variant))
+    return rows.withColumn("place", F.when(clean, place)).select(*df.columns, "reasons", "place")
+
+
+def lock_validate(df: DataFrame, keys: list[str], suite: str, chosen_on: str, threshold: str, score: str, gap: float, leaks: DataFrame) -> DataFrame:
+    """The threshold that is best on one suite (the smallest among equals), its score on each suite beside the best there, and a verdict: leak, gap or ok.
+
+    leaks: keys and ``n_leaks``, cells of the suite chosen on that a test suite has as well.
+    """
+    locked = df.where(F.col(suite) == chosen_on).groupBy(*keys).agg(F.min(F.struct(-F.round(score, 9), F.col(threshold).alias("t"))).alias("m")).select(*keys, F.col("m.t").alias("locked"))
+    best = df.groupBy(*keys, suite).agg(F.max(score).alias("best"))
+    rows = df.join(locked, keys).where(F.col(threshold) == F.col("locked")).join(best, [*keys, suite]).join(leaks, keys, "left").withColumn("n_leaks", F.coalesce("n_leaks", F.lit(0)))
+    apart = F.col("best") - F.col(score)
+    verdict = F.when((F.col(suite) == chosen_on) & (F.col("n_leaks") > 0), "leak").when(apart > gap, "gap").otherwise("ok")
+    return rows.select(*keys, suite, "locked", F.round(score, 6).alias(score), F.round("best", 6).alias(f"best_{score}"), F.round(apart, 6).alias("gap"), verdict.alias("verdict"), "n_leaks")
