@@ -111,7 +111,9 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     docs_ = docs_.select("id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), "copies", "nos",
         F.when(F.size("nos") > 0, F.struct(F.xxhash64("nos").alias("a"), F.xxhash64(F.lit(1), "nos").alias("b"))).alias("which")).persist()
     which = docs_.where("which is not null").groupBy("which").agg(F.first("nos").alias("nos")).select("which", F.explode("nos").alias("no"))
-    lists = which.join(named.select("no", "item"), "no").groupBy("which").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = docs_.join(lists, "which", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    lists = which.join(named.select("no", "item"), "no").groupBy("which").agg(F.array_sort(F.collect_set("item")).alias("items")).persist()
+    sets, total = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    hit = docs_.where("which is not null").join(F.broadcast(lists) if max(sets, total) <= BROADCAST_KEYS else lists, "which")
+    out = hit.unionByName(docs_.where("which is null").withColumn("items", F.array().cast("array<string>")))
     out = out.select("id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
     return out.drop("_").withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
