@@ -13,37 +13,41 @@ def _iou(a, b):
 
 
 def test_spaced_pick_equals_the_loop(spark):
-    got = {r.grid_id for r in audits.j7_spaced_pick(spark, SF).collect()}
+    got = {r.grid_id: r.chosen_by for r in audits.j7_spaced_pick(spark, SF).collect()}
     score = {}
     for r in view(spark, SF, "predictions").select("grid_id", "area").collect():
         score[r.grid_id] = score.get(r.grid_id, 0) + r.area
-    chosen = []
-    for g in sorted((r for r in view(spark, SF, "task_grid").collect() if r.grid_id in score), key=lambda r: (-score[r.grid_id], r.grid_id)):
-        def gap(a, b):
-            return max(abs(a - b) * 10 - 1, 0)
-
-        if all(c.region != g.region or gap(c.gx, g.gx) ** 2 > 400 or gap(c.gy, g.gy) ** 2 > 400 for c in chosen):
-            chosen.append(g)
-    assert got == {g.grid_id for g in chosen}
+    order = sorted((r for r in view(spark, SF, "task_grid").collect() if r.grid_id in score), key=lambda r: (-score[r.grid_id], r.grid_id))
+    want = {}
+    for region in {r.region for r in order}:
+        own, chosen = [r for r in order if r.region == region], []
+        for g in own:
+            if len(chosen) < 12 and all(abs(c.gx - g.gx) > 2 or abs(c.gy - g.gy) > 2 for c in chosen):
+                chosen.append(g)
+        rest = [g for g in own if g not in chosen][: 12 - len(chosen)]
+        want |= {g.grid_id: "spaced" for g in chosen} | {g.grid_id: "fill" for g in rest}
+    assert got == want
 
 
 def test_stable_reindex_keeps_old_order(spark):
     rows = audits.f17_stable_reindex(spark, SF).collect()
-    new = {r.poly_id: r for r in view(spark, SF, "predictions").where("model_run = 'run_A'").collect()}
+    new = {r.poly_id: r for r in view(spark, SF, "predictions").collect()}
     assert len(rows) == len(new)
     free, want = {}, {}
     for r in new.values():
-        free.setdefault((r.region, r.grid_id), []).append(r)
+        free.setdefault((r.region, r.model_run, r.grid_id), []).append(r)
     for g in sorted(view(spark, SF, "ground_truth").collect(), key=lambda r: r.gt_id):
-        fits = [(-_iou(g, p), p.poly_id, p) for p in free.get((g.region, g.grid_id), []) if _iou(g, p) > 0.5]
-        if fits:
-            best = min(fits, key=lambda x: x[:2])[2]
-            free[(g.region, g.grid_id)].remove(best)
-            want[best.poly_id] = g.gt_id
+        for run in ("run_A", "run_B", "run_C"):
+            own = free.get((g.region, run, g.grid_id), [])
+            fits = [(-_iou(g, p), p.poly_id, p) for p in own if _iou(g, p) > 0.5]
+            if fits:
+                best = min(fits, key=lambda x: x[:2])[2]
+                own.remove(best)
+                want[best.poly_id] = g.gt_id
     assert {r.poly_id: r.old_id for r in rows if r.old_id is not None} == want
     places = {}
     for r in rows:
-        places.setdefault((r.region, r.grid_id), []).append((r.place, r.old_id is None, r.old_id or 0, r.poly_id))
+        places.setdefault((r.region, r.model_run, r.grid_id), []).append((r.place, r.old_id is None, r.old_id or 0, r.poly_id))
     for group in places.values():
         group.sort()
         assert [x[0] for x in group] == list(range(1, len(group) + 1))
