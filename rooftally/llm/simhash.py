@@ -236,7 +236,7 @@ def lowest_of(distinct: DataFrame, labels: DataFrame, names: list[str]) -> DataF
     labels: (node, label) of the fingerprints with a link; the others are on their own. A component of a third of
     all fingerprints is one row of what is joined: it is broadcast while counted short, else dealt out in copies by salt.
     """
-    linked = labels.withColumnRenamed("node", "fp").join(distinct, "fp").persist()
+    linked = cut(labels.withColumnRenamed("node", "fp").join(distinct, "fp"))
     least = linked.groupBy("label").agg(F.min("low").alias("least"))
     if least.count() <= BROADCAST_KEYS:
         told = linked.join(F.broadcast(least), "label")
@@ -258,9 +258,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 4, radiu
     are read, so other columns can't clash.
     """
     rows = fingerprints(df, id_col, text_col, k).persist()
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")).persist()
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     labels = components(links(distinct.select("fp"), radius, distinct.count()), "a", "b")
-    named = lowest_of(distinct, labels, ["component_id"]).drop("linked").persist()
+    named = cut(lowest_of(distinct, labels, ["component_id"]).drop("linked"))
     return join_skewed(rows, named, "fp", "n").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -268,7 +268,7 @@ def distinct_documents(df: DataFrame, id_col: str, text_col: str, k: int = 4, ra
     """``df`` with one row of each component, as `one_of_each` chooses it."""
     both = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
     rows = cut(fingerprints(df.select(both.alias("both"), F.col(text_col).alias("text")), "both", "text", k).select("id.id", "id.text_hash", "fp"))
-    distinct = rows.select("fp").distinct().persist()
+    distinct = cut(rows.select("fp").distinct())
     return one_of_each(df, rows, components(links(distinct, radius, distinct.count()), "a", "b"), id_col, text_col)
 
 
@@ -281,10 +281,10 @@ def one_of_each(df: DataFrame, rows: DataFrame, labels: DataFrame, id_col: str,
     ``df`` may have any columns; an empty one gives no rows.
     """
     who = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("text_hash"))
-    distinct = rows.groupBy("fp").agg(F.min(who).alias("low"), F.count("*").alias("n")).persist()
+    distinct = cut(rows.groupBy("fp").agg(F.min(who).alias("low"), F.count("*").alias("n")))
     named = lowest_of(distinct, labels, ["nameless", "id", "text_hash"]).where("n > 1 or linked")
-    several = named.select("fp", F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash"), "n").persist()
-    met = join_skewed(rows, several, "fp", "n").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash"))).persist()
+    several = named.select("fp", F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash"), "n")
+    met = cut(join_skewed(rows, cut(several), "fp", "n").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash"))))
     kept = without(df, met.where("not stays").select("id", "text_hash").distinct(), [df[id_col], F.xxhash64(df[text_col])])
     again = met.where("stays").groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash").persist()
     if again.isEmpty():
