@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rooftally.functions.session import cut
+from rooftally.functions.session import cut, drop
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node (a whole number) that each node of ``edges`` can reach, itself included.
 
     Each round takes the smallest label next to a node, gives it to the node and to the node's own
-    label, then takes the label of that label. As whole trees are hooked, rounds grow with the
+    label, then takes the label that this label had. As whole trees are hooked, rounds grow with the
     logarithm of the longest path. Labels only fall, so a round that leaves their sum as it was is
     the last, and there always is one. Hot nodes are a join's skew, which Spark splits, and a
     minimum, which is taken before the shuffle. Nodes without
@@ -34,13 +34,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
         found = labels.join(near, "node").select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("label").alias("node"), "low"))).alias("f"))
         low = found.groupBy("f.node").agg(F.min("f.low").alias("low"))
-        hooked = cut(labels.join(low, "node").select("node", F.least("label", "low").alias("label")))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = cut(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label")))
+        hooked = labels.join(low, "node").select("node", F.least("label", "low").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label")), labels)
         now = labels.agg(total).first()[0]
         if now == last:
             break
         last = now
+    drop(both)
     return labels
 
 
@@ -105,7 +106,8 @@ def greedy_match(edges: DataFrame, keys: list[str], a: str, b: str, order: list[
 
 def _ranked(pdf):
     """The index of ``pdf`` by its column of structs ``_rank``."""
-    return sorted(pdf.index, key=lambda i: tuple(pdf.at[i, "_rank"].values()))
+    ranks = [tuple(r.values()) for r in pdf["_rank"]]
+    return pdf.index[sorted(range(len(ranks)), key=ranks.__getitem__)]
 
 
 def _matched(left: DataFrame, keys: list[str], a: str, b: str, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -118,7 +120,7 @@ def _matched(left: DataFrame, keys: list[str], a: str, b: str, rounds: int | Non
         best_b = left.groupBy(*keys, b).agg(F.min("_rank").alias("_rank"))
         won = cut(best_a.join(best_b, [*keys, b, "_rank"]).select(*left.columns))
         taken = won.drop("_rank") if taken is None else taken.unionByName(won.drop("_rank"))
-        left = cut(left.join(won.select(*keys, a), [*keys, a], "left_anti").join(won.select(*keys, b), [*keys, b], "left_anti"))
+        left = cut(left.join(won.select(*keys, a), [*keys, a], "left_anti").join(won.select(*keys, b), [*keys, b], "left_anti"), left)
         if left.isEmpty():
             return taken, None
     return taken, left
@@ -155,7 +157,7 @@ def _suppressed(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame,
         first = edges.select("_h").distinct().join(edges.select(F.col("_l").alias("_h")), "_h", "left_anti")
         out = cut(edges.join(first, "_h", "left_semi").select(F.col("_l").alias("_n")).distinct())
         gone = gone.unionByName(out)
-        edges = cut(edges.join(out.withColumnRenamed("_n", "_h"), "_h", "left_anti").join(out.withColumnRenamed("_n", "_l"), "_l", "left_anti"))
+        edges = cut(edges.join(out.withColumnRenamed("_n", "_h"), "_h", "left_anti").join(out.withColumnRenamed("_n", "_l"), "_l", "left_anti"), edges)
         if edges.isEmpty():
             return gone, None
     return gone, edges
@@ -202,7 +204,8 @@ def _merged(links: DataFrame, keys: list[str], gt: str, pred: str, rounds: int |
         won = cut(now.join(taken, [*keys, pred], "left_anti").select(*keys, gt).distinct())
         accepted = accepted.unionByName(won)
         taken = cut(taken.unionByName(now.join(won, [*keys, gt], "left_semi").select(*keys, pred)).distinct())
-        links = cut(links.join(now.select(*keys, gt).distinct(), [*keys, gt], "left_anti"))
+        links = cut(links.join(now.select(*keys, gt).distinct(), [*keys, gt], "left_anti"), links)
+        drop(now)
         if links.isEmpty():
             return accepted, taken, None
     return accepted, taken, links

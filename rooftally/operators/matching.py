@@ -127,7 +127,7 @@ def _area_rounds(pairs: DataFrame) -> DataFrame:
         stops = looks.groupBy("i").agg(F.min(F.when(~F.col("larger"), F.col("j"))).alias("stop"))
         victims = looks.join(stops, "i").where("stop is null or j < stop").select(F.col("j").alias("poly_id"))
         gone = cut(gone.unionByName(victims).unionByName(stops.where("stop is not null").select(F.col("i").alias("poly_id"))).distinct())
-        pairs = cut(pairs.join(ready, "i", "left_anti"))
+        pairs = cut(pairs.join(ready, "i", "left_anti"), pairs)
     return gone
 
 
