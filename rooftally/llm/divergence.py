@@ -1,10 +1,11 @@
 """How sources of a language differ in their terms: smoothed shares of frequent terms, compared exactly.
 
-Frequent terms are found by prefix refinement. Texts are taken as bytes, a term has an end mark, and level by level
+Frequent terms are found by prefix refinement. A term is its bytes and an end mark, and level by level
 documents are counted for each prefix of so many bytes. A prefix in too few documents is discarded with
 all that begin with it, as none of them can be in more; one that holds the end mark is a complete term, and kept.
 Prefixes that aren't complete are extended at the next level, until none are left. A document names each of its prefixes
-once, so counts are sums, taken in part before the shuffle; no list of all terms is ever made.
+once, so counts are sums: a task adds up what it reads in a bounded table, hands that on, drops what was discarded before, and
+Spark adds up the tasks. No list of all terms is ever made.
 
 Shares are whole numbers of billionths. The sum over all terms for two sources is that of two sources without
 terms, and for each term that one of them has, what it changes there. Terms are dealt out in blocks,
@@ -13,59 +14,96 @@ with sources in blocks too, and a task sums the differences of a block's matrix
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rooftally.functions.session import cut
-from rooftally.llm.text import BROADCAST_KEYS, LOWER, UPPER
+from rooftally.llm.text import BROADCAST_KEYS
 
-#: What is between terms, of texts whose characters are the bytes of their UTF-8; what ends a term, which none holds.
-GAP, END = "[^A-Za-z\u0080-ÿ]+", "\0"
+#: A term in bytes, once A to Z are lower-cased; what ends it, which none holds.
+TERM, END = re.compile(rb"[a-z\x80-\xff]+"), b"\0"
 #: Bytes of the prefixes of the first level; each further one has twice as many.
 FIRST = 4
+#: Names that a task counts before it hands them on.
+HELD = 400_000
 #: Added to each count, and what a share of 1 is.
 PLUS, WHOLE = 5, 1_000_000_000
 #: Sources of a block of sources, cells of a block's matrix, least number of blocks of a language's terms.
 SOURCES, CELLS, BLOCKS = 256, 1 << 18, 16
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text one after the other, each as its bytes (a character each), with END; a null text has none."""
-    as_bytes = F.decode(F.encode(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "UTF-8"), "ISO-8859-1")
-    return F.transform(F.array_remove(F.split(as_bytes, GAP), ""), lambda w: F.concat(w, F.lit(END)))
+def terms(text: bytes) -> list[bytes]:
+    """The terms of a text one after the other, without END."""
+    return TERM.findall(text.lower())
+
+
+def prefixes(found: list[bytes], width: int, above: int) -> set[bytes]:
+    """Prefixes of so many bytes of the terms with END; those of ``above`` bytes or less, END included, are left out."""
+    return {w[:width] if len(w) >= width else w + END for w in set(found) if len(w) >= above}
 
 
 def spelled(term: Column) -> Column:
-    """A term of `terms` as text."""
-    return F.decode(F.encode(F.substring(term, F.lit(1), F.char_length(term) - 1), "ISO-8859-1"), "UTF-8")
+    """A complete term as text."""
+    return F.decode(F.substring(term, F.lit(1), F.octet_length(term) - 1), "UTF-8")
+
+
+def _complete(term: Column) -> Column:
+    return F.substring(term, -1, 1) == F.lit(bytearray(END))
+
+
+def _added_up(docs: DataFrame, by: list[str], names: Callable[[list[bytes]], object], name: str) -> DataFrame:
+    """docs: ``by`` (texts, not null), text. (by, name, n): how often ``names`` of a row's terms gives each name, in part: a name may have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, Counter] = defaultdict(Counter)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for key, held in counts.items():
+                columns = [pa.array([k] * len(held), pa.string()) for k in key]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], [*by, name, "n"])
+            counts.clear()
+
+        for batch in batches:
+            keys = zip(*[batch.column(i).to_pylist() for i in range(len(by))])
+            for key, text in zip(keys, batch.column(len(by)).cast(pa.binary())):
+                if (bytes_ := text.as_py()) is not None:
+                    counts[key].update(names(terms(bytes_)))
+            if sum(map(len, counts.values())) > HELD:
+                yield from told()
+        yield from told()
+
+    return docs.select(*by, "text").mapInArrow(run, ", ".join(f"{c} string" for c in by) + f", {name} binary, n bigint")
 
 
-def _counted(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], name: str) -> DataFrame:
-    """Rows by ``by``, of those whose ``on``, part of ``by``, is in ``keys``: told to all tasks while counted short, else joined to the counts."""
+def _known(counts: DataFrame, keys: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """`_added_up` rows summed over tasks, of those whose ``on`` is in ``keys``: told to all tasks, and dropped before the shuffle, while counted short, else joined to the sums."""
     few = keys.count() <= BROADCAST_KEYS
-    counts = (rows.join(F.broadcast(keys), on, "left_semi") if few else rows).groupBy(*by).agg(F.count("*").alias(name))
-    return counts if few else counts.join(keys, on, "left_semi")
+    sums = (counts.join(F.broadcast(keys), on, "left_semi") if few else counts).groupBy(*by).agg(F.sum("n").alias("n"))
+    return sums if few else sums.join(keys, on, "left_semi")
 
 
 def frequent_terms(docs: DataFrame, group: str, least: int) -> DataFrame:
-    """docs: group, words (`terms`). (group, term, docs): terms in ``least`` rows of their group or more, by prefix refinement."""
+    """docs: group (text, not null), text. (group, term, n): terms in ``least`` rows of their group or more, by prefix refinement."""
     kept, alive, width = None, None, FIRST
     while alive is None or not alive.isEmpty():
-        half = width // 2
-        words = F.col("words") if alive is None else F.filter("words", lambda w: F.char_length(w) > half)  # shorter ones are complete
-        names = F.array_distinct(F.transform(words, lambda w: F.substring(w, F.lit(1), F.lit(width))))
-        rows = docs.select(group, F.explode(names).alias("prefix"))
+        half = 0 if alive is None else width // 2  # what isn't longer was complete before
+        counts = _added_up(docs, [group], lambda found, width=width, half=half: prefixes(found, width, half), "prefix")
         if alive is None:
-            counts = rows.groupBy(group, "prefix").agg(F.count("*").alias("docs"))
+            sums = counts.groupBy(group, "prefix").agg(F.sum("n").alias("n"))
         else:
             before = alive.select(group, F.col("prefix").alias("_before"))
-            counts = _counted(rows.withColumn("_before", F.substring("prefix", 1, half)), before, [group, "_before"], [group, "prefix", "_before"], "docs").drop("_before")
-        level = cut(counts.where(F.col("docs") >= least))
-        done = level.where(F.col("prefix").endswith(END)).withColumnRenamed("prefix", "term")
+            sums = _known(counts.withColumn("_before", F.substring("prefix", 1, half)), before, [group, "_before"], [group, "prefix", "_before"]).drop("_before")
+        level = cut(sums.where(F.col("n") >= least))
+        done = level.where(_complete(F.col("prefix"))).withColumnRenamed("prefix", "term")
         kept = done if kept is None else kept.unionByName(done)
-        alive, width = level.where(~F.col("prefix").endswith(END)), width * 2
+        alive, width = level.where(~_complete(F.col("prefix"))), width * 2
     return kept
 
 
@@ -94,7 +132,7 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("v") * F.least(F.col("sources"), F.lit(2 * SOURCES)) / CELLS)).cast("int")
     dealt = groups.select("lang", "source", "base", parts.alias("parts"), blocks.alias("blocks"), F.pmod(F.xxhash64("source"), parts).cast("int").alias("part"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("x"), F.greatest(o, F.col("part")).alias("y")))
-    own = dealt.withColumns({"term": F.lit(None).cast("string"), "p": F.col("base")}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = dealt.withColumns({"term": F.lit(None).cast("binary"), "p": F.col("base")}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = shares.join(hint(dealt), ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
     met = own.unionByName(rest, allowMissingColumns=True).withColumn("meet", F.explode(meets))
     sides = [(F.col("meet.x") == F.col("part")).alias("left"), (F.col("meet.y") == F.col("part")).alias("right")]
@@ -127,9 +165,8 @@ def audit(df: DataFrame, text_col: str, lang_col: str, source_col: str, least: i
     their pairs too. Texts are read whole, however long, and so are terms. Only the three columns are read, so others can't clash; an empty table gives no rows.
     """
     named = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], F.col(text_col).alias("text"))
-    docs = named.select("lang", "source", terms(F.col("text")).alias("words"))
-    kept = cut(frequent_terms(docs, "lang", least).select("lang", "term"))
-    counts = cut(_counted(docs.select("lang", "source", F.explode("words").alias("term")), kept, ["lang", "term"], ["lang", "source", "term"], "count"))
+    kept = cut(frequent_terms(named, "lang", least).select("lang", "term"))
+    counts = cut(_known(_added_up(named, ["lang", "source"], lambda found: [w + END for w in found], "term"), kept, ["lang", "term"], ["lang", "source", "term"]).withColumnRenamed("n", "count"))
     by_source = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     every = named.groupBy("lang", "source").agg(F.count("*").alias("rows")).join(by_source, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
     every = cut(every.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")))
