@@ -4,7 +4,7 @@ Frequent terms are found by prefix refinement. A term is its bytes and an end ma
 documents are counted for each prefix of so many bytes. A prefix in too few documents is discarded with
 all that begin with it, as none of them can be in more; one that holds the end mark is a complete term, and kept.
 Prefixes that aren't complete are extended at the next level, until none are left. A document names each of its prefixes
-once, so counts are sums: a task adds up what it reads in a bounded table, hands that on, drops what was discarded before, and
+once, so counts are sums: tasks add up some megabytes of text at a time and drop what was discarded before, and
 Spark adds up the tasks. No list of all terms is ever made.
 
 Shares are whole numbers of billionths. The sum over all terms for two sources is that of two sources without
@@ -14,41 +14,30 @@ with sources in blocks too, and a task sums the differences of a block's matrix
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rooftally.functions.session import cut
 from rooftally.llm.text import BROADCAST_KEYS
 
-#: A term in bytes, once A to Z are lower-cased; what ends it, which none holds.
-TERM, END = re.compile(rb"[a-z\x80-\xff]+"), b"\0"
+#: What is between terms, once A to Z are lower-cased; what ends a term, which none holds.
+GAP, END = "[^a-z\\x{80}-\\x{10FFFF}]+", b"\0"
 #: Bytes of the prefixes of the first level; each further one has twice as many.
-FIRST = 4
-#: Names that a task counts before it hands them on.
-HELD = 400_000
+FIRST = 8
+#: Bytes of texts that a task looks at together; one text may have more.
+HELD = 1 << 23
 #: Added to each count, and what a share of 1 is.
 PLUS, WHOLE = 5, 1_000_000_000
 #: Sources of a block of sources, cells of a block's matrix, least number of blocks of a language's terms.
 SOURCES, CELLS, BLOCKS = 256, 1 << 18, 16
 
 
-def terms(text: bytes) -> list[bytes]:
-    """The terms of a text one after the other, without END."""
-    return TERM.findall(text.lower())
-
-
-def prefixes(found: list[bytes], width: int, above: int) -> set[bytes]:
-    """Prefixes of so many bytes of the terms with END; those of ``above`` bytes or less, END included, are left out."""
-    return {w[:width] if len(w) >= width else w + END for w in set(found) if len(w) >= above}
-
-
 def spelled(term: Column) -> Column:
     """A complete term as text."""
     return F.decode(F.substring(term, F.lit(1), F.octet_length(term) - 1), "UTF-8")
@@ -58,26 +47,47 @@ def _complete(term: Column) -> Column:
     return F.substring(term, -1, 1) == F.lit(bytearray(END))
 
 
-def _added_up(docs: DataFrame, by: list[str], names: Callable[[list[bytes]], object], name: str) -> DataFrame:
-    """docs: ``by`` (texts, not null), text. (by, name, n): how often ``names`` of a row's terms gives each name, in part: a name may have several rows."""
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of some HELD bytes of text together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + HELD, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = defaultdict(Counter)
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for key, held in counts.items():
-                columns = [pa.array([k] * len(held), pa.string()) for k in key]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], [*by, name, "n"])
-            counts.clear()
+def _added_up(docs: DataFrame, by: list[str], name: str, width: int | None = None, above: int = 0) -> DataFrame:
+    """docs: ``by`` (texts, not null), text. (by, name, n), in part: a name may have several rows.
+
+    Names are the terms with END and n their occurrences; with ``width`` the prefixes of so many bytes, and n the rows that have a term with it,
+    terms of fewer than ``above`` bytes left out. Words are numbered, and numbers are counted.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = zip(*[batch.column(i).to_pylist() for i in range(len(by))])
-            for key, text in zip(keys, batch.column(len(by)).cast(pa.binary())):
-                if (bytes_ := text.as_py()) is not None:
-                    counts[key].update(names(terms(bytes_)))
-            if sum(map(len, counts.values())) > HELD:
-                yield from told()
-        yield from told()
+            for some in _slices(batch, len(by)):
+                words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(some.column(len(by)), "")), GAP)
+                every = words.flatten().dictionary_encode()
+                terms = every.dictionary.cast(pa.binary())
+                lengths = pc.binary_length(terms).to_numpy(zero_copy_only=False)
+                names = pc.binary_join_element_wise(terms, END, b"")
+                if width is not None:
+                    names = pc.binary_slice(names, 0, width)
+                names = names.dictionary_encode()
+                number = np.where((lengths > 0) & (lengths >= above), names.indices.to_numpy(zero_copy_only=False), -1).astype(np.int64)
+                row, named = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64), number[every.indices.to_numpy(zero_copy_only=False)]
+                row, named, many = row[named >= 0], named[named >= 0], len(names.dictionary)
+                if width is not None:  # a row counts once for a name
+                    once = np.sort(row * many + named)
+                    row, named = np.divmod(once[np.concatenate(([True], once[1:] != once[:-1]))] if len(once) else once, max(many, 1))
+                groups = pa.StructArray.from_arrays([some.column(i) for i in range(len(by))], by).to_pylist()
+                place = {key: i for i, key in enumerate(dict.fromkeys(tuple(g.values()) for g in groups))}
+                of = np.array([place[tuple(g.values())] for g in groups], np.int64)
+                both, n = np.unique(of[row] * many + named, return_counts=True)
+                group, named = np.divmod(both, max(many, 1))
+                keys = [pa.array([k[i] for k in place], pa.string()).take(pa.array(group)) for i in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*keys, names.dictionary.take(pa.array(named)), pa.array(n, pa.int64())], [*by, name, "n"])
 
     return docs.select(*by, "text").mapInArrow(run, ", ".join(f"{c} string" for c in by) + f", {name} binary, n bigint")
 
@@ -94,7 +104,7 @@ def frequent_terms(docs: DataFrame, group: str, least: int) -> DataFrame:
     kept, alive, width = None, None, FIRST
     while alive is None or not alive.isEmpty():
         half = 0 if alive is None else width // 2  # what isn't longer was complete before
-        counts = _added_up(docs, [group], lambda found, width=width, half=half: prefixes(found, width, half), "prefix")
+        counts = _added_up(docs, [group], "prefix", width, half)
         if alive is None:
             sums = counts.groupBy(group, "prefix").agg(F.sum("n").alias("n"))
         else:
@@ -166,7 +176,7 @@ def audit(df: DataFrame, text_col: str, lang_col: str, source_col: str, least: i
     """
     named = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], F.col(text_col).alias("text"))
     kept = cut(frequent_terms(named, "lang", least).select("lang", "term"))
-    counts = cut(_known(_added_up(named, ["lang", "source"], lambda found: [w + END for w in found], "term"), kept, ["lang", "term"], ["lang", "source", "term"]).withColumnRenamed("n", "count"))
+    counts = cut(_known(_added_up(named, ["lang", "source"], "term"), kept, ["lang", "term"], ["lang", "source", "term"]).withColumnRenamed("n", "count"))
     by_source = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     every = named.groupBy("lang", "source").agg(F.count("*").alias("rows")).join(by_source, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
     every = cut(every.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")))

@@ -47,7 +47,7 @@ def made(seed, n=260, sources=9):
     return rows + rows[:5] + [("", "no terms", "a"), (None, "no terms", "b"), ("rare words here", "no terms", "c"), ("123", "de", "without terms")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"SOURCES": 3, "CELLS": 40, "BLOCKS": 2}, {"BROADCAST_KEYS": 0, "FIRST": 2, "HELD": 20}])
+@pytest.mark.parametrize("limits", [{}, {"SOURCES": 3, "CELLS": 40, "BLOCKS": 2}, {"BROADCAST_KEYS": 0, "FIRST": 2, "HELD": 200}])
 def test_equals_dense_sums(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(divergence, name, value)
