@@ -46,7 +46,11 @@ def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Deletes the files of frames that `cut` gave, such as those of a round that is over; other frames have none. Nothing that reads them may be used again."""
     for df in frames:
-        if getattr(df, "_files", None) is None:
-            continue
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._files)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if getattr(df, "_files", None) is not None:
+            remove(df.sparkSession, df._files)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

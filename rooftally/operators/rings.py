@@ -48,7 +48,8 @@ def centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def bounds(ring: Column) -> Column:
-    xs, ys = (F.transform(ring, lambda p, c=c: p[c]) for c in "xy")
+    along = lambda c: F.transform(ring, lambda p: p[c])  # noqa: E731  a second argument of the inner one would be the place
+    xs, ys = along("x"), along("y")
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,20 +61,30 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], order: str, value: str, stat: str = "mean", draws: int = 200, seed: str = "42") -> DataFrame:
+#: Upper bounds, out of 2 ** 32, of a uniform number that counts 0, 1, 2, … times: the distribution of how often a row is drawn when n are drawn out of many.
+DRAWN = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], order: str, value: str, stat: str = "mean", draws: int = 1000, seed: str = "42") -> DataFrame:
     """Percentile interval of ``stat`` (mean, std or rms) over resampled rows of each key; null for under three rows.
 
-    Row numbers come from a digest of seed, draw and position, so reruns and other engines agree.
+    A row is in each draw so many times, by a digest of seed, draw and the row's ``order``, which tells the rows of a key apart; times are independent, with
+    mean 1. So a draw needs no other row: its sums are added up beside all others', and what is shuffled is a row for each key and draw from each task, however
+    many rows a key has. Reruns and other engines agree. Null values are left out; a draw of no row has no part in the interval.
     """
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    slots = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = slots.select(*keys, "draw", "n", pick.alias("pick")).join(rows.select(*keys, F.col("i").alias("pick"), "v"), [*keys, "pick"])
-    of = {"mean": F.avg("v"), "std": F.stddev_samp("v"), "rms": F.sqrt(F.avg(F.col("v") * F.col("v")))}[stat]
-    stats = drawn.groupBy(*keys, "draw", "n").agg(F.round(of, 9).alias("s"))
-    low, high = F.percentile("s", 0.025), F.percentile("s", 0.975)
-    out = stats.groupBy(*keys).agg(F.max("n").alias("n"), low.alias("low"), high.alias("high"))
+    rows = df.select(*keys, F.col(order).alias("_id"), F.col(value).cast("double").alias("v")).where("v is not null")
+    shift = F.lit(0.0)
+    if stat == "std":  # squares around the mean don't cancel
+        center = rows.groupBy(*keys).agg(F.avg("v").alias("_m")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_m")
+        rows = rows.join(center, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).select(*keys, "_id", "v", "_m")
+        shift = F.col("_m")
+    drawn = rows.withColumn("v", F.col("v") - shift).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", F.col("_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    times = drawn.withColumn("_u", number).withColumn("_w", sum((F.when(F.col("_u") >= t, 1).otherwise(0) for t in DRAWN), F.lit(0)))
+    sums = times.groupBy(*keys, "draw").agg(F.count("*").alias("n"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("v")).alias("_v"), F.sum(F.col("_w") * F.col("v") * F.col("v")).alias("_vv"))
+    w, v, vv = F.col("_w"), F.col("_v"), F.col("_vv")
+    of = {"mean": F.when(w > 0, v / w), "std": F.when(w > 1, F.sqrt(F.greatest(vv - v * v / w, F.lit(0.0)) / (w - 1))), "rms": F.when(w > 0, F.sqrt(vv / w))}[stat]
+    out = sums.withColumn("s", F.round(of, 9)).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
     return out.select(*keys, "n", *[F.round(F.when(F.col("n") >= 3, F.col(c)), 6).alias(f"ci_{c}") for c in ("low", "high")])
 
 
@@ -95,7 +108,7 @@ def through_thresholds(df: DataFrame, thresholds: list[float], score: str, name:
     return df.withColumn(name, F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(score) >= t)))
 
 
-def paired_ci(df: DataFrame, keys: list[str], order: str, a: str, b: str, draws: int = 200, seed: str = "42") -> DataFrame:
+def paired_ci(df: DataFrame, keys: list[str], order: str, a: str, b: str, draws: int = 1000, seed: str = "42") -> DataFrame:
     """Interval of the mean of ``a`` - ``b`` over resampled rows, which keep their two values together."""
     return bootstrap_ci(df.withColumn("delta", F.col(a) - F.col(b)), keys, order, "delta", "mean", draws, seed)
 

@@ -204,18 +204,21 @@ def h4_through_origin(spark, d):
     return rows.join(fit, keys).groupBy(*keys).agg(F.round(F.max("beta"), 6).alias("beta"), F.round(1 - F.sum(res * res) / F.when(F.sum(dev * dev) != 0, F.sum(dev * dev)), 6).alias("r2"))
 
 
-_BOOT = f"""r AS (SELECT region, model_run, VALUE AS v, row_number() OVER (PARTITION BY region, model_run ORDER BY grid_id) - 1 AS i, count(*) OVER (PARTITION BY region, model_run) AS n FROM errs),
-p AS (SELECT region, model_run, draw, n, CAST(concat('0x', substr(md5(concat('42:', draw, ':', i)), 1, 8)) AS BIGINT) % n AS pick FROM r, (SELECT unnest(generate_series(1, 200)) AS draw)),
-s AS (SELECT p.region, p.model_run, draw, max(p.n) AS n, round(STAT, 9) AS s FROM p JOIN r ON p.region = r.region AND p.model_run = r.model_run AND p.pick = r.i GROUP BY p.region, p.model_run, draw)
-SELECT region, model_run, CAST(max(n) AS BIGINT) AS n, round(CASE WHEN max(n) >= 3 THEN quantile_cont(s, 0.025) END, 6) AS ci_low, round(CASE WHEN max(n) >= 3 THEN quantile_cont(s, 0.975) END, 6) AS ci_high FROM s GROUP BY region, model_run"""
+#: Resampling by times drawn; VALUE is of ``errs``, STAT is made of w (rows drawn), v and vv (sums of values and squares).
+_BOOT = f"""r AS (SELECT region, model_run, VALUE AS v, grid_id FROM errs WHERE VALUE IS NOT NULL),
+bu AS (SELECT region, model_run, v, draw, CAST(concat('0x', substr(md5(concat('42:', draw, ':', grid_id)), 1, 8)) AS BIGINT) AS u FROM r, (SELECT unnest(generate_series(1, 1000)) AS draw)),
+t AS (SELECT region, model_run, draw, v, {' + '.join(f'CAST(u >= {x} AS INTEGER)' for x in stats.DRAWN)} AS w FROM bu),
+s AS (SELECT region, model_run, draw, count(*) AS n, sum(w) AS w, sum(w * v) AS v, sum(w * v * v) AS vv FROM t GROUP BY ALL),
+q AS (SELECT region, model_run, n, CASE WHEN w > 0 THEN round(STAT, 9) END AS s FROM s)
+SELECT region, model_run, CAST(max(n) AS BIGINT) AS n, round(CASE WHEN max(n) >= 3 THEN quantile_cont(s, 0.025) END, 6) AS ci_low, round(CASE WHEN max(n) >= 3 THEN quantile_cont(s, 0.975) END, 6) AS ci_high FROM q GROUP BY region, model_run"""
 
 
-@query(f"{_SETS}, {ERRORS}, " + _BOOT.replace("VALUE", "area_f1").replace("STAT", "avg(v)"))
+@query(f"{_SETS}, {ERRORS}, " + _BOOT.replace("VALUE", "area_f1").replace("STAT", "v / w"))
 def h5_bootstrap_mean_f1(spark, d):
     return stats.bootstrap_ci(errors(spark, d), ["region", "model_run"], "grid_id", "area_f1", "mean")
 
 
-@query(f"{_SETS}, {ERRORS}, " + _BOOT.replace("VALUE", "CAST(abs_error AS DOUBLE)").replace("STAT", "sqrt(avg(v * v))"))
+@query(f"{_SETS}, {ERRORS}, " + _BOOT.replace("VALUE", "CAST(abs_error AS DOUBLE)").replace("STAT", "sqrt(vv / w)"))
 def h5_bootstrap_rmse(spark, d):
     return stats.bootstrap_ci(errors(spark, d), ["region", "model_run"], "grid_id", "abs_error", "rms")
 

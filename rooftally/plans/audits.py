@@ -232,36 +232,6 @@ def j7_spaced_pick(spark, d):
     return sampling.spaced_pick(g, ["region"], "grid_id", "score", ("gx", "gy"), 2, 12).select("region", "grid_id", "score", "chosen_by")
 
 
-_LATTICE = 1300
-
-
-@query(f"""{with_views('task_grid')}, c AS (SELECT grid_id, i, j, least({_LATTICE}, 3000 - i * {_LATTICE}) * least({_LATTICE}, 3000 - j * {_LATTICE}) / CAST({_LATTICE} * {_LATTICE} AS DOUBLE) AS share FROM task_grid, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j))
-SELECT grid_id, i, j, round(share, 6) AS share, CAST(row_number() OVER (PARTITION BY grid_id ORDER BY j DESC, i) AS BIGINT) AS no FROM c WHERE share >= 0.25""")
-def m1_build_task_grid(spark, d):
-    """Lattice over each cell, cut at its border; parts that keep a quarter get numbers from north to south, west to east."""
-    step, at = _LATTICE, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
-    side = lambda c: F.least(F.lit(step), 3000 - F.col(c) * step)
-    c = view(spark, d, "task_grid").select("grid_id", at.alias("i")).withColumn("j", at).withColumn("share", side("i") * side("j") / (step * step)).where("share >= 0.25")
-    no = F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("j"), "i")).cast("long")
-    return c.select("grid_id", "i", "j", F.round("share", 6).alias("share"), no.alias("no"))
-
-
-@query(f"""{with_views('task_grid', 'units')}, b AS (SELECT grid_id, count(*) AS n FROM units GROUP BY ALL), c AS (SELECT t.region, CASE WHEN n IS NULL THEN 'skip' WHEN coverage_fraction >= 0.8 THEN 'full' WHEN coverage_fraction >= 0.3 THEN 'partial' ELSE 'aerial_needed' END AS plan, coalesce(n, 0) AS n FROM task_grid t LEFT JOIN b USING (grid_id))
-SELECT region, plan, CAST(count(*) AS BIGINT) AS n_cells, CAST(sum(n) AS BIGINT) AS n_buildings FROM c GROUP BY ALL""")
-def m2_admin_grid(spark, d):
-    b, share = view(spark, d, "units").groupBy("grid_id").agg(F.count("*").alias("n")), F.col("coverage_fraction")
-    plan = columns.first_match([(F.col("n").isNull(), "skip"), (share >= 0.8, "full"), (share >= 0.3, "partial")], "aerial_needed")
-    return view(spark, d, "task_grid").join(b, "grid_id", "left").groupBy("region", plan.alias("plan")).agg(F.count("*").alias("n_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_buildings"))
-
-
-@query(f"""{with_views('task_grid', 'units')}, n AS (SELECT grid_id, count(*) AS n, sum(CASE WHEN customer_type = 'industrial' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS industrial FROM units GROUP BY ALL),
-q AS (SELECT region, quantile_cont(n, 0.75) AS hi FROM n JOIN task_grid USING (grid_id) GROUP BY region)
-SELECT grid_id, CASE WHEN industrial >= 0.3 THEN 'industrial' WHEN n >= hi THEN 'dense' ELSE 'residential' END AS stratum, CAST((gx - 20) * (gx - 20) + gy * gy AS BIGINT) AS core_dist2 FROM n JOIN task_grid USING (grid_id) JOIN q USING (region)""")
-def m9_region_strata(spark, d):
-    n = view(spark, d, "units").groupBy("grid_id").agg(F.count("*").alias("n"), F.avg((F.col("customer_type") == "industrial").cast("int")).alias("industrial")).join(view(spark, d, "task_grid"), "grid_id")
-    q = n.groupBy("region").agg(F.percentile("n", F.lit(0.75)).alias("hi"))
-    stratum = columns.first_match([(F.col("industrial") >= 0.3, "industrial"), (F.col("n") >= F.col("hi"), "dense")], "residential")
-    return n.join(q, "region").select("grid_id", stratum.alias("stratum"), ((F.col("gx") - 20) * (F.col("gx") - 20) + F.col("gy") * F.col("gy")).cast("long").alias("core_dist2"))
 
 
 @query(f"""{_P} SELECT poly_id, (x0 + grid_id % 40 * 3000) / 10.0E0 AS east, (y0 + grid_id // 40 * 3000) / 10.0E0 AS north, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS tier FROM predictions""")
@@ -281,12 +251,6 @@ def b14_tri_state(spark, d):
     return table(spark, d, "events").select("event_id", columns.tri_state(raw).alias("flag"))
 
 
-@query("SELECT event_type, k, CAST(count(*) AS BIGINT) AS n, max(v) AS most FROM (SELECT event_type, 'props.k' AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) GROUP BY ALL")
-def b17_json_flatten(spark, d):
-    """Nested values as rows of a dotted key and a value."""
-    e = table(spark, d, "events").select("event_type", F.explode(F.from_json("props", "map<string, bigint>")).alias("key", "v"))
-    return e.groupBy("event_type", F.concat(F.lit("props."), "key").alias("k")).agg(F.count("*").alias("n"), F.max("v").alias("most"))
-
 
 @query(f"""{_P}, s AS (SELECT DISTINCT grid_id FROM predictions WHERE grid_id % 10 = 3 OR regexp_matches(CAST(grid_id AS VARCHAR), '^(1|7[0-4])')) SELECT grid_id, CAST(count(*) AS BIGINT) AS n FROM predictions WHERE grid_id NOT IN (SELECT grid_id FROM s) GROUP BY ALL""")
 def d15_pattern_anti_join(spark, d):

@@ -146,9 +146,13 @@ def a11_merged_rows(spark, d):
     return rows.select("poly_id", "gridcell_id", "layer", "area")
 
 
-@query(f"{_P} SELECT region, model_run AS run, substr(model_run, 5, 1) AS version, CAST(count(*) AS BIGINT) AS n_rows FROM predictions GROUP BY ALL")
+@query(f"""{_P}, c AS (SELECT region, model_run AS run, count(*) AS n, min(year(interval_end)) AS y, model_run = 'run_C' OR region = 'ASIA' AS bare FROM predictions GROUP BY region, model_run)
+SELECT region, run, CASE WHEN bare OR run = 'run_B' THEN substr(run, 5, 1) ELSE concat(region, '-2') END AS version, CASE WHEN NOT bare THEN concat('aerial ', y) END AS imagery, CAST(n AS BIGINT) AS n_rows FROM c""")
 def a12_inventory_snapshot(spark, d):
-    """What a result tree holds, by region, run and version, from its paths and files."""
-    out = folder(spark, "results")
-    view(spark, d, "predictions").select("region", "model_run", "poly_id", "area").write.partitionBy("region", "model_run").parquet(out)
-    return readers.inventory_snapshot(spark, out, r"_([A-Z])$")
+    """What a result tree holds, by region, run, version and imagery source: from its paths and files, and from the configurations that some runs have."""
+    out, p = folder(spark, "results"), view(spark, d, "predictions")
+    p.select("region", "model_run", "poly_id", "area").write.partitionBy("region", "model_run").parquet(f"{out}/rows")
+    some = p.where("not (model_run = 'run_C' or region = 'ASIA')").groupBy("region", "model_run").agg(F.concat(F.lit("aerial "), F.min(F.year("interval_end"))).alias("source"))
+    version = F.when(F.col("model_run") == "run_B", " ").otherwise(F.concat("region", F.lit("-2")))
+    some.select("region", "model_run", F.struct(version.alias("version")).alias("model"), F.struct("source").alias("imagery")).write.partitionBy("region", "model_run").json(f"{out}/configs")
+    return readers.inventory_snapshot(spark, f"{out}/rows", r"_([A-Z])$", f"{out}/configs")
\ No newline at end of file

@@ -92,6 +92,13 @@ def d10_assign_tile_centroid(spark, d):
     return met.groupBy("model_run", "grid_id", "poly_id").agg(F.min("b_tile").alias("tile"))
 
 
+@query(f"""{with_views('predictions', 'task_grid')}, {TILES} SELECT p.model_run, p.grid_id, p.poly_id, t.tile FROM predictions p JOIN tiles t ON p.grid_id = t.grid_id AND p.x0 < t.x1 AND t.x0 < p.x1 AND p.y0 < t.y1 AND t.y0 < p.y1""")
+def d10_assign_tile_intersects(spark, d):
+    """Every tile that a box shares an area with."""
+    p = view(spark, d, "predictions").select("model_run", "grid_id", "poly_id", *spatial.BOX)
+    return spatial.box_join(p, tiles(spark, d), ["grid_id"], size=750).select("model_run", "grid_id", "poly_id", F.col("b_tile").alias("tile"))
+
+
 @query(f"""{_PG}, e AS (SELECT *, {_IOU} AS iou FROM pairs WHERE {_IOU} >= 0.3), {loops.pick_pairs('m', 'e', _K, _STRICT)} SELECT {_K}, gt_id, poly_id, round(iou, 6) AS iou FROM m""")
 def f1_match_strict(spark, d):
     g, p = both(spark, d)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, graph, matching, sampling, spatial
+from rooftally.operators import columns, graph, matching, ranks, sampling, spatial, windows
 from rooftally.plans.area import GR, KEYS, TILES, both, slab, tiles
 from rooftally.plans.graphs import _IOU, _PG, _SELF, _SIOU, _STRICT
 from rooftally.plans import loops
@@ -97,11 +99,12 @@ def f21_missed_gt(spark, d):
 r AS (SELECT model_run, confidence, row_number() OVER (PARTITION BY model_run ORDER BY confidence DESC, poly_id) AS k, count(*) OVER (PARTITION BY model_run) AS n FROM s WHERE review_status <> 'delete')
 SELECT model_run, target, confidence AS threshold FROM r, t WHERE k = ceil(round(target * n, 6))""")
 def h29_threshold_at_recall(spark, d):
-    """The largest confidence at which the share of kept true rows reaches the target."""
-    w = Window.partitionBy("model_run")
-    r = view(spark, d, "predictions").where("review_status <> 'delete'").withColumns({"k": F.row_number().over(w.orderBy(F.desc("confidence"), "poly_id")), "n": F.count("*").over(w)})
-    r = r.withColumn("target", F.explode(F.array(F.lit(0.9), F.lit(0.95))))
-    return r.where(F.col("k") == F.ceil(F.round(F.col("target") * F.col("n"), 6))).select("model_run", "target", F.col("confidence").alias("threshold"))
+    """The largest confidence at which the share of kept true rows reaches the target: confidences are counted, and the count walked."""
+    r = view(spark, d, "predictions").where("review_status <> 'delete'").select("model_run", "confidence")
+    targets = {"0.9": 0.9, "0.95": 0.95}
+    found = ranks.values_at(r, ["model_run"], "confidence", {n: F.ceil(F.round(F.lit(t) * F.col("n"), 6)) for n, t in targets.items()})
+    at = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"`{n}`").alias("threshold")) for n, t in targets.items()])
+    return found.select("model_run", F.explode(at).alias("r")).select("model_run", "r.*")
 
 
 @query(f"{_P} SELECT grid_id, CAST(count(*) AS BIGINT) AS installs, CAST(sum(area) AS BIGINT) AS area, round(median(area), 4) AS median_area, CAST(row_number() OVER (ORDER BY sum(area) DESC, grid_id) AS INTEGER) AS k FROM predictions WHERE confidence >= 0.8 GROUP BY grid_id ORDER BY area DESC, grid_id LIMIT 5")
@@ -111,10 +114,10 @@ def h41_census_top_cells(spark, d):
     return c.orderBy(F.desc("area"), "grid_id").limit(5).withColumn("k", F.row_number().over(Window.orderBy(F.desc("area"), "grid_id")))
 
 
-@query(f"""{with_views('task_grid', 'predictions')}, s AS (SELECT grid_id, count(*) AS n FROM predictions GROUP BY grid_id), m AS (SELECT user_id % 100 + 1 AS grid_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS ok FROM events WHERE value > 30 GROUP BY ALL)
+@query(f"""{with_views('task_grid', 'predictions')}, s AS (SELECT grid_id, count(*) AS n FROM predictions GROUP BY grid_id), m AS (SELECT user_id % 100 + 1 AS grid_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS ok FROM events GROUP BY ALL)
 SELECT grid_id, CASE WHEN ok = 1 AND n > 500 THEN 'ok' WHEN ok = 1 THEN 'empty' WHEN failed = 1 THEN 'download_failed' ELSE 'not_reached' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n FROM task_grid LEFT JOIN m USING (grid_id) LEFT JOIN s USING (grid_id)""")
 def h42_coverage_manifest(spark, d):
-    marks = table(spark, d, "events").where("value > 30").groupBy((F.col("user_id") % 100 + 1).alias("grid_id")).agg(F.bool_or(F.col("event_type") == "error").alias("failed"), F.bool_or(F.col("event_type") == "purchase").alias("ok"))
+    marks = table(spark, d, "events").groupBy((F.col("user_id") % 100 + 1).alias("grid_id")).agg(F.bool_or(F.col("event_type") == "error").alias("failed"), F.bool_or(F.col("event_type") == "purchase").alias("ok"))
     n = view(spark, d, "predictions").groupBy("grid_id").agg(F.count("*").alias("n"))
     rules = [(F.col("ok") & (F.col("n") > 500), "ok"), (F.col("ok"), "empty"), (F.col("failed"), "download_failed")]
     rows = view(spark, d, "task_grid").join(marks, "grid_id", "left").join(n, "grid_id", "left")
@@ -130,10 +133,9 @@ def i6_tile_context(spark, d):
 @query(f"""{_P}, r AS (SELECT region, poly_id, area, rank() OVER (PARTITION BY region ORDER BY area) AS k, count(*) OVER (PARTITION BY region, area) AS ties, count(*) OVER (PARTITION BY region) AS n FROM predictions)
 SELECT region, poly_id, round((k + (ties - 1) / 2.0E0) / n, 6) AS pct FROM r""")
 def i4_pct_rank(spark, d):
-    w = Window.partitionBy("region")
-    ties = F.count("*").over(Window.partitionBy("region", "area"))
-    pct = (F.rank().over(w.orderBy("area")) + (ties - 1) / 2) / F.count("*").over(w)
-    return view(spark, d, "predictions").select("region", "poly_id", F.round(pct, 6).alias("pct"))
+    """Share of a region's rows up to the middle of a row's ties, by area; a region's rows lie in many ranges."""
+    p = view(spark, d, "predictions").select("region", "poly_id", "area")
+    return ranks.percent_ranks(p, ["region"], "area").select("region", "poly_id", F.round("pct", 6).alias("pct"))
 
 
 @query(f"""{_P}, a AS (SELECT grid_id, count(*) AS na, sum(area) AS aa FROM predictions WHERE model_run = 'run_A' AND confidence >= 0.9 GROUP BY grid_id), b AS (SELECT grid_id, count(*) AS nb, sum(area) AS ab FROM predictions WHERE model_run = 'run_B' AND confidence >= 0.9 GROUP BY grid_id)
@@ -145,26 +147,33 @@ def k2_build_equivalence(spark, d):
     return rows.select("grid_id", F.coalesce("na", F.lit(0)).alias("n_base"), F.coalesce("nb", F.lit(0)).alias("n_new"), columns.first_match(rules, "same").alias("diff"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS tile, 600 + p_size * 13 AS width, 128 AS size, 96 AS step FROM part)
-SELECT tile, CAST(x AS BIGINT) AS x, CAST(least(size, width - x) AS BIGINT) AS w FROM w, LATERAL (SELECT unnest(generate_series(0, width - 1, step)) AS x) WHERE width - x >= size / 2""")
+_SIDE = "SELECT p_partkey AS tile, 600 + p_size * 13 AS width, 500 + p_size * 7 AS height FROM part"
+
+
+def _origins(side: str, mode: str) -> str:
+    if mode == "training":
+        return f"list_filter(range(0, {side}, 96), lambda x: least(128, {side} - x) >= 64)"
+    if mode == "anchored":
+        return f"CASE WHEN {side} <= 128 THEN [CAST(0 AS BIGINT)] WHEN ({side} - 128) % 96 = 0 THEN range(0, {side} - 127, 96) ELSE range(0, {side} - 127, 96) || [CAST({side} - 128 AS BIGINT)] END"
+    return f"CASE WHEN {side} > 128 THEN range(0, ({side} - 1) // 96 * 96, 96) || [CAST({side} - 128 AS BIGINT)] ELSE [CAST(0 AS BIGINT)] END"
+
+
+@query(f"WITH t AS ({_SIDE}) " + " UNION ALL ".join(f"SELECT tile, '{m}' AS mode, x, y, CAST(least(128, width - x) AS BIGINT) AS w, CAST(least(128, height - y) AS BIGINT) AS h FROM (SELECT *, unnest({_origins('height', m)}) AS y FROM (SELECT *, unnest({_origins('width', m)}) AS x FROM t))" for m in windows.MODES))
 def m6_chip_windows(spark, d):
-    """Windows of 128 at steps of 96 along each tile; a last one under half the size is left out."""
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("tile"), (600 + F.col("p_size") * 13).cast("long").alias("width"))
-    t = t.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1, F.lit(96).cast("long"))))
-    return t.where(F.col("width") - F.col("x") >= 64).select("tile", "x", F.least(F.lit(128), F.col("width") - F.col("x")).cast("long").alias("w"))
+    """Windows of 128 at steps of 96 over each raster, in each of the three modes."""
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("tile"), (600 + F.col("p_size") * 13).alias("width"), (500 + F.col("p_size") * 7).alias("height"))
+    rows = [windows.chip_windows(t, 128, 0.25, m).select("tile", F.lit(m).alias("mode"), "x", "y", "w", "h") for m in windows.MODES]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@query(f"""{with_views('task_grid', 'markers')}, {TILES}, h AS (SELECT DISTINCT m.grid_id, (x // 750) * 4 + y // 750 AS tile FROM markers m WHERE created >= DATE '1997-06-01'),
-n AS (SELECT grid_id, tile, 0 AS ring FROM h UNION ALL SELECT grid_id, CAST(((tile // 4) + dx) * 4 + (tile % 4) + dy AS BIGINT), 1 FROM h, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy) WHERE (tile // 4) + dx BETWEEN 0 AND 3 AND (tile % 4) + dy BETWEEN 0 AND 3)
-SELECT grid_id, CAST(tile AS BIGINT) AS tile, CAST(min(ring) AS INTEGER) AS ring FROM n JOIN task_grid USING (grid_id) GROUP BY grid_id, tile""")
+@query(f"""{with_views('task_grid', 'ground_truth')}, {TILES}, b AS (SELECT DISTINCT t.grid_id, t.tile // 4 AS i, t.tile % 4 AS j FROM ground_truth g JOIN tiles t ON g.grid_id = t.grid_id AND g.x0 < t.x1 AND t.x0 < g.x1 AND g.y0 < t.y1 AND t.y0 < g.y1 WHERE g.area >= 33000),
+n AS (SELECT grid_id, i + dx AS i, j + dy AS j, abs(dx) + abs(dy) AS ring FROM b, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE abs(dx) + abs(dy) <= 2 AND i + dx BETWEEN 0 AND 3 AND j + dy BETWEEN 0 AND 3)
+SELECT grid_id, i * 4 + j AS tile, CAST(min(ring) AS INTEGER) AS ring, CASE WHEN min(ring) = 0 THEN 'building' ELSE concat('buffer_', min(ring)) END AS reason FROM n GROUP BY grid_id, i, j""")
 def m8_tile_mask(spark, d):
-    """Tiles with a marker (ring 0) and their four neighbours (ring 1)."""
-    at = lambda c: F.floor(F.col(c) / 750)
-    h = view(spark, d, "markers").where("created >= date'1997-06-01'").select("grid_id", at("x").alias("i"), at("y").alias("j")).distinct()
-    near = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("dx"), F.lit(b).alias("dy")) for r, a, b in ((0, 0, 0), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1))])
-    rows = h.withColumn("n", F.explode(near)).select("grid_id", "n.r", (F.col("i") + F.col("n.dx")).alias("i"), (F.col("j") + F.col("n.dy")).alias("j")).where("i between 0 and 3 and j between 0 and 3")
-    rows = rows.join(view(spark, d, "task_grid").select("grid_id"), "grid_id")
-    return rows.groupBy("grid_id", (F.col("i") * 4 + F.col("j")).alias("tile")).agg(F.min("r").alias("ring"))
+    """Tiles that large footprints touch (ring 0), and two rings of neighbours."""
+    met = spatial.box_join(view(spark, d, "ground_truth").where("area >= 33000").select("grid_id", *spatial.BOX), tiles(spark, d), ["grid_id"], size=750)
+    held = met.select("grid_id", F.floor(F.col("b_tile") / 4).alias("i"), (F.col("b_tile") % 4).alias("j"))
+    return windows.tile_mask(held, ["grid_id"], 2, 4, 4).select("grid_id", (F.col("i") * 4 + F.col("j")).alias("tile"), "ring", "reason")
 
 
 @query(f"""{_P}, p AS (SELECT model_run, count(*) FILTER (WHERE review_status <> 'delete' AND confidence >= 0.8) AS trusted, count(*) FILTER (WHERE review_status = 'edit') AS untrusted FROM predictions GROUP BY model_run)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, matching, sampling, stats
+from rooftally.operators import columns, decisions, matching, ranks, sampling, stats
 from rooftally.plans.registry import query
-from rooftally.sources.views import table, view, with_views
+from rooftally.sources.views import RUNS, for_each_run, table, view, with_views
 
 _P = with_views("predictions")
 _SIZE = "CASE WHEN area < 4000 THEN 'small' WHEN area < 10000 THEN 'medium' ELSE 'large' END"
@@ -101,39 +101,38 @@ def d16_leakage_split(spark, d):
     return view(spark, d, "task_grid").join(pool.withColumn("hit", F.lit(True)), "grid_id", "left").select("grid_id", "region", F.coalesce("hit", F.lit(False)).alias("leaks"))
 
 
-@query(f"""{with_views('predictions', 'task_grid')}, a AS (SELECT grid_id, count(*) AS n, sum(area) AS area FROM predictions WHERE confidence >= 0.9 AND model_run = 'run_A' AND mean_r < 20 GROUP BY grid_id)
-SELECT grid_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(area, 0) AS BIGINT) AS area, CASE WHEN n IS NULL THEN 'not_reached' ELSE 'ok' END AS status FROM task_grid LEFT JOIN a USING (grid_id)""")
+@query(f"""{with_views('predictions', 'task_grid')}, a AS (SELECT grid_id, model_run, count(*) AS n, sum(area) AS area FROM predictions WHERE confidence >= 0.95 GROUP BY ALL)
+SELECT grid_id, model_run, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(area, 0) AS BIGINT) AS area, CASE WHEN n IS NULL THEN 'not_reached' ELSE 'ok' END AS status FROM (SELECT grid_id, unnest({RUNS}) AS model_run FROM task_grid) LEFT JOIN a USING (grid_id, model_run)""")
 def d18_grid_left_join_fill(spark, d):
-    a = view(spark, d, "predictions").where("confidence >= 0.9 and model_run = 'run_A' and mean_r < 20").groupBy("grid_id").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
-    joined = view(spark, d, "task_grid").join(a, "grid_id", "left")
-    return joined.select("grid_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("area", F.lit(0)).alias("area"), F.when(F.col("n").isNull(), "not_reached").otherwise("ok").alias("status"))
+    a = view(spark, d, "predictions").where("confidence >= 0.95").groupBy("grid_id", "model_run").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    joined = for_each_run(view(spark, d, "task_grid").select("grid_id")).join(a, ["grid_id", "model_run"], "left")
+    return joined.select("grid_id", "model_run", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("area", F.lit(0)).alias("area"), F.when(F.col("n").isNull(), "not_reached").otherwise("ok").alias("status"))
 
 
 _W = "1.96 * 1.96"
-_HT = f"""{_P}, s AS (SELECT *, {_SIZE} AS size_class, {_CONF} AS conf_bucket FROM predictions WHERE model_run = 'run_A'),
-r AS (SELECT *, row_number() OVER (PARTITION BY grid_id, size_class, conf_bucket ORDER BY sha256(concat('42:', poly_id)), poly_id) AS k, count(*) OVER (PARTITION BY grid_id, size_class, conf_bucket) AS pop FROM s),
+_HT = f"""{_P}, s AS (SELECT *, {_SIZE} AS size_class, {_CONF} AS conf_bucket FROM predictions),
+r AS (SELECT *, row_number() OVER (PARTITION BY model_run, grid_id, size_class, conf_bucket ORDER BY sha256(concat('42:', poly_id)), poly_id) AS k, count(*) OVER (PARTITION BY model_run, grid_id, size_class, conf_bucket) AS pop FROM s),
 t AS (SELECT *, least(pop, 5) AS taken, CAST(pop AS DOUBLE) / least(pop, 5) AS weight FROM r WHERE k <= 5)"""
 
 
 def _sampled(spark, d):
-    p = view(spark, d, "predictions").where("model_run = 'run_A'").withColumns({"size_class": _size(), "conf_bucket": _conf()})
-    return sampling.stratified(p, ["grid_id", "size_class", "conf_bucket"], "poly_id", 5)
+    p = view(spark, d, "predictions").withColumns({"size_class": _size(), "conf_bucket": _conf()})
+    return sampling.stratified(p, ["model_run", "grid_id", "size_class", "conf_bucket"], "poly_id", 5)
 
 
-@query(f"{_HT} SELECT poly_id, grid_id, size_class, conf_bucket, CAST(pop AS BIGINT) AS stratum_pop, CAST(taken AS BIGINT) AS stratum_sampled, round(weight, 6) AS sample_weight FROM t")
+@query(f"{_HT} SELECT model_run, poly_id, grid_id, size_class, conf_bucket, CAST(pop AS BIGINT) AS stratum_pop, CAST(taken AS BIGINT) AS stratum_sampled, round(weight, 6) AS sample_weight FROM t")
 def j1_stratified_sample(spark, d):
-    return _sampled(spark, d).select("poly_id", "grid_id", "size_class", "conf_bucket", "stratum_pop", F.col("stratum_sampled").cast("long").alias("stratum_sampled"), F.round("sample_weight", 6).alias("sample_weight"))
+    return _sampled(spark, d).select("model_run", "poly_id", "grid_id", "size_class", "conf_bucket", "stratum_pop", F.col("stratum_sampled").cast("long").alias("stratum_sampled"), F.round("sample_weight", 6).alias("sample_weight"))
 
 
-@query(f"""{_HT}, g AS (SELECT size_class, conf_bucket, grid_id, count(*) AS n, sum(CASE WHEN review_status = 'delete' THEN 0 ELSE weight END) / sum(weight) AS p FROM t GROUP BY GROUPING SETS ((size_class, conf_bucket), (grid_id), ()))
-SELECT size_class, conf_bucket, grid_id, CAST(n AS BIGINT) AS n, round(p, 6) AS precision, round(greatest((p + {_W} / (2 * n)) / (1 + {_W} / n) - 1.96 * sqrt(greatest(p * (1 - p) / n + {_W} / (4 * n * n), 0)) / (1 + {_W} / n), 0), 6) AS ci_low,
+@query(f"""{_HT}, g AS (SELECT model_run, size_class, conf_bucket, grid_id, count(*) AS n, sum(CASE WHEN review_status = 'delete' THEN 0 ELSE weight END) / sum(weight) AS p FROM t GROUP BY GROUPING SETS ((model_run, size_class, conf_bucket), (model_run, grid_id), (model_run)))
+SELECT model_run, size_class, conf_bucket, grid_id, CAST(n AS BIGINT) AS n, round(p, 6) AS precision, round(greatest((p + {_W} / (2 * n)) / (1 + {_W} / n) - 1.96 * sqrt(greatest(p * (1 - p) / n + {_W} / (4 * n * n), 0)) / (1 + {_W} / n), 0), 6) AS ci_low,
 round(least((p + {_W} / (2 * n)) / (1 + {_W} / n) + 1.96 * sqrt(greatest(p * (1 - p) / n + {_W} / (4 * n * n), 0)) / (1 + {_W} / n), 1), 6) AS ci_high FROM g""")
 def h12_ht_precision(spark, d):
-    _sampled(spark, d).createOrReplaceTempView("ht_sample")
-    rows = spark.sql("""SELECT size_class, conf_bucket, grid_id, count(*) AS n, sum(CASE WHEN review_status = 'delete' THEN 0 ELSE sample_weight END) / sum(sample_weight) AS p
-        FROM ht_sample GROUP BY GROUPING SETS ((size_class, conf_bucket), (grid_id), ())""")
+    rows = spark.sql("""SELECT model_run, size_class, conf_bucket, grid_id, count(*) AS n, sum(CASE WHEN review_status = 'delete' THEN 0 ELSE sample_weight END) / sum(sample_weight) AS p
+        FROM {sample} GROUP BY GROUPING SETS ((model_run, size_class, conf_bucket), (model_run, grid_id), (model_run))""", sample=_sampled(spark, d))
     low, high = stats.wilson(F.col("p"), F.col("n"))
-    return rows.select("size_class", "conf_bucket", "grid_id", "n", F.round("p", 6).alias("precision"), F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"))
+    return rows.select("model_run", "size_class", "conf_bucket", "grid_id", "n", F.round("p", 6).alias("precision"), F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"))
 
 
 @query(f"{_P} SELECT grid_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(area) AS BIGINT) AS total, round(avg(area), 4) AS mean, round(median(area), 4) AS median, round(quantile_cont(area, 0.1), 4) AS p10, round(quantile_cont(area, 0.9), 4) AS p90, max(area) AS largest, CAST(count(*) FILTER (WHERE area >= 10000) AS BIGINT) AS n_large, round(100 * sum(area) / 9000000.0E0, 6) AS coverage_pct FROM predictions GROUP BY grid_id")
@@ -144,11 +143,16 @@ def h18_plausibility(spark, d):
         F.max(a).alias("largest"), F.count_if(a >= 10000).alias("n_large"), F.round(100 * F.sum(a) / 9000000, 6).alias("coverage_pct"))
 
 
-@query("""SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS BIGINT) AS tt, CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS BIGINT) AS tf, CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS BIGINT) AS ft,
-CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS BIGINT) AS ff, CAST(count(*) AS BIGINT) AS n FROM labels""")
+@query("""WITH e AS (SELECT user_id, day(ts) AS day, event_type, event_id, event_id % 3 AS who FROM events),
+a AS (SELECT user_id, day, arg_max(event_type, event_id) AS a_label FROM e WHERE who < 2 GROUP BY ALL), b AS (SELECT user_id, day, arg_max(event_type, event_id) AS b_label FROM e WHERE who > 0 GROUP BY ALL),
+m AS (SELECT CASE WHEN b_label IS NULL THEN 'only_a' WHEN a_label IS NULL THEN 'only_b' ELSE 'shared' END AS bucket, a_label, b_label FROM a FULL JOIN b USING (user_id, day))
+SELECT bucket, 'agreement' AS side, a_label, b_label, CAST(count(*) AS BIGINT) AS n FROM m WHERE bucket = 'shared' GROUP BY ALL UNION ALL SELECT bucket, 'a', a_label, NULL, CAST(count(*) AS BIGINT) FROM m WHERE bucket <> 'only_b' GROUP BY ALL
+UNION ALL SELECT bucket, 'b', NULL, b_label, CAST(count(*) AS BIGINT) FROM m WHERE bucket <> 'only_a' GROUP BY ALL UNION ALL SELECT bucket, 'all', NULL, NULL, CAST(count(*) AS BIGINT) FROM m GROUP BY ALL""")
 def h22_rater_overlap(spark, d):
-    t = stats.kappa(table(spark, d, "labels"), [], F.col("quality") == 1, F.col("toxic") == 0)
-    return t.select("tt", "tf", "ft", "ff", "n")
+    """Two raters of a user's days: what both saw and each alone, their labels there, and where they agree."""
+    e = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), "event_type", "event_id", (F.col("event_id") % 3).alias("who"))
+    last = lambda rule: e.where(rule).groupBy("user_id", "day").agg(F.max_by("event_type", "event_id").alias("label"))
+    return decisions.label_tables(decisions.rater_overlap(last("who < 2"), last("who > 0"), ["user_id", "day"]))
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tt, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tf, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS ft, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS ff, CAST(count(*) AS DOUBLE) AS n FROM labels),
@@ -287,19 +291,17 @@ def h37_decision_funnel(spark, d):
 v AS (SELECT event_id, list_filter([CASE WHEN auto_drop AND action <> 'drop' THEN 'auto_drop_without_drop' END, CASE WHEN auto_drop AND pv_present IS DISTINCT FROM false THEN 'auto_drop_of_pv' END, CASE WHEN action = 'drop' AND NOT auto_drop THEN 'drop_without_auto' END], lambda x: x IS NOT NULL) AS reasons FROM r)
 SELECT event_id, array_to_string(reasons, ',') AS reasons FROM v WHERE len(reasons) > 0""")
 def n1_fail_closed_violations(spark, d):
-    action = columns.first_match([(F.col("pv_present").isNull(), "review"), (F.col("pv_present"), "keep")], "drop")
-    r = view(spark, d, "decisions").withColumns({"auto_drop": F.col("confidence") >= 0.5, "action": action})
-    broken = [
-        (F.col("auto_drop") & (F.col("action") != "drop"), "auto_drop_without_drop"), (F.col("auto_drop") & ~F.col("pv_present").eqNullSafe(False), "auto_drop_of_pv"),
-        ((F.col("action") == "drop") & ~F.col("auto_drop"), "drop_without_auto"),
-    ]
-    reasons = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in broken]))
+    r = view(spark, d, "decisions").withColumns({"auto_drop": F.col("confidence") >= 0.5, "action": decisions.review_action(F.col("pv_present"))})
+    reasons = decisions.fail_closed_reasons(F.col("action"), F.col("auto_drop"), F.col("pv_present"))
     return r.select("event_id", reasons.alias("reasons")).where(F.size("reasons") > 0).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"{with_views('negative_pool')} SELECT region, sha256(string_agg(chip_id, ',' ORDER BY chip_id)) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM negative_pool GROUP BY region")
+_LANES = ", ':', ".join(f"CAST(sum(CAST(concat('0x', substr(d, {8 * k + 1}, 8)) AS BIGINT)) AS VARCHAR)" for k in range(8))
+
+
+@query(f"{with_views('negative_pool')}, s AS (SELECT region, sha256(concat('v', chip_id)) AS d FROM negative_pool) SELECT region, sha256(concat(CAST(count(*) AS VARCHAR), ':', {_LANES})) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY region")
 def m15_fingerprint(spark, d):
-    return view(spark, d, "negative_pool").groupBy("region").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("chip_id")), ","), 256).alias("fingerprint"), F.count("*").alias("n"))
+    return ranks.fingerprint(view(spark, d, "negative_pool"), ["region"], F.col("chip_id"))
 
 
 @query(f"""{with_views('negative_pool')}, new AS (SELECT chip_id, archetype FROM negative_pool WHERE region IN ('ASIA', 'EUROPE')), pool AS (SELECT chip_id FROM negative_pool WHERE region IN ('EUROPE', 'AFRICA'))
@@ -307,4 +309,4 @@ SELECT chip_id, min(archetype) AS archetype FROM new WHERE chip_id NOT IN (SELEC
 def k5_idempotent_append(spark, d):
     rows = view(spark, d, "negative_pool")
     new, pool = rows.where("region in ('ASIA', 'EUROPE')"), rows.where("region in ('EUROPE', 'AFRICA')")
-    return new.join(pool.select("chip_id"), "chip_id", "left_anti").groupBy("chip_id").agg(F.min("archetype").alias("archetype"))
+    return decisions.unseen(new, pool, ["chip_id"]).groupBy("chip_id").agg(F.min("archetype").alias("archetype"))

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, sampling, spatial
+from rooftally.operators import columns, decisions, ranks, sampling, spatial
+from rooftally.plans.area import GR, KEYS, both
 from rooftally.plans.registry import query
-from rooftally.sources.views import table, view, with_views
+from rooftally.sources.views import RUNS, for_each_run, table, view, with_views
 
 _P = with_views("predictions")
 _TILE, _EDGE = 600, 50
@@ -38,20 +39,34 @@ def b19_tile_edge_flags(spark, d):
     return edge_flags(view(spark, d, "predictions")).select("poly_id", "at_edge", "outside")
 
 
-@query(f"""{_P}, {_EDGES}, b AS (SELECT *, CASE WHEN review_status = 'correct' THEN 'not_fp' WHEN second_score < 0.6 THEN 'segmentation_error' WHEN review_status = 'edit' THEN 'boundary_editable'
-WHEN outside OR (at_edge AND confidence < 0.85) THEN 'uncertain_postproc' ELSE 'true_fp' END AS fp_bucket FROM f)
-SELECT region, model_run, fp_bucket, CASE WHEN review_status <> 'delete' THEN 'not_applicable' WHEN fp_bucket = 'segmentation_error' THEN 'exclude_seg_error' WHEN outside THEN 'exclude_postproc_artifact'
-WHEN area >= 20000 THEN 'exclude_large_array_context' ELSE 'safe_true_fp' END AS hn_safety, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL""")
+_NEAR = "greatest(a.x0 - b.x1, b.x0 - a.x1, 0) * greatest(a.x0 - b.x1, b.x0 - a.x1, 0) + greatest(a.y0 - b.y1, b.y0 - a.y1, 0) * greatest(a.y0 - b.y1, b.y0 - a.y1, 0)"
+
+
+@query(f"""{with_views('predictions', 'ground_truth')}, {GR}, {_EDGES}, del AS (SELECT * FROM predictions WHERE review_status = 'delete'),
+nc AS (SELECT a.poly_id, min({_NEAR}) AS dist2 FROM del a JOIN predictions b USING (region, model_run, grid_id) WHERE b.review_status = 'correct' AND {_NEAR} <= 3600 GROUP BY ALL),
+ms AS (SELECT * FROM gr g WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.region = g.region AND p.model_run = g.model_run AND p.grid_id = g.grid_id AND p.x0 < g.x1 AND g.x0 < p.x1 AND p.y0 < g.y1 AND g.y0 < p.y1)),
+fn AS (SELECT DISTINCT a.poly_id FROM del a JOIN ms b USING (region, model_run, grid_id) WHERE {_NEAR} <= 900),
+tl AS (SELECT region, model_run, grid_id, (x0 + x1) // 2 // 600 AS ti, (y0 + y1) // 2 // 600 AS tj, bool_or(area >= 20000) AS large_tile, bool_or(review_status = 'edit') AS edited_tile FROM predictions GROUP BY ALL),
+b AS (SELECT f.*, dist2, fn.poly_id IS NOT NULL AS missed, large_tile, edited_tile, CASE WHEN review_status = 'correct' THEN 'not_fp' WHEN second_score < 0.6 THEN 'segmentation_error' WHEN review_status = 'edit' THEN 'boundary_editable'
+  WHEN outside OR (at_edge AND confidence < 0.85) THEN 'uncertain_postproc' ELSE 'true_fp' END AS fp_bucket
+  FROM f LEFT JOIN nc USING (poly_id) LEFT JOIN fn USING (poly_id) JOIN tl ON tl.region = f.region AND tl.model_run = f.model_run AND tl.grid_id = f.grid_id AND ti = (x0 + x1) // 2 // 600 AND tj = (y0 + y1) // 2 // 600)
+SELECT region, model_run, fp_bucket, CASE WHEN review_status <> 'delete' THEN 'not_applicable' WHEN fp_bucket = 'segmentation_error' THEN 'exclude_seg_error' WHEN outside THEN 'exclude_postproc_artifact' WHEN dist2 <= 3600 THEN 'exclude_near_true_panel'
+WHEN large_tile THEN 'exclude_large_array_context' WHEN missed OR edited_tile THEN 'exclude_near_true_panel' ELSE 'safe_true_fp' END AS hn_safety, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL""")
 def b10_fp_bucket(spark, d):
-    status, deleted = F.col("review_status"), F.col("review_status") == "delete"
-    p = edge_flags(view(spark, d, "predictions")).withColumn("fp_bucket", columns.first_match([
-        (status == "correct", "not_fp"), (F.col("second_score") < 0.6, "segmentation_error"), (status == "edit", "boundary_editable"),
-        (F.col("outside") | (F.col("at_edge") & (F.col("confidence") < 0.85)), "uncertain_postproc"),
-    ], "true_fp"))
-    safety = columns.first_match([
-        (~deleted, "not_applicable"), (F.col("fp_bucket") == "segmentation_error", "exclude_seg_error"), (F.col("outside"), "exclude_postproc_artifact"), (F.col("area") >= 20000, "exclude_large_array_context"),
-    ], "safe_true_fp")
-    return p.groupBy(*_RUN, "fp_bucket", safety.alias("hn_safety")).agg(F.count("*").alias("n"))
+    """Kinds of false positives, and whether they are safe negatives: by the nearest true panel, missed ones, and what else the tile holds."""
+    g, p = both(spark, d)
+    rows = edge_flags(p)
+    tile = [F.floor(F.col(c) / _TILE).alias(t) for c, t in (("cx", "ti"), ("cy", "tj"))]
+    held = rows.groupBy(*KEYS, *tile).agg(F.bool_or(F.col("area") >= 20000).alias("large_tile"), F.bool_or(F.col("review_status") == "edit").alias("edited_tile"))
+    deleted, box = p.where("review_status = 'delete'").select(*KEYS, "poly_id", *spatial.BOX), [*KEYS, *spatial.BOX]
+    true = spatial.near_boxes(deleted, p.where("review_status = 'correct'").select(*box), KEYS, decisions.NEAR_TRUE).groupBy("poly_id").agg(F.min("dist2").alias("true_dist2"))
+    missed = g.select(*box, "gt_id").join(spatial.box_join(g.select(*box, "gt_id"), p.select(*box), KEYS).select(*KEYS, "gt_id").distinct(), [*KEYS, "gt_id"], "left_anti")
+    near = spatial.near_boxes(deleted, missed.select(*box), KEYS, decisions.NEAR_MISSED).select("poly_id", F.lit(True).alias("missed_near")).distinct()
+    rows = rows.select("*", *tile).join(held, [*KEYS, "ti", "tj"]).join(true, "poly_id", "left").join(near, "poly_id", "left")
+    status, c = F.col("review_status"), F.col
+    rows = rows.withColumn("fp_bucket", decisions.fp_bucket(status, c("second_score") < 0.6, c("outside"), c("at_edge"), c("confidence")))
+    safety = decisions.hn_safety(status, c("fp_bucket"), c("outside"), c("true_dist2"), c("large_tile"), c("missed_near"), c("edited_tile"))
+    return rows.groupBy(*_RUN, "fp_bucket", safety.alias("hn_safety")).agg(F.count("*").alias("n"))
 
 
 _WEIGHTS = {"confidence": 0.5, "area": 0.3, "mean_r": -0.2}
@@ -122,20 +137,20 @@ def d8_overlay_area(spark, d):
     return spatial.box_join(p, cells, ["grid_id"]).groupBy("grid_id", F.col("b_wx").alias("wx")).agg(F.sum("inter").alias("cut_area"), F.count("*").alias("n"))
 
 
-@query(f"""{with_views('predictions', 'decisions')}, t AS (SELECT poly_id, grid_id, poly_id % 500 AS pred_id FROM predictions WHERE model_run = 'run_A'),
+@query(f"""{with_views('predictions', 'decisions')}, t AS (SELECT model_run, poly_id, grid_id, poly_id % 500 AS pred_id FROM predictions),
 a AS (SELECT grid_id, pred_id, max(event_id) AS e1 FROM decisions WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT pred_id, max(event_id) AS e2 FROM decisions WHERE event_id % 3 = 0 GROUP BY ALL),
 c AS (SELECT grid_id, max(event_id) AS e3 FROM decisions GROUP BY ALL)
-SELECT poly_id, coalesce(e1, e2, e3) AS event_id, CASE WHEN e1 IS NOT NULL THEN 'candidate' WHEN e2 IS NOT NULL THEN 'image' WHEN e3 IS NOT NULL THEN 'grid' ELSE 'none' END AS matched_by
+SELECT model_run, poly_id, coalesce(e1, e2, e3) AS event_id, CASE WHEN e1 IS NOT NULL THEN 'candidate' WHEN e2 IS NOT NULL THEN 'image' WHEN e3 IS NOT NULL THEN 'grid' ELSE 'none' END AS matched_by
 FROM t LEFT JOIN a USING (grid_id, pred_id) LEFT JOIN b USING (pred_id) LEFT JOIN c USING (grid_id)""")
 def d11_decision_join(spark, d):
     """Last decision of the candidate, else of the image, else of the grid."""
-    t = view(spark, d, "predictions").where("model_run = 'run_A'").select("poly_id", "grid_id", (F.col("poly_id") % 500).alias("pred_id"))
+    t = view(spark, d, "predictions").select("model_run", "poly_id", "grid_id", (F.col("poly_id") % 500).alias("pred_id"))
     x = view(spark, d, "decisions").select("grid_id", "pred_id", "event_id")
     a = x.where("event_id % 2 = 0").groupBy("grid_id", "pred_id").agg(F.max("event_id").alias("e1"))
     b = x.where("event_id % 3 = 0").groupBy("pred_id").agg(F.max("event_id").alias("e2"))
     c = x.groupBy("grid_id").agg(F.max("event_id").alias("e3"))
     by = columns.first_match([(F.col("e1").isNotNull(), "candidate"), (F.col("e2").isNotNull(), "image"), (F.col("e3").isNotNull(), "grid")], "none")
-    return t.join(a, ["grid_id", "pred_id"], "left").join(b, "pred_id", "left").join(c, "grid_id", "left").select("poly_id", F.coalesce("e1", "e2", "e3").alias("event_id"), by.alias("matched_by"))
+    return t.join(a, ["grid_id", "pred_id"], "left").join(b, "pred_id", "left").join(c, "grid_id", "left").select("model_run", "poly_id", F.coalesce("e1", "e2", "e3").alias("event_id"), by.alias("matched_by"))
 
 
 @query(f"""{with_views('task_grid', 'units')}, a AS (SELECT grid_id, concat('L', CAST(grid_id % 60 AS VARCHAR)) AS old_id, CASE WHEN grid_id < 60 THEN 0 ELSE 1 END AS tier FROM task_grid)
@@ -157,13 +172,13 @@ def d14_resolve_imagery_layer(spark, d):
     return grids.join(c, "grid_id", "left").groupBy("grid_id").agg(F.coalesce(F.min_by("layer", "prio"), F.lit("none")).alias("layer"), F.count("layer").alias("n_layers"))
 
 
-@query(f"""{with_views('predictions', 'units')}, t AS (SELECT grid_id, CAST(sum(centiwatts) AS BIGINT) AS cw FROM units GROUP BY ALL), p AS (SELECT grid_id, CAST(sum(area) AS BIGINT) AS area FROM predictions WHERE model_run = 'run_A' AND confidence >= 0.7 GROUP BY ALL)
-SELECT grid_id, coalesce(cw, 0) AS centiwatts, coalesce(area, 0) AS area, CASE WHEN cw IS NULL THEN 'predicted_only' WHEN area IS NULL THEN 'truth_only' ELSE 'both' END AS side FROM t FULL JOIN p USING (grid_id)""")
+@query(f"""{with_views('predictions', 'units')}, t AS (SELECT grid_id, model_run, CAST(sum(centiwatts) AS BIGINT) AS cw FROM units, (SELECT unnest({RUNS}) AS model_run) GROUP BY ALL), p AS (SELECT grid_id, model_run, CAST(sum(area) AS BIGINT) AS area FROM predictions WHERE confidence >= 0.7 GROUP BY ALL)
+SELECT grid_id, model_run, coalesce(cw, 0) AS centiwatts, coalesce(area, 0) AS area, CASE WHEN cw IS NULL THEN 'predicted_only' WHEN area IS NULL THEN 'truth_only' ELSE 'both' END AS side FROM t FULL JOIN p USING (grid_id, model_run)""")
 def d19_full_outer_units(spark, d):
-    t = view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw"))
-    p = view(spark, d, "predictions").where("model_run = 'run_A' and confidence >= 0.7").groupBy("grid_id").agg(F.sum("area").alias("area"))
+    t = for_each_run(view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw")))
+    p = view(spark, d, "predictions").where("confidence >= 0.7").groupBy("grid_id", "model_run").agg(F.sum("area").alias("area"))
     side = columns.first_match([(F.col("cw").isNull(), "predicted_only"), (F.col("area").isNull(), "truth_only")], "both")
-    return t.join(p, "grid_id", "full_outer").select("grid_id", F.coalesce("cw", F.lit(0)).alias("centiwatts"), F.coalesce("area", F.lit(0)).alias("area"), side.alias("side"))
+    return t.join(p, ["grid_id", "model_run"], "full_outer").select("grid_id", "model_run", F.coalesce("cw", F.lit(0)).alias("centiwatts"), F.coalesce("area", F.lit(0)).alias("area"), side.alias("side"))
 
 
 @query(f"""{with_views('ground_truth', 'task_grid')}, b AS (SELECT grid_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ground_truth GROUP BY ALL)
@@ -173,22 +188,14 @@ def d20_gt_bounds_inside(spark, d):
     return b.join(view(spark, d, "task_grid").select("grid_id"), "grid_id").select("grid_id", F.expr("x0 >= -10 and y0 >= -10 and x1 <= 3200 and y1 <= 3200").alias("inside"), *spatial.BOX)
 
 
-@query(f"""{with_views('predictions', 'units')}, h AS (SELECT grid_id, sum(centiwatts) AS cw FROM units GROUP BY ALL), p AS (SELECT DISTINCT grid_id FROM predictions WHERE confidence >= 0.95 AND model_run = 'run_B' AND area > 15000)
-SELECT CAST(coalesce(sum(CASE WHEN p.grid_id IS NOT NULL THEN cw END), 0) AS BIGINT) AS covered, CAST(coalesce(sum(CASE WHEN p.grid_id IS NULL THEN cw END), 0) AS BIGINT) AS uncovered, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(p.grid_id) AS BIGINT) AS n_covered FROM h LEFT JOIN p USING (grid_id)""")
+@query(f"""{with_views('predictions', 'units')}, h AS (SELECT grid_id, model_run, sum(centiwatts) AS cw FROM units, (SELECT unnest({RUNS}) AS model_run) GROUP BY ALL), p AS (SELECT DISTINCT grid_id, model_run FROM predictions WHERE confidence >= 0.95)
+SELECT model_run, CAST(coalesce(sum(CASE WHEN p.grid_id IS NOT NULL THEN cw END), 0) AS BIGINT) AS covered, CAST(coalesce(sum(CASE WHEN p.grid_id IS NULL THEN cw END), 0) AS BIGINT) AS uncovered, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(p.grid_id) AS BIGINT) AS n_covered FROM h LEFT JOIN p USING (grid_id, model_run) GROUP BY model_run""")
 def h40_kw_coverage(spark, d):
-    h = view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw"))
-    p = view(spark, d, "predictions").where("confidence >= 0.95 and model_run = 'run_B' and area > 15000").select("grid_id", F.lit(True).alias("hit")).distinct()
+    h = for_each_run(view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw")))
+    p = view(spark, d, "predictions").where("confidence >= 0.95").select("grid_id", "model_run", F.lit(True).alias("hit")).distinct()
     sums = [F.coalesce(F.sum(F.when(c, F.col("cw"))), F.lit(0)).alias(n) for n, c in (("covered", F.col("hit").isNotNull()), ("uncovered", F.col("hit").isNull()))]
-    return h.join(p, "grid_id", "left").agg(*sums, F.count("*").alias("n_cells"), F.count("hit").alias("n_covered"))
-
+    return h.join(p, ["grid_id", "model_run"], "left").groupBy("model_run").agg(*sums, F.count("*").alias("n_cells"), F.count("hit").alias("n_covered"))
 
-@query(f"""{with_views('predictions', 'units')}, h AS (SELECT grid_id, sum(centiwatts) / 100000.0E0 AS kw, customer_type FROM units GROUP BY ALL), p AS (SELECT grid_id, sum(area) / 100.0E0 AS m2 FROM predictions WHERE model_run = 'run_A' GROUP BY ALL)
-SELECT customer_type, CAST(count(*) AS BIGINT) AS n, round(regr_slope(kw, m2), 6) AS slope, round(regr_intercept(kw, m2), 4) AS intercept, round(regr_r2(kw, m2), 6) AS r2 FROM h JOIN p USING (grid_id) GROUP BY ALL""")
-def h39_area_to_kw_fits(spark, d):
-    h = view(spark, d, "units").groupBy("grid_id", "customer_type").agg((F.sum("centiwatts") / 100000).alias("kw"))
-    p = view(spark, d, "predictions").where("model_run = 'run_A'").groupBy("grid_id").agg((F.sum("area") / 100).alias("m2"))
-    fits = [F.round(f("kw", "m2"), n).alias(name) for name, f, n in (("slope", F.regr_slope, 6), ("intercept", F.regr_intercept, 4), ("r2", F.regr_r2, 6))]
-    return h.join(p, "grid_id").groupBy("customer_type").agg(F.count("*").alias("n"), *fits)
 
 
 @query(f"""{with_views('ground_truth')} SELECT grid_id, CAST(count(*) AS BIGINT) AS n, round(median(area), 4) AS median_area, CAST(sum(area) AS BIGINT) AS total_area, CAST(count(*) FILTER (WHERE x0 < 0 OR y0 < 0) AS BIGINT) AS n_outside,
@@ -228,8 +235,8 @@ SELECT region, poly_id, 'negative' AS kind FROM r JOIN n USING (region) WHERE k
 def j10_balance_negatives(spark, d):
     p = view(spark, d, "predictions").select("region", "poly_id", "review_status")
     quota = p.groupBy("region").agg(F.floor(F.count_if(F.col("review_status") == "correct") * 0.5).alias("quota"))
-    k = F.row_number().over(Window.partitionBy("region").orderBy(sampling.digest("42", F.col("poly_id")), "poly_id"))
-    negatives = p.where("review_status = 'delete'").withColumn("k", k).join(quota, "region").where("k <= quota")
+    negatives = p.where("review_status = 'delete'").withColumn("digest", sampling.digest("42", F.col("poly_id")))
+    negatives = ranks.places(negatives, ["region"], [F.col("digest"), F.col("poly_id")]).join(quota, "region").where("place <= quota")
     return negatives.select("region", "poly_id", F.lit("negative").alias("kind")).unionByName(p.where("review_status = 'correct'").select("region", "poly_id", F.lit("positive").alias("kind")))
 
 
@@ -250,12 +257,12 @@ def k3_run_diff(spark, d):
     return m.where("model_run <> 'run_A'").join(base, ["region", "metric"]).where("not (value <=> base)").select("model_run", "region", "metric", "base", "value", (F.col("value") - F.col("base")).alias("delta"))
 
 
-@query(f"""{with_views('predictions', 'ground_truth')} SELECT region, grid_id, poly_id AS item_id, 'correct' AS status, 'reviewed' AS origin FROM predictions WHERE model_run = 'run_A' AND review_status = 'correct'
-UNION ALL SELECT region, grid_id, gt_id, 'correct', 'added' FROM ground_truth WHERE source = 'marked'""")
+@query(f"""{with_views('predictions', 'ground_truth')} SELECT model_run, region, grid_id, poly_id AS item_id, 'correct' AS status, 'reviewed' AS origin FROM predictions WHERE review_status = 'correct'
+UNION ALL SELECT NULL, region, grid_id, gt_id, 'correct', 'added' FROM ground_truth WHERE source = 'marked'""")
 def k6_accepted_annotations(spark, d):
-    p = view(spark, d, "predictions").where("model_run = 'run_A' and review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("correct").alias("status"), F.lit("reviewed").alias("origin"))
+    p = view(spark, d, "predictions").where("review_status = 'correct'").select("model_run", "region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("correct").alias("status"), F.lit("reviewed").alias("origin"))
     g = view(spark, d, "ground_truth").where("source = 'marked'").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.lit("correct").alias("status"), F.lit("added").alias("origin"))
-    return p.unionByName(g)
+    return p.unionByName(g.withColumn("model_run", F.lit(None).cast("string")))
 
 
 @query(f"""{with_views('intervals')}, m AS (SELECT year(start_date + CAST(floor(date_diff('day', start_date, end_date) / 2) AS INTEGER)) AS year, month(start_date + CAST(floor(date_diff('day', start_date, end_date) / 2) AS INTEGER)) AS month FROM intervals WHERE date_status = 'dated')
@@ -336,26 +343,33 @@ def m12_hn_candidates(spark, d):
     return w.join(met.select("poly_id").distinct(), "poly_id", "left_anti").select(*keys, "poly_id", "wx", "wy")
 
 
-@query(f"""{with_views('decisions')} SELECT event_id, CASE WHEN lookalike = 'shadow' THEN 'skip_quality_shadow' WHEN confidence IS NULL THEN 'skip_missing_confidence' WHEN pv_present THEN CASE WHEN confidence >= 0.3 THEN 'weak_positive' ELSE 'skip_low_conf_positive' END
-WHEN NOT pv_present THEN CASE WHEN confidence >= 0.2 THEN 'hard_negative_candidate' ELSE 'skip_low_conf_negative' END ELSE 'skip_null_presence' END AS triage FROM decisions""")
+@query(f"""{with_views('predictions', 'ground_truth', 'decisions')}, l AS (SELECT grid_id, pred_id, event_id, pv_present, confidence, lookalike FROM (SELECT *, row_number() OVER (PARTITION BY grid_id, pred_id ORDER BY event_id DESC) AS k FROM decisions) WHERE k = 1),
+c AS (SELECT p.poly_id, p.grid_id, p.model_run, l.pv_present, l.confidence, l.lookalike, p.x0, p.y0, p.x1, p.y1, p.area FROM predictions p JOIN l ON l.grid_id = p.grid_id AND l.pred_id = p.poly_id % 500),
+o AS (SELECT poly_id, max((least(c.x1, g.x1) - greatest(c.x0, g.x0)) * (least(c.y1, g.y1) - greatest(c.y0, g.y0)) / CAST(c.area AS DOUBLE)) AS share FROM c JOIN ground_truth g ON g.grid_id = c.grid_id AND c.x0 < g.x1 AND g.x0 < c.x1 AND c.y0 < g.y1 AND g.y0 < c.y1 GROUP BY ALL),
+t AS (SELECT c.*, coalesce(share, 0) AS share, c.grid_id IN (SELECT grid_id FROM ground_truth WHERE area >= 36000) AS has_truth, CASE WHEN lookalike = 'shadow' THEN 'skip_quality_shadow' WHEN confidence IS NULL THEN 'skip_missing_confidence' WHEN pv_present THEN CASE WHEN confidence >= 0.3 THEN 'weak_positive' ELSE 'skip_low_conf_positive' END
+  WHEN NOT pv_present THEN CASE WHEN confidence >= 0.2 THEN 'hard_negative_candidate' ELSE 'skip_low_conf_negative' END ELSE 'skip_null_presence' END AS first_triage FROM c LEFT JOIN o USING (poly_id))
+SELECT model_run, poly_id, round(share, 6) AS share, CASE WHEN first_triage = 'hard_negative_candidate' AND share > 0.1 THEN 'drop_hn_gt_overlap' WHEN first_triage = 'hard_negative_candidate' AND NOT has_truth THEN 'skip_hn_no_gt_available' ELSE first_triage END AS triage FROM t""")
 def m14_weak_label_triage(spark, d):
-    pv, c = F.col("pv_present"), F.col("confidence")
-    triage = columns.first_match([
-        (F.col("lookalike") == "shadow", "skip_quality_shadow"), (c.isNull(), "skip_missing_confidence"), (pv & (c >= 0.3), "weak_positive"), (pv, "skip_low_conf_positive"),
-        (~pv & (c >= 0.2), "hard_negative_candidate"), (~pv, "skip_low_conf_negative"),
-    ], "skip_null_presence")
-    return view(spark, d, "decisions").select("event_id", triage.alias("triage"))
-
-
-@query(f"""{with_views('predictions', 'units')}, v AS (SELECT poly_id, customer_type, count(*) AS n FROM predictions p JOIN units u ON p.grid_id = u.grid_id AND p.model_run = 'run_A' AND greatest(x0 - x, x - x1, 0) * greatest(x0 - x, x - x1, 0) + greatest(y0 - y, y - y1, 0) * greatest(y0 - y, y - y1, 0) <= 40000 GROUP BY ALL)
-SELECT p.poly_id, coalesce(arg_min(customer_type, (-n, customer_type)) FILTER (WHERE n IS NOT NULL), 'residential') AS land_use FROM predictions p LEFT JOIN v USING (poly_id) WHERE model_run = 'run_A' GROUP BY p.poly_id""")
+    """What the last decision of each prediction is good for; hard negatives are looked at beside the ground truth of their cell, if it has any large enough to have been searched."""
+    last = view(spark, d, "decisions").groupBy("grid_id", "pred_id").agg(F.max_by(F.struct("pv_present", "confidence", "lookalike"), "event_id").alias("m")).select("grid_id", "pred_id", "m.pv_present", "m.confidence", "m.lookalike")
+    p = view(spark, d, "predictions").select("model_run", "grid_id", "poly_id", "area", *spatial.BOX).withColumn("pred_id", F.col("poly_id") % 500)
+    g = view(spark, d, "ground_truth")
+    share = spatial.overlaps(p.select("grid_id", "poly_id", "area", *spatial.BOX), g.select("grid_id", "area", *spatial.BOX), ["grid_id"]).groupBy("poly_id").agg(F.max("iof").alias("share"))
+    searched = g.where("area >= 36000").select("grid_id", F.lit(True).alias("has_truth")).distinct()
+    rows = p.join(last, ["grid_id", "pred_id"]).join(share, "poly_id", "left").join(searched, "grid_id", "left")
+    triage = decisions.weak_label(F.col("pv_present"), F.col("confidence"), F.col("lookalike") == "shadow")
+    return rows.select("model_run", "poly_id", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"), decisions.truth_audit(triage, F.col("share"), F.col("has_truth")).alias("triage"))
+
+
+@query(f"""{with_views('predictions', 'units')}, v AS (SELECT poly_id, customer_type, count(*) AS n FROM predictions p JOIN units u ON p.grid_id = u.grid_id AND greatest(x0 - x, x - x1, 0) * greatest(x0 - x, x - x1, 0) + greatest(y0 - y, y - y1, 0) * greatest(y0 - y, y - y1, 0) <= 40000 GROUP BY ALL)
+SELECT model_run, p.poly_id, coalesce(arg_min(customer_type, (-n, customer_type)) FILTER (WHERE n IS NOT NULL), 'residential') AS land_use FROM predictions p LEFT JOIN v USING (poly_id) GROUP BY model_run, p.poly_id""")
 def m16_land_use_vote(spark, d):
     """The commonest class of units near a box, the first by name among equals; residential where none is near."""
-    p = view(spark, d, "predictions").where("model_run = 'run_A'").select("grid_id", "poly_id", *spatial.BOX)
+    p = view(spark, d, "predictions").select("model_run", "grid_id", "poly_id", *spatial.BOX)
     near = spatial.points_within(view(spark, d, "units").select("grid_id", "customer_type", "x", "y"), p, ["grid_id"], margin=200)
     votes = near.groupBy(F.col("b_poly_id").alias("poly_id"), "customer_type").agg(F.count("*").alias("n"))
     best = votes.groupBy("poly_id").agg(F.min_by("customer_type", F.struct(-F.col("n"), "customer_type")).alias("best"))
-    return p.select("poly_id").join(best, "poly_id", "left").select("poly_id", F.coalesce("best", F.lit("residential")).alias("land_use"))
+    return p.select("model_run", "poly_id").join(best, "poly_id", "left").select("model_run", "poly_id", F.coalesce("best", F.lit("residential")).alias("land_use"))
 
 
 @query(f"""{with_views('ground_truth')} SELECT grid_id, gt_id AS source_id, concat(CAST(grid_id AS VARCHAR), '_', lpad(CAST(row_number() OVER (PARTITION BY grid_id ORDER BY gt_id) AS VARCHAR), 3, '0')) AS annotation_id, 'default' AS tier FROM ground_truth WHERE area <= 25000 AND x0 >= 0 AND y0 >= 0""")
@@ -390,11 +404,7 @@ def n6_registry_violations(spark, d):
 @query(f"""{with_views('decisions', 'negative_pool')}, a AS (SELECT grid_id, pred_id, bool_and(NOT coalesce(pv_present, true)) FILTER (WHERE event_id % 2 = 0) AS first_says, bool_and(NOT coalesce(pv_present, true)) FILTER (WHERE event_id % 2 = 1) AS second_says FROM decisions GROUP BY ALL)
 SELECT grid_id, pred_id, CASE WHEN first_says IS NULL OR second_says IS NULL THEN 'one_reviewer' WHEN first_says AND second_says THEN 'admit' WHEN first_says OR second_says THEN 'disagree' ELSE 'positive' END AS outcome FROM a""")
 def n8_pool_ingest_agreement(spark, d):
-    """Two reviewers must both say no; no verdict is a veto."""
-    says = [F.every(F.when(F.col("event_id") % 2 == r, ~F.coalesce("pv_present", F.lit(True)))).alias(n) for r, n in ((0, "first"), (1, "second"))]
-    a, b = F.col("first"), F.col("second")
-    outcome = columns.first_match([(a.isNull() | b.isNull(), "one_reviewer"), (a & b, "admit"), (a | b, "disagree")], "positive")
-    return view(spark, d, "decisions").groupBy("grid_id", "pred_id").agg(*says).select("grid_id", "pred_id", outcome.alias("outcome"))
+    return decisions.agreement(view(spark, d, "decisions"), ["grid_id", "pred_id"], F.col("event_id") % 2 == 1, F.col("pv_present"))
 
 
 @query(f"""{with_views('negative_pool')}, f AS (SELECT p.*, CASE WHEN p_size > 10 THEN concat('BOX ', p_name) END AS found FROM negative_pool p JOIN part ON CAST(p_partkey AS VARCHAR) = chip_id)
@@ -409,12 +419,12 @@ def n9_backfill_geometry(spark, d):
     return view(spark, d, "negative_pool").join(found, "chip_id", "left").select("chip_id", F.when(blank, F.coalesce("found", F.lit(""))).otherwise(F.trim("bbox_geo")).alias("bbox_geo"), status.alias("status"), eligible.alias("training_eligible"))
 
 
-@query(f"""{_P}, c AS (SELECT poly_id, grid_id, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM predictions WHERE model_run = 'run_A')
-SELECT poly_id, CAST((cx // 600) * 5 + (cy // 600) AS BIGINT) AS tile FROM c WHERE cx < 3000 AND cy < 3000""")
+@query(f"""{_P}, c AS (SELECT poly_id, grid_id, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy, model_run FROM predictions)
+SELECT model_run, poly_id, CAST((cx // 600) * 5 + (cy // 600) AS BIGINT) AS tile FROM c WHERE cx < 3000 AND cy < 3000""")
 def c15_reviewable_only(spark, d):
     """Boxes whose centre lies in a tile, with the tile's number."""
-    p = view(spark, d, "predictions").where("model_run = 'run_A'").withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2), "cy": F.floor((F.col("y0") + F.col("y1")) / 2)})
-    return p.where("cx < 3000 and cy < 3000").select("poly_id", (F.floor(F.col("cx") / _TILE) * 5 + F.floor(F.col("cy") / _TILE)).alias("tile"))
+    p = view(spark, d, "predictions").withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2), "cy": F.floor((F.col("y0") + F.col("y1")) / 2)})
+    return p.where("cx < 3000 and cy < 3000").select("model_run", "poly_id", (F.floor(F.col("cx") / _TILE) * 5 + F.floor(F.col("cy") / _TILE)).alias("tile"))
 
 
 @query(f"""{with_views('task_grid')}, r AS (SELECT gx, gy FROM task_grid WHERE grid_id % 17 = 0), b AS (SELECT grid_id, gx, gy FROM task_grid WHERE grid_id % 17 <> 0)
@@ -449,13 +459,13 @@ def a13_ingest_annotations(spark, d):
     return view(spark, d, "task_grid").select("grid_id").join(b, "grid_id", "left").select("grid_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("n", F.lit(0)).alias("n"), action.alias("action"))
 
 
-@query(f"""{with_views('predictions', 'ground_truth', 'negative_pool')}, a AS (SELECT region, grid_id, gt_id AS item_id, source AS provenance, 1 AS prio FROM ground_truth UNION ALL SELECT region, grid_id, poly_id, 'prediction', 2 FROM predictions WHERE model_run = 'run_B' AND review_status = 'correct'),
+@query(f"""{with_views('predictions', 'ground_truth', 'negative_pool')}, a AS (SELECT region, grid_id, gt_id AS item_id, source AS provenance, 1 AS prio FROM ground_truth UNION ALL SELECT region, grid_id, poly_id, 'prediction', 2 FROM predictions WHERE review_status = 'correct'),
 b AS (SELECT *, min(prio) OVER (PARTITION BY region, grid_id, item_id) AS best FROM a), n AS (SELECT DISTINCT grid_id FROM negative_pool WHERE archetype = 'ECONOMY')
 SELECT b.item_id, b.grid_id, provenance, CASE provenance WHEN 'reviewed' THEN 'trusted' WHEN 'redrawn' THEN 'trusted' ELSE 'untrusted' END AS trust, n.grid_id IS NOT NULL AS shares_cell FROM b LEFT JOIN n USING (grid_id) WHERE prio = best""")
 def m13_training_pool_manifest(spark, d):
     """Every annotation once, the first source before the second, with its trust and whether the negative pool uses its cell."""
     g = view(spark, d, "ground_truth").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.col("source").alias("provenance"), F.lit(1).alias("prio"))
-    p = view(spark, d, "predictions").where("model_run = 'run_B' and review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("prediction").alias("provenance"), F.lit(2).alias("prio"))
+    p = view(spark, d, "predictions").where("review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("prediction").alias("provenance"), F.lit(2).alias("prio"))
     a = g.unionByName(p).groupBy("region", "grid_id", "item_id").agg(F.min_by("provenance", "prio").alias("provenance"))
     n = view(spark, d, "negative_pool").where("archetype = 'ECONOMY'").select("grid_id", F.lit(True).alias("used")).distinct()
     trust = F.when(F.col("provenance").isin(*_TRUST), "trusted").otherwise("untrusted")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, spatial
+from rooftally.operators import columns, names, spatial
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import _SETS, ERRORS, GR, KEYS, both, errors, slab
 from rooftally.plans.registry import query
@@ -73,12 +73,30 @@ def b13_ids(spark, d):
     return view(spark, d, "predictions").select("poly_id", F.format_string("%d_pred%06d", "grid_id", F.col("poly_id") % 1000000).alias("candidate_id"), F.concat_ws(":", "region", "grid_id", "model_run", "poly_id").alias("pool_id"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, CASE WHEN regexp_matches(url, '/([0-9]+)') THEN CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) END AS number, CASE WHEN url LIKE '%page=%' THEN 'paged' WHEN url LIKE '%?%' THEN 'query' ELSE 'plain' END AS family FROM pages""")
+#: What stands for the names of files and runs: made of the tables' values, since they hold none.
+_NAME = "concat('results/', CASE o_orderkey % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'JHB' WHEN 2 THEN 'cpt' ELSE '' END, lpad(CAST(o_custkey % 10000 AS {text}), 4, '0'), '_V', CAST(o_orderkey % 5 AS {text}), '_', date_format(o_orderdate, 'yyMMdd'), '_pred', CAST(o_custkey AS {text}), '.gpkg')"
+_RUN_NAME = "concat(CASE o_orderkey % 3 WHEN 0 THEN 'v4_aerial/' ELSE '' END, CASE o_orderkey % 5 WHEN 0 THEN 'benchmark_lineup_V3-A' WHEN 1 THEN 'benchmark_old_V9' WHEN 2 THEN 'EXP7_targeted' WHEN 3 THEN 'v4.2_tuned' ELSE 'plain' END)"
+_FAMILIES = [("v4[._]2", "v4.2"), ("exp7", "v4.1"), ("v4_aerial", "v4"), ("benchmark", "bench")]
+_TAGS = {"v3-a": "v3", "v4.2": "v4.2"}
+_DUCK = lambda text: text.replace("{text}", "VARCHAR").replace("date_format(o_orderdate, 'yyMMdd')", "strftime(o_orderdate, '%y%m%d')")
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, {_DUCK(_NAME)} AS path, {_RUN_NAME} AS run FROM orders), s AS (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '\\.[^.]*$', '') AS stem, lower(run) AS low FROM n)
+SELECT o_orderkey, nullif(regexp_extract(stem, '^(?:((?:JHB|G)[0-9]{{4}}))', 1), '') AS grid_id, nullif(regexp_extract(stem, '_([0-9]{{6}})(?:_|$)', 1), '') AS vintage, TRY_CAST(nullif(regexp_extract(stem, '_pred([0-9]+)', 1), '') AS BIGINT) AS pred_idx,
+CASE WHEN contains(low, 'benchmark_') AND string_split(low, '_')[-1] = 'v3-a' THEN 'v3' WHEN contains(low, 'benchmark_') AND string_split(low, '_')[-1] = 'v4.2' THEN 'v4.2' WHEN regexp_matches(low, 'v4[._]2') THEN 'v4.2' WHEN contains(low, 'exp7') THEN 'v4.1' WHEN contains(low, 'v4_aerial') THEN 'v4' WHEN contains(low, 'benchmark') THEN 'bench' ELSE 'other' END AS family FROM s""")
 def b15_b16_name_grammars(spark, d):
-    """Parts of a name by patterns, null where nothing matches; the family by the first pattern that fits."""
+    """Cell, vintage and number from a file's name, null where it doesn't fit; the family of a run by its tag, else by the first rule that fits."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_NAME.replace("{text}", "STRING")).alias("path"), F.expr(_RUN_NAME).alias("run"))
+    stem = names.file_stem(F.col("path"))
+    parts = [names.part(stem, "((?:JHB|G)[0-9]{4})", whole=True).alias("grid_id"), names.part(stem, "_([0-9]{6})(?:_|$)").alias("vintage"), names.part(stem, "_pred([0-9]+)").try_cast("bigint").alias("pred_idx")]
+    return o.select("o_orderkey", *parts, names.family(F.col("run"), F.lit(None).cast("string"), _FAMILIES, tagged="benchmark_", tags=_TAGS).alias("family"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS number, CASE WHEN contains(url, 'page=') THEN 'paged' WHEN contains(url, '?') THEN 'query' ELSE 'plain' END AS family FROM pages""")
+def b15_b16_page_grammars(spark, d):
+    """The same for the addresses of pages."""
     url = F.col("url")
-    family = columns.first_match([(url.contains("page="), "paged"), (url.contains("?"), "query")], "plain")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"), F.nullif(F.regexp_extract("url", r"/([0-9]+)", 1), F.lit("")).cast("bigint").alias("number"), family.alias("family"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"), names.part(url, r"/([0-9]+)").try_cast("bigint").alias("number"), names.family(url, F.lit(""), [("page=", "paged"), (r"\?", "query")], "plain").alias("family"))
 
 
 @query(f"{with_views('intervals')} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE date_trunc('month', start_date) = DATE '1996-03-01' AND date_trunc('month', end_date) = DATE '1996-05-01') AS BIGINT) AS n_gap, CAST(count(*) FILTER (WHERE year(end_date) <= 1996) AS BIGINT) AS n_vintage FROM intervals")
@@ -94,11 +112,11 @@ def c11_confidence_band(spark, d):
     return p.groupBy("region", F.col("review_status").alias("label")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
 
 
-@query(f"""{with_views('predictions', 'decisions')}, r AS (SELECT grid_id, pred_id, arg_max(coalesce(CAST(pv_present AS VARCHAR), 'abstain'), event_id) AS verdict FROM decisions GROUP BY grid_id, pred_id), p AS (SELECT grid_id, poly_id % 500 AS pred_id, poly_id, area FROM predictions WHERE model_run = 'run_A')
-SELECT verdict, CAST(count(*) AS BIGINT) AS n, CAST(sum(area) AS BIGINT) AS area FROM p JOIN r USING (grid_id, pred_id) WHERE verdict <> 'abstain' GROUP BY verdict""")
+@query(f"""{with_views('predictions', 'decisions')}, r AS (SELECT grid_id, pred_id, arg_max(coalesce(CAST(pv_present AS VARCHAR), 'abstain'), event_id) AS verdict FROM decisions GROUP BY grid_id, pred_id), p AS (SELECT model_run, grid_id, poly_id % 500 AS pred_id, poly_id, area FROM predictions)
+SELECT model_run, verdict, CAST(count(*) AS BIGINT) AS n, CAST(sum(area) AS BIGINT) AS area FROM p JOIN r USING (grid_id, pred_id) WHERE verdict <> 'abstain' GROUP BY model_run, verdict""")
 def d12_review_join(spark, d):
     """Predictions with their last verdict; rows whose reviewer abstained stay out of the counts."""
     last = view(spark, d, "decisions").groupBy("grid_id", "pred_id").agg(F.max_by(F.struct("pv_present"), "event_id").alias("m"))
-    p = view(spark, d, "predictions").where("model_run = 'run_A'").select("grid_id", (F.col("poly_id") % 500).alias("pred_id"), "area")
+    p = view(spark, d, "predictions").select("model_run", "grid_id", (F.col("poly_id") % 500).alias("pred_id"), "area")
     rows = p.join(last, ["grid_id", "pred_id"]).where(F.col("m.pv_present").isNotNull())
-    return rows.groupBy(F.col("m.pv_present").cast("string").alias("verdict")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    return rows.groupBy("model_run", F.col("m.pv_present").cast("string").alias("verdict")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))

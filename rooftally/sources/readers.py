@@ -122,12 +122,23 @@ def write_inventory(df: DataFrame, root: str, contract: list[str], parts: list[s
     df.sparkSession.createDataFrame([tuple(config.values())], ", ".join(f"{k} string" for k in config)).write.json(f"{root}/config")
 
 
-def inventory_snapshot(spark: SparkSession, root: str, version_pattern: str) -> DataFrame:
-    """(region, run, version, n_rows) of a result tree ``region=…/model_run=…``: names by the paths, rows by file, versions by a pattern on the run."""
+def inventory_snapshot(spark: SparkSession, root: str, version_pattern: str, configs: str | None = None) -> DataFrame:
+    """(region, run, version, imagery, n_rows) of a result tree ``region=…/model_run=…``: names by the paths, rows by file.
+
+    ``configs`` is a tree of the same names with a JSON file each, from which version and imagery source come; where it has none, or they
+    are empty, the version is what a pattern finds in the run's name, and the imagery null. A file that isn't JSON counts as none.
+    """
     files = spark.read.parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
     run = path_value(F.col("path"), "model_run")
-    rows = files.select(path_value(F.col("path"), "region").alias("region"), run.alias("run"), F.nullif(F.regexp_extract(run, version_pattern, 1), F.lit("")).alias("version"), "n")
-    return rows.groupBy("region", "run", "version").agg(F.sum("n").alias("n_rows"))
+    rows = files.groupBy(path_value(F.col("path"), "region").alias("region"), run.alias("run")).agg(F.sum("n").alias("n_rows"))
+    named = F.nullif(F.regexp_extract("run", version_pattern, 1), F.lit(""))
+    if configs is None:
+        return rows.select("region", "run", named.alias("version"), F.lit(None).cast("string").alias("imagery"), "n_rows")
+    told = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(configs)
+    value = lambda path: F.nullif(F.trim(F.get_json_object("value", path)), F.lit(""))
+    at = F.col("_metadata.file_path")
+    told = told.groupBy(path_value(at, "region").alias("region"), path_value(at, "model_run").alias("run")).agg(F.max(value("$.model.version")).alias("_version"), F.max(value("$.imagery.source")).alias("imagery"))
+    return rows.join(told, ["region", "run"], "left").select("region", "run", F.coalesce("_version", named).alias("version"), "imagery", "n_rows")
 
 
 def merge_census(layers: DataFrame, grids: DataFrame, runs: list[str], keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ exact square decimetres.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CELL = 3000
 
@@ -105,6 +106,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace("VARCHAR(20)", "STRING").replace("VARCHAR(2)", "STRING"), **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
 
 
+#: The model runs of the tables.
+RUNS = ["run_A", "run_B", "run_C"]
+
+
+def for_each_run(df: DataFrame) -> DataFrame:
+    """``df`` once for each run, told in ``model_run``."""
+    return df.withColumn("model_run", F.explode(F.array(*map(F.lit, RUNS))))
+
+
 def with_views(*names: str) -> str:
     """``WITH`` clause of the views, for the SQL that checks a query."""
     return "WITH " + ",\n".join(f"{n} AS ({TEXTS[n].format(**{t: t for t in TABLES})})" for n in names)
