@@ -165,13 +165,12 @@ def match_sets(g: DataFrame, p: DataFrame, keys: list[str], gt: str, iou: float)
 
 def pack_targets(p: DataFrame, keys: list[str], tile: str, chip: int, most: int) -> DataFrame:
     """``pack`` (from 1, by tile): boxes by falling confidence, then id, go into the first pack of their tile that still fits a
-    square of ``chip`` with them and holds fewer than ``most``. A box larger than that is alone. Tiles of one key are packed in one task: a key is one cell's detections."""
+    square of ``chip`` with them and holds fewer than ``most``. A box larger than that is alone. A tile is packed in one task."""
 
     def packed(pdf):
         pdf = pdf.sort_values(["confidence", "poly_id"], ascending=[False, True])
-        packs, out = {}, []
-        for t, a, b, c, d in zip(pdf[tile], pdf.x0, pdf.y0, pdf.x1, pdf.y1):
-            own = packs.setdefault(t, [])
+        own, out = [], []
+        for a, b, c, d in zip(pdf.x0, pdf.y0, pdf.x1, pdf.y1):
             for i, (n, u, v, w, z) in enumerate(own):
                 grown = min(a, u), min(b, v), max(c, w), max(d, z)
                 if n < most and grown[2] - grown[0] <= chip and grown[3] - grown[1] <= chip:
@@ -184,7 +183,7 @@ def pack_targets(p: DataFrame, keys: list[str], tile: str, chip: int, most: int)
         return pdf.assign(pack=out)[[*keys, tile, "poly_id", "pack"]]
 
     rows = p.select(*keys, tile, "poly_id", "confidence", *BOX)
-    return rows.groupBy(*keys).applyInPandas(packed, rows.select(*keys, tile, "poly_id").schema.add("pack", "long"))
+    return rows.groupBy(*keys, tile).applyInPandas(packed, rows.select(*keys, tile, "poly_id").schema.add("pack", "long"))
 
 
 def dissolve_overlaps(g: DataFrame, keys: list[str], least: int) -> DataFrame:

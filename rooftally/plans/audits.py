@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, graph, matching, sampling, spatial, stats
+from rooftally.operators import columns, graph, joins, matching, sampling, spatial, stats
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import GR, KEYS, PAIRS, THRESHOLDS, both, slab
 from rooftally.plans import loops
@@ -255,9 +255,8 @@ def b14_tri_state(spark, d):
 @query(f"""{_P}, s AS (SELECT DISTINCT grid_id FROM predictions WHERE grid_id % 10 = 3 OR regexp_matches(CAST(grid_id AS VARCHAR), '^(1|7[0-4])')) SELECT grid_id, CAST(count(*) AS BIGINT) AS n FROM predictions WHERE grid_id NOT IN (SELECT grid_id FROM s) GROUP BY ALL""")
 def d15_pattern_anti_join(spark, d):
     """Without the cells that a suite lists or whose name fits one of its patterns."""
-    p = view(spark, d, "predictions")
-    listed = view(spark, d, "task_grid").where("grid_id % 10 = 3").select("grid_id")
-    return p.where(~F.col("grid_id").cast("string").rlike("^(1|7[0-4])")).join(listed, "grid_id", "left_anti").groupBy("grid_id").agg(F.count("*").alias("n"))
+    listed = view(spark, d, "task_grid").where("grid_id % 10 = 3")
+    return joins.without_listed(view(spark, d, "predictions"), "grid_id", listed, ["^(1|7[0-4])"]).groupBy("grid_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_PG}, t AS (SELECT grid_id, CAST(regexp_extract(concat('cell_', CAST(grid_id AS VARCHAR), '_n', CAST(140 + grid_id % 20 AS VARCHAR), '.parquet'), '_n([0-9]+)', 1) AS BIGINT) AS declared, count(*) AS n FROM ground_truth GROUP BY ALL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, decisions, matching, ranks, sampling, stats
+from rooftally.operators import columns, decisions, joins, matching, ranks, sampling, stats
 from rooftally.plans.registry import query
 from rooftally.sources.views import RUNS, for_each_run, table, view, with_views
 
@@ -97,16 +97,15 @@ def c9_negative_pool_select(spark, d):
 
 @query(f"""{with_views('task_grid', 'negative_pool')} SELECT grid_id, region, grid_id IN (SELECT grid_id FROM negative_pool WHERE training_eligible <> 'false' AND archetype_confidence = 'A1' AND region = 'ASIA') AS leaks FROM task_grid""")
 def d16_leakage_split(spark, d):
-    pool = view(spark, d, "negative_pool").where(columns.eligible(F.col("training_eligible")) & (F.col("archetype_confidence") == "A1") & (F.col("region") == "ASIA")).select("grid_id").distinct()
-    return view(spark, d, "task_grid").join(pool.withColumn("hit", F.lit(True)), "grid_id", "left").select("grid_id", "region", F.coalesce("hit", F.lit(False)).alias("leaks"))
+    pool = view(spark, d, "negative_pool").where(columns.eligible(F.col("training_eligible")) & (F.col("archetype_confidence") == "A1") & (F.col("region") == "ASIA"))
+    return joins.leaks(view(spark, d, "task_grid").select("grid_id", "region"), pool, ["grid_id"])
 
 
 @query(f"""{with_views('predictions', 'task_grid')}, a AS (SELECT grid_id, model_run, count(*) AS n, sum(area) AS area FROM predictions WHERE confidence >= 0.95 GROUP BY ALL)
 SELECT grid_id, model_run, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(area, 0) AS BIGINT) AS area, CASE WHEN n IS NULL THEN 'not_reached' ELSE 'ok' END AS status FROM (SELECT grid_id, unnest({RUNS}) AS model_run FROM task_grid) LEFT JOIN a USING (grid_id, model_run)""")
 def d18_grid_left_join_fill(spark, d):
     a = view(spark, d, "predictions").where("confidence >= 0.95").groupBy("grid_id", "model_run").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
-    joined = for_each_run(view(spark, d, "task_grid").select("grid_id")).join(a, ["grid_id", "model_run"], "left")
-    return joined.select("grid_id", "model_run", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("area", F.lit(0)).alias("area"), F.when(F.col("n").isNull(), "not_reached").otherwise("ok").alias("status"))
+    return joins.left_join_fill(for_each_run(view(spark, d, "task_grid").select("grid_id")), a, ["grid_id", "model_run"], ["n", "area"])
 
 
 _W = "1.96 * 1.96"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, decisions, ranks, sampling, spatial
+from rooftally.operators import columns, decisions, joins, ranks, sampling, spatial
 from rooftally.plans.area import GR, KEYS, both
 from rooftally.plans.registry import query
 from rooftally.sources.views import RUNS, for_each_run, table, view, with_views
@@ -145,12 +145,8 @@ FROM t LEFT JOIN a USING (grid_id, pred_id) LEFT JOIN b USING (pred_id) LEFT JOI
 def d11_decision_join(spark, d):
     """Last decision of the candidate, else of the image, else of the grid."""
     t = view(spark, d, "predictions").select("model_run", "poly_id", "grid_id", (F.col("poly_id") % 500).alias("pred_id"))
-    x = view(spark, d, "decisions").select("grid_id", "pred_id", "event_id")
-    a = x.where("event_id % 2 = 0").groupBy("grid_id", "pred_id").agg(F.max("event_id").alias("e1"))
-    b = x.where("event_id % 3 = 0").groupBy("pred_id").agg(F.max("event_id").alias("e2"))
-    c = x.groupBy("grid_id").agg(F.max("event_id").alias("e3"))
-    by = columns.first_match([(F.col("e1").isNotNull(), "candidate"), (F.col("e2").isNotNull(), "image"), (F.col("e3").isNotNull(), "grid")], "none")
-    return t.join(a, ["grid_id", "pred_id"], "left").join(b, "pred_id", "left").join(c, "grid_id", "left").select("model_run", "poly_id", F.coalesce("e1", "e2", "e3").alias("event_id"), by.alias("matched_by"))
+    levels = [("candidate", ["grid_id", "pred_id"], F.expr("event_id % 2 = 0")), ("image", ["pred_id"], F.expr("event_id % 3 = 0")), ("grid", ["grid_id"], F.lit(True))]
+    return joins.decision_join(t, view(spark, d, "decisions"), levels, "event_id").select("model_run", "poly_id", "event_id", "matched_by")
 
 
 @query(f"""{with_views('task_grid', 'units')}, a AS (SELECT grid_id, concat('L', CAST(grid_id % 60 AS VARCHAR)) AS old_id, CASE WHEN grid_id < 60 THEN 0 ELSE 1 END AS tier FROM task_grid)
@@ -158,8 +154,7 @@ SELECT old_id, min(grid_id) FILTER (WHERE tier = m) AS grid_id, m AS tier, count
 def d13_crosswalk(spark, d):
     """Old name to grid: the active namespace before the retired one; more than one candidate is flagged."""
     a = view(spark, d, "task_grid").select("grid_id", F.concat(F.lit("L"), F.col("grid_id") % 60).alias("old_id"), F.when(F.col("grid_id") < 60, 0).otherwise(1).alias("tier"))
-    best = F.min(F.struct("tier", "grid_id"))
-    return a.groupBy("old_id").agg(best.alias("best"), F.count("*").alias("n")).select("old_id", "best.grid_id", "best.tier", (F.col("n") > 1).alias("ambiguous"))
+    return joins.crosswalk(a, "old_id", "grid_id", "tier")
 
 
 @query(f"""{with_views('task_grid')}, c AS (SELECT grid_id, layer, prio FROM task_grid, (VALUES ('aerial', 2, 3), ('satellite', 1, 2), ('archive', 3, 1)) v(layer, prio, m) WHERE (grid_id + m) % (m + 1) <> 0)
@@ -168,33 +163,29 @@ def d14_resolve_imagery_layer(spark, d):
     layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(p).alias("prio"), F.lit(m).alias("m")) for n, p, m in (("aerial", 2, 3), ("satellite", 1, 2), ("archive", 3, 1))])
     grids = view(spark, d, "task_grid").select("grid_id")
     c = grids.withColumn("v", F.explode(layers)).select("grid_id", "v.*")
-    c = c.where((F.col("grid_id") + F.col("m")) % (F.col("m") + 1) != 0)
-    return grids.join(c, "grid_id", "left").groupBy("grid_id").agg(F.coalesce(F.min_by("layer", "prio"), F.lit("none")).alias("layer"), F.count("layer").alias("n_layers"))
+    return joins.resolve_layer(grids, c.where((F.col("grid_id") + F.col("m")) % (F.col("m") + 1) != 0), "grid_id", "layer", "prio")
 
 
 @query(f"""{with_views('predictions', 'units')}, t AS (SELECT grid_id, model_run, CAST(sum(centiwatts) AS BIGINT) AS cw FROM units, (SELECT unnest({RUNS}) AS model_run) GROUP BY ALL), p AS (SELECT grid_id, model_run, CAST(sum(area) AS BIGINT) AS area FROM predictions WHERE confidence >= 0.7 GROUP BY ALL)
 SELECT grid_id, model_run, coalesce(cw, 0) AS centiwatts, coalesce(area, 0) AS area, CASE WHEN cw IS NULL THEN 'predicted_only' WHEN area IS NULL THEN 'truth_only' ELSE 'both' END AS side FROM t FULL JOIN p USING (grid_id, model_run)""")
 def d19_full_outer_units(spark, d):
-    t = for_each_run(view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw")))
+    t = for_each_run(view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("centiwatts")))
     p = view(spark, d, "predictions").where("confidence >= 0.7").groupBy("grid_id", "model_run").agg(F.sum("area").alias("area"))
-    side = columns.first_match([(F.col("cw").isNull(), "predicted_only"), (F.col("area").isNull(), "truth_only")], "both")
-    return t.join(p, ["grid_id", "model_run"], "full_outer").select("grid_id", "model_run", F.coalesce("cw", F.lit(0)).alias("centiwatts"), F.coalesce("area", F.lit(0)).alias("area"), side.alias("side"))
+    return joins.both_sides(t, p, ["grid_id", "model_run"], "centiwatts", "area")
 
 
 @query(f"""{with_views('ground_truth', 'task_grid')}, b AS (SELECT grid_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ground_truth GROUP BY ALL)
 SELECT grid_id, x0 >= -10 AND y0 >= -10 AND x1 <= 3200 AND y1 <= 3200 AS inside, x0, y0, x1, y1 FROM b JOIN task_grid USING (grid_id)""")
 def d20_gt_bounds_inside(spark, d):
-    b = view(spark, d, "ground_truth").groupBy("grid_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return b.join(view(spark, d, "task_grid").select("grid_id"), "grid_id").select("grid_id", F.expr("x0 >= -10 and y0 >= -10 and x1 <= 3200 and y1 <= 3200").alias("inside"), *spatial.BOX)
+    g = view(spark, d, "ground_truth").join(view(spark, d, "task_grid").select("grid_id"), "grid_id", "left_semi")
+    return joins.bounds_inside(g, ["grid_id"], -10, 3200)
 
 
 @query(f"""{with_views('predictions', 'units')}, h AS (SELECT grid_id, model_run, sum(centiwatts) AS cw FROM units, (SELECT unnest({RUNS}) AS model_run) GROUP BY ALL), p AS (SELECT DISTINCT grid_id, model_run FROM predictions WHERE confidence >= 0.95)
 SELECT model_run, CAST(coalesce(sum(CASE WHEN p.grid_id IS NOT NULL THEN cw END), 0) AS BIGINT) AS covered, CAST(coalesce(sum(CASE WHEN p.grid_id IS NULL THEN cw END), 0) AS BIGINT) AS uncovered, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(p.grid_id) AS BIGINT) AS n_covered FROM h LEFT JOIN p USING (grid_id, model_run) GROUP BY model_run""")
 def h40_kw_coverage(spark, d):
     h = for_each_run(view(spark, d, "units").groupBy("grid_id").agg(F.sum("centiwatts").alias("cw")))
-    p = view(spark, d, "predictions").where("confidence >= 0.95").select("grid_id", "model_run", F.lit(True).alias("hit")).distinct()
-    sums = [F.coalesce(F.sum(F.when(c, F.col("cw"))), F.lit(0)).alias(n) for n, c in (("covered", F.col("hit").isNotNull()), ("uncovered", F.col("hit").isNull()))]
-    return h.join(p, ["grid_id", "model_run"], "left").groupBy("model_run").agg(*sums, F.count("*").alias("n_cells"), F.count("hit").alias("n_covered"))
+    return joins.coverage_by(h, view(spark, d, "predictions").where("confidence >= 0.95"), ["grid_id", "model_run"], ["model_run"], "cw")
 
 
 
@@ -260,9 +251,8 @@ def k3_run_diff(spark, d):
 @query(f"""{with_views('predictions', 'ground_truth')} SELECT model_run, region, grid_id, poly_id AS item_id, 'correct' AS status, 'reviewed' AS origin FROM predictions WHERE review_status = 'correct'
 UNION ALL SELECT NULL, region, grid_id, gt_id, 'correct', 'added' FROM ground_truth WHERE source = 'marked'""")
 def k6_accepted_annotations(spark, d):
-    p = view(spark, d, "predictions").where("review_status = 'correct'").select("model_run", "region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("correct").alias("status"), F.lit("reviewed").alias("origin"))
-    g = view(spark, d, "ground_truth").where("source = 'marked'").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.lit("correct").alias("status"), F.lit("added").alias("origin"))
-    return p.unionByName(g.withColumn("model_run", F.lit(None).cast("string")))
+    p, g = (view(spark, d, v).withColumnRenamed(c, "item_id") for v, c in (("predictions", "poly_id"), ("ground_truth", "gt_id")))
+    return joins.accepted([(p, F.col("review_status") == "correct", "reviewed"), (g, F.col("source") == "marked", "added")], ["model_run", "region", "grid_id", "item_id"])
 
 
 @query(f"""{with_views('intervals')}, m AS (SELECT year(start_date + CAST(floor(date_diff('day', start_date, end_date) / 2) AS INTEGER)) AS year, month(start_date + CAST(floor(date_diff('day', start_date, end_date) / 2) AS INTEGER)) AS month FROM intervals WHERE date_status = 'dated')
@@ -366,10 +356,7 @@ SELECT model_run, p.poly_id, coalesce(arg_min(customer_type, (-n, customer_type)
 def m16_land_use_vote(spark, d):
     """The commonest class of units near a box, the first by name among equals; residential where none is near."""
     p = view(spark, d, "predictions").select("model_run", "grid_id", "poly_id", *spatial.BOX)
-    near = spatial.points_within(view(spark, d, "units").select("grid_id", "customer_type", "x", "y"), p, ["grid_id"], margin=200)
-    votes = near.groupBy(F.col("b_poly_id").alias("poly_id"), "customer_type").agg(F.count("*").alias("n"))
-    best = votes.groupBy("poly_id").agg(F.min_by("customer_type", F.struct(-F.col("n"), "customer_type")).alias("best"))
-    return p.select("model_run", "poly_id").join(best, "poly_id", "left").select("model_run", "poly_id", F.coalesce("best", F.lit("residential")).alias("land_use"))
+    return joins.vote_near(p, view(spark, d, "units"), ["grid_id"], "poly_id", "customer_type", 200, "residential").select("model_run", "poly_id", F.col("vote").alias("land_use"))
 
 
 @query(f"""{with_views('ground_truth')} SELECT grid_id, gt_id AS source_id, concat(CAST(grid_id AS VARCHAR), '_', lpad(CAST(row_number() OVER (PARTITION BY grid_id ORDER BY gt_id) AS VARCHAR), 3, '0')) AS annotation_id, 'default' AS tier FROM ground_truth WHERE area <= 25000 AND x0 >= 0 AND y0 >= 0""")
@@ -464,12 +451,9 @@ b AS (SELECT *, min(prio) OVER (PARTITION BY region, grid_id, item_id) AS best F
 SELECT b.item_id, b.grid_id, provenance, CASE provenance WHEN 'reviewed' THEN 'trusted' WHEN 'redrawn' THEN 'trusted' ELSE 'untrusted' END AS trust, n.grid_id IS NOT NULL AS shares_cell FROM b LEFT JOIN n USING (grid_id) WHERE prio = best""")
 def m13_training_pool_manifest(spark, d):
     """Every annotation once, the first source before the second, with its trust and whether the negative pool uses its cell."""
-    g = view(spark, d, "ground_truth").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.col("source").alias("provenance"), F.lit(1).alias("prio"))
-    p = view(spark, d, "predictions").where("review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("prediction").alias("provenance"), F.lit(2).alias("prio"))
-    a = g.unionByName(p).groupBy("region", "grid_id", "item_id").agg(F.min_by("provenance", "prio").alias("provenance"))
-    n = view(spark, d, "negative_pool").where("archetype = 'ECONOMY'").select("grid_id", F.lit(True).alias("used")).distinct()
-    trust = F.when(F.col("provenance").isin(*_TRUST), "trusted").otherwise("untrusted")
-    return a.join(n, "grid_id", "left").select("item_id", "grid_id", "provenance", trust.alias("trust"), F.col("used").isNotNull().alias("shares_cell"))
+    g = view(spark, d, "ground_truth").select("region", "grid_id", F.col("gt_id").alias("item_id"), F.col("source").alias("provenance"))
+    p = view(spark, d, "predictions").where("review_status = 'correct'").select("region", "grid_id", F.col("poly_id").alias("item_id"), F.lit("prediction").alias("provenance"))
+    return joins.pool_manifest([g, p], ["region", "grid_id"], "item_id", "provenance", list(_TRUST), view(spark, d, "negative_pool").where("archetype = 'ECONOMY'"), "grid_id")
 
 
 @query(f"""{_P}, v AS (SELECT * FROM predictions WHERE grid_id % 5 = 0), t AS (SELECT region, grid_id, count(*) AS n FROM predictions WHERE grid_id % 5 <> 0 AND review_status <> 'delete' GROUP BY ALL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rooftally.operators import columns, names, spatial
+from rooftally.operators import columns, joins, names, spatial
 from rooftally.operators.matching import ratio
 from rooftally.plans.area import _SETS, ERRORS, GR, KEYS, both, errors, slab
 from rooftally.plans.registry import query
@@ -116,7 +116,6 @@ def c11_confidence_band(spark, d):
 SELECT model_run, verdict, CAST(count(*) AS BIGINT) AS n, CAST(sum(area) AS BIGINT) AS area FROM p JOIN r USING (grid_id, pred_id) WHERE verdict <> 'abstain' GROUP BY model_run, verdict""")
 def d12_review_join(spark, d):
     """Predictions with their last verdict; rows whose reviewer abstained stay out of the counts."""
-    last = view(spark, d, "decisions").groupBy("grid_id", "pred_id").agg(F.max_by(F.struct("pv_present"), "event_id").alias("m"))
     p = view(spark, d, "predictions").select("model_run", "grid_id", (F.col("poly_id") % 500).alias("pred_id"), "area")
-    rows = p.join(last, ["grid_id", "pred_id"]).where(F.col("m.pv_present").isNotNull())
-    return rows.groupBy("model_run", F.col("m.pv_present").cast("string").alias("verdict")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    rows = joins.review_join(p, view(spark, d, "decisions"), ["grid_id", "pred_id"], "pv_present", "event_id")
+    return rows.groupBy("model_run", F.col("pv_present").cast("string").alias("verdict")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
