@@ -68,6 +68,23 @@ def running(values: Column, op, start: Column) -> Column:
     return bind(values, lambda v: F.when(F.size(v) == 0, v).when(F.size(v) <= 64, F.slice(grown(v, start), 1, F.size(v))).otherwise(two_levels(v)))
 
 
+def lean(run):
+    """``run``, for ``mapInArrow``; once it is through, the worker, which stays for other tasks, gives back to the system what it has freed."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
