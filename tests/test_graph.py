@@ -203,3 +203,26 @@ def test_a_row_of_a_thousand_tied_boxes(spark):
             want.add(i)
             free -= set(own)
     assert {r.gt_id for r in accepted.collect()} == want
+
+
+def test_clusters_of_ids_near_the_end_of_a_long(spark):
+    """A box's number among both sides is a multiple of its id, which a long doesn't hold from some 20 times the larger tables on."""
+    top = 7 * 10**18
+    side = lambda rows, name: spark.createDataFrame(rows, f"k long, {name} long, x0 long, y0 long, x1 long, y1 long").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    g = side([(1, top, 0, 0, 10, 10), (1, top + 1, 100, 0, 110, 10), (1, 3, 200, 0, 210, 10)], "gt_id")
+    p = side([(1, top, 5, 0, 15, 10), (1, top + 1, 100, 0, 110, 10), (1, 5, 400, 0, 410, 10)], "poly_id")
+    nodes = matching.clusters(g, p, ["k"])
+    rows = nodes.groupBy("component").agg(F.count_if(F.col("side") == "g").alias("g"), F.count_if(F.col("side") == "p").alias("p")).collect()
+    assert sorted((r.g, r.p) for r in rows) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    assert {r.component for r in rows} >= {6, 11}  # 2 * 3 and 2 * 5 + 1
+
+
+def test_wide_numbers_stay_apart(spark):
+    top = 2**62
+    ids = spark.createDataFrame([(5,), (top + 5,), (2**63 - 1,)], "id long")
+    rows = ids.select("id", graph.wide(F.col("id"), 4, 1).alias("w")).withColumn("l", graph.as_long(F.col("w"))).collect()
+    assert [int(r.w) for r in rows] == [4 * r.id + 1 for r in rows]
+    assert [r.l for r in rows] == [(int(r.w) + 2**63) % 2**64 - 2**63 for r in rows]
+    nodes = ids.withColumn("node", graph.wide(F.col("id"), 4, 0))
+    edges = spark.createDataFrame([(5, 2**63 - 1)], "a long, b long").select(graph.wide(F.col("a"), 4, 0).alias("a"), graph.wide(F.col("b"), 4, 0).alias("b"))
+    assert {r.id: int(r.component) for r in graph.with_component(nodes, edges, "node", "a", "b").collect()} == {5: 20, 2**63 - 1: 20, top + 5: 4 * (top + 5)}
