@@ -1,7 +1,7 @@
 """Polygons as rings: array<struct<x: double, y: double>>, open (the first point isn't repeated).
 
 Areas, lengths, centres, bounds and projections are expressions. Convex hulls, smallest rectangles and simplified
-lines need loops over the points of a ring: they run in Arrow batches, ring by ring. A null ring gives nulls; a ring
+lines need loops over the points of a ring: they run in Arrow batches, on many rings at once. A null ring gives nulls; a ring
 of under three points has no area.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,16 +114,69 @@ def hull_measures(points: np.ndarray) -> tuple[float, float, float]:
     return float(whole), float(sides[:, best].max()), float(sides[:, best].min())
 
 
+#: Points of a ring up to which all its pairs are looked at; triples of points that a task looks at at a time.
+FEW, TRIPLES = 24, 1 << 20
+
+
+def few_measures(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(3, rings): `hull_measures` of rings of as many points, (rings, n), all at once.
+
+    A pair of points is a side of the hull if no point is right of it and none on its line lies beyond its ends.
+    """
+    rings_, n = x.shape
+    out, step = np.zeros((3, rings_)), max(1, TRIPLES // n**3)
+    again = np.tril(np.ones((n, n), bool), -1)
+    for at in range(0, rings_, step):
+        px, py = x[at : at + step], y[at : at + step]
+        dx, dy = px[:, None, :] - px[:, :, None], py[:, None, :] - py[:, :, None]  # from i to j
+        first = ~((dx == 0) & (dy == 0) & again).any(axis=2)  # of equal points, the first stands for all
+        turn = dx[:, :, :, None] * dy[:, :, None, :] - dy[:, :, :, None] * dx[:, :, None, :]
+        along = dx[:, :, :, None] * dx[:, :, None, :] + dy[:, :, :, None] * dy[:, :, None, :]
+        length2 = dx * dx + dy * dy
+        inner = (turn > 0) | ((turn == 0) & (along >= 0) & (along <= length2[..., None]))
+        side = inner.all(axis=3) & (length2 > 0) & first[:, :, None] & first[:, None, :]
+        cross = px[:, :, None] * py[:, None, :] - py[:, :, None] * px[:, None, :]
+        whole = np.abs(np.where(side, cross, 0.0).sum(axis=(1, 2))) / 2
+        length = np.sqrt(np.where(side, length2, 1.0))
+        ux, uy = dx / length, dy / length
+        ahead = ux[..., None] * px[:, None, None, :] + uy[..., None] * py[:, None, None, :]
+        beside = ux[..., None] * py[:, None, None, :] - uy[..., None] * px[:, None, None, :]
+        sides = [np.ptp(c, axis=3).reshape(len(px), -1) for c in (ahead, beside)]
+        angle = np.arctan2(dy, dx)
+        angle = np.where(angle <= -np.pi / 2, angle + 2 * np.pi, angle).reshape(len(px), -1)
+        flat = side.reshape(len(px), -1)
+        size = np.where(flat, np.round(sides[0] * sides[1], 9), np.inf)
+        # among equals the first side from the leftmost point on, counter-clockwise
+        best = np.where(size == size.min(axis=1, keepdims=True), np.where(flat, angle, np.inf), np.inf).argmin(axis=1)
+        some, row = flat.sum(axis=1) > 2, np.arange(len(px))
+        p, q = (c[row, best] for c in sides)
+        out[:, at : at + step] = np.where(some, np.stack([whole, np.maximum(p, q), np.minimum(p, q)]), 0.0)
+        # where last digits make sides that don't close, the chains decide
+        leaves, comes = side.sum(axis=2), side.sum(axis=1)
+        for k in np.flatnonzero((leaves != comes).any(axis=1) | (leaves > 1).any(axis=1) | ~some):
+            out[:, at + k] = hull_measures(np.stack([px[k], py[k]], axis=1))
+    return out
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each row (0 for null ones), and all of them."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def shape(ring: Column) -> Column:
-    """struct(hull_area, major, minor)."""
+    """struct(hull_area, major, minor). Rings of few points are measured together, by their number of points."""
 
-    @F.pandas_udf("hull_area double, major double, minor double")
-    def of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        none = (np.nan, np.nan, np.nan)
-        rows = [none if x is None else hull_measures(np.stack([x, y], axis=1)) for x, y in zip(xs, ys)]
-        return pd.DataFrame(rows, columns=["hull_area", "major", "minor"])
+    def of(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        (many, x), (_, y) = _flat(xs), _flat(ys)
+        start, out = np.cumsum(many) - many, np.zeros((3, len(many)))
+        for n in np.unique(many[many > 2]):
+            rows = np.flatnonzero(many == n)
+            at = start[rows][:, None] + np.arange(n)
+            out[:, rows] = few_measures(x[at], y[at]) if n <= FEW else np.array([hull_measures(np.stack([x[k], y[k]], axis=1)) for k in at]).T
+        none = xs.is_null().to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(c, mask=none) for c in out], ["hull_area", "major", "minor"])
 
-    return of(ring["x"], ring["y"])
+    return F.arrow_udf(of, "hull_area double, major double, minor double")(ring["x"], ring["y"])
 
 
 def elongation(measures: Column) -> Column:
@@ -157,22 +211,59 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     return closed[sorted(keep - {len(points)})]
 
 
-def wobble(ring: Column, tolerance: float) -> Column:
-    """Length of the ring over that of its simplified form; null where that has none."""
+def kept_points(many: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of rings, one after the other, `simplified` keeps. many: points of each ring, none of them 0. All lines of all rings are split at once."""
+    closed = many + 1
+    start = np.cumsum(closed) - closed
+    ring = np.repeat(np.arange(len(many)), closed)
+    own = np.arange(len(ring)) - start[ring]
+    place = np.where(own == many[ring], 0, own) + (np.cumsum(many) - many)[ring]
+    x, y = x[place], y[place]
+    keep = (own == 0) | (own == many[ring]) | (many[ring] < 4)
+
+    def first_most(value: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.maximum.reduceat(value, starts)
+        hit = np.flatnonzero(value == most[group])[::-1]
+        place = np.zeros(len(starts), np.int64)
+        place[group[hit]] = hit
+        return place, most
+
+    keep[first_most((x - x[start[ring]]) ** 2 + (y - y[start[ring]]) ** 2, start, ring)[0]] = True
+    while True:
+        ends = np.flatnonzero(keep)
+        line = np.cumsum(keep) - 1
+        i, j = ends[line], ends[np.minimum(line + 1, len(ends) - 1)]
+        dx, dy, ex, ey = x[j] - x[i], y[j] - y[i], x - x[i], y - y[i]
+        length = np.hypot(dx, dy)
+        off = np.where(length > 0, np.abs(dx * ey - dy * ex) / np.where(length > 0, length, 1.0), np.hypot(ex, ey))
+        at, most = first_most(np.where(keep, -1.0, off), ends, line)
+        more = at[most > tolerance]
+        if not len(more):
+            return keep[own < many[ring]]
+        keep[more] = True
 
-    @F.pandas_udf("double")
-    def of(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None:
-                return None
-            length = lambda p: float(np.hypot(*(np.roll(p, -1, axis=0) - p).T).sum())
-            points = np.stack([x, y], axis=1)
-            rest = length(simplified(points, tolerance)) if len(points) else 0.0
-            return length(points) / rest if rest else None
 
-        return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype="float64")
+def wobble(ring: Column, tolerance: float) -> Column:
+    """Length of the ring over that of its simplified form; null where that has none."""
 
-    return of(ring["x"], ring["y"])
+    def lengths(many: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        start = np.cumsum(many) - many
+        following = np.arange(1, len(x) + 1)
+        following[start + many - 1] = start
+        return np.add.reduceat(np.hypot(x[following] - x, y[following] - y), start)
+
+    def of(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        (many, x), (_, y) = _flat(xs), _flat(ys)
+        out, some = np.zeros(len(many)), many > 0
+        if some.any():
+            n = many[some]
+            keep = kept_points(n, x, y, tolerance)
+            left = np.add.reduceat(keep.astype(np.int64), np.cumsum(n) - n)
+            rest = lengths(left, x[keep], y[keep])
+            out[some] = np.where(rest > 0, lengths(n, x, y) / np.where(rest > 0, rest, 1.0), 0.0)
+        return pa.array(out, mask=out == 0)
+
+    return F.arrow_udf(of, "double")(ring["x"], ring["y"])
 
 
 # Transverse Mercator on the WGS 84 ellipsoid, as series in the third flattening; good to a millimetre inside a zone.
