@@ -12,7 +12,8 @@ happens beside the scan: only verified hits and one row per document are shuffle
 
 Windows are known by number while documents are met. Which items have them is joined at the end,
 once for each set of windows that some document has: a template in a million items is one
-window in what is broadcast, and its list of items is made once, not for each document.
+window in what is broadcast, and its list of items is made once, not for each document. What is
+used twice is written to the shared folder: cached frames would stay in the session, and each plan would carry the plans that made them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rooftally.functions.session import cut
 from rooftally.llm.text import BROADCAST_KEYS, ascii_lower, bind, words_by
 
 #: What is between words: ASCII but for digits and letters in lower case.
@@ -64,10 +66,10 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     window; a null item id is the id "". Rows with the same id and text are computed once and returned as often as they
     came; an empty table of documents gives no rows, an empty one of items no hits. Only ids and texts are read, so other columns can't clash.
     """
-    named = windows(items, item_id, item_text, width).select("win", "no", F.coalesce("item", F.lit("")).alias("item")).persist()
+    named = cut(windows(items, item_id, item_text, width).select("win", "no", F.coalesce("item", F.lit("")).alias("item")))
     wins = named.select("win", "no").distinct().withColumn("k", F.least(F.size("win"), F.lit(shingle)))
     offsets = F.sequence(F.lit(0), F.size("win") - F.col("k"))
-    wins = wins.select("win", "no", "k", F.posexplode(F.transform(offsets, lambda o: F.xxhash64(F.slice("win", o + 1, F.col("k"))))).alias("offset", "token")).persist()
+    wins = cut(wins.select("win", "no", "k", F.posexplode(F.transform(offsets, lambda o: F.xxhash64(F.slice("win", o + 1, F.col("k"))))).alias("offset", "token")))
     lengths = sorted(r[0] for r in wins.select("k").distinct().collect()) or [shingle]  # shingle of them at most
     small = wins.count() <= BROADCAST_WINDOWS * 10
     hint = F.broadcast if small else (lambda x: x)
@@ -78,10 +80,10 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     rare = wins.join(seen, ["token", "k"], "left").groupBy("no").agg(
         F.count("count").alias("met"), F.count("*").alias("all"), F.first("win").alias("win"),
         F.min_by(F.struct("token", "offset", "k", "count"), F.struct(F.coalesce("count", F.lit(-1)), "offset")).alias("t"))
-    prefix = rare.where("met = all").select(F.col("t.token").alias("token"), F.col("t.k").alias("k"), F.col("t.offset").alias("offset"), F.col("t.count").alias("places"), "win", "no")
+    prefix = cut(rare.where("met = all").select(F.col("t.token").alias("token"), F.col("t.k").alias("k"), F.col("t.offset").alias("offset"), F.col("t.count").alias("places"), "win", "no"))
 
     placed = _shingles(rows, lengths)
-    many, size = prefix.persist().agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
+    many, size = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
     begin = F.col("pos") - F.col("offset")
     span = F.struct(begin.alias("a"), (begin + F.size("win")).alias("b"))
     if many <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES:
@@ -96,7 +98,7 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
         lead = width - 1
         around = placed.where(F.col("pos") >= 0).select("id", "th", F.size("w").alias("n"), "pos", "token", "k", F.greatest(F.col("pos") - lead, F.lit(0)).alias("from"),
             F.slice("w", F.greatest(F.col("pos") - lead, F.lit(0)) + 1, 2 * width).alias("near"))
-        hot = prefix.where(F.col("places") > HOT_PLACES).select("token", "k").distinct().withColumn("hot", F.lit(True)).persist()
+        hot = prefix.where(F.col("places") > HOT_PLACES).select("token", "k").distinct().withColumn("hot", F.lit(True))
         around = around.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, ["token", "k"], "left")
         around = around.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "th", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
         salts = F.when(F.col("places") > HOT_PLACES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -108,10 +110,10 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     docs_ = found.groupBy("id", "th", "n").agg(F.sum(F.col("doc").cast("int")).alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("no")).alias("nos"))
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     n_hit = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["to"], x["b"]).alias("to"), (s["n"] + F.greatest(x["b"] - F.greatest(s["to"], x["a"]), F.lit(0))).alias("n")), lambda s: s["n"])
-    docs_ = docs_.select("id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), "copies", "nos",
-        F.when(F.size("nos") > 0, F.struct(F.xxhash64("nos").alias("a"), F.xxhash64(F.lit(1), "nos").alias("b"))).alias("which")).persist()
+    docs_ = cut(docs_.select("id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), "copies", "nos",
+        F.when(F.size("nos") > 0, F.struct(F.xxhash64("nos").alias("a"), F.xxhash64(F.lit(1), "nos").alias("b"))).alias("which")))
     which = docs_.where("which is not null").groupBy("which").agg(F.first("nos").alias("nos")).select("which", F.explode("nos").alias("no"))
-    lists = which.join(named.select("no", "item"), "no").groupBy("which").agg(F.array_sort(F.collect_set("item")).alias("items")).persist()
+    lists = cut(which.join(named.select("no", "item"), "no").groupBy("which").agg(F.array_sort(F.collect_set("item")).alias("items")))
     sets, total = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
     hit = docs_.where("which is not null").join(F.broadcast(lists) if max(sets, total) <= BROADCAST_KEYS else lists, "which")
     out = hit.unionByName(docs_.where("which is null").withColumn("items", F.array().cast("array<string>")))
