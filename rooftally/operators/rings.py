@@ -1,7 +1,7 @@
 """Polygons as rings: array<struct<x: double, y: double>>, open (the first point isn't repeated).
 
-Areas, lengths, centres, bounds and projections are expressions. Convex hulls, smallest rectangles and simplified
-lines need loops over the points of a ring: they run in Arrow batches, on many rings at once. A null ring gives nulls; a ring
+Areas, lengths, centres and bounds are expressions, projections of points too. Convex hulls, smallest rectangles, simplified
+lines and projections of whole rings run in Arrow batches, on many rings at once. A null ring gives nulls; a ring
 of under three points has no area.
 """
 
@@ -284,21 +284,59 @@ def _north(epsg: Column) -> Column:
     return F.when(F.floor(epsg / 100) == 327, 10_000_000.0).otherwise(0.0)
 
 
+def _to_zone(m, lon, lat, middle, north):
+    """Of columns with ``m`` as F, of arrays with numpy."""
+    s, dl = m.sin(m.radians(lat)), m.radians(lon) - middle
+    t = m.sinh(m.atanh(s) - _E * m.atanh(_E * s))
+    xi, eta = m.atan2(t, m.cos(dl)), m.atanh(m.sin(dl) / m.sqrt(1 + t * t))
+    east = eta + sum((a * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), 0.0)
+    up = xi + sum((a * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), 0.0)
+    return 500_000 + _R * east, north + _R * up
+
+
+def _from_zone(m, x, y, middle, north):
+    xi, eta = (y - north) / _R, (x - 500_000) / _R
+    u = xi - sum((b * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, b in enumerate(BETA, 1)), 0.0)
+    v = eta - sum((b * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, b in enumerate(BETA, 1)), 0.0)
+    chi = m.asin(m.sin(u) / m.cosh(v))
+    lat = chi + sum((d * m.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)), 0.0)
+    return m.degrees(middle + m.atan2(m.sinh(v), m.cos(u))), m.degrees(lat)
+
+
 def to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     """Easting and northing in the zone of ``epsg`` (326zz north, 327zz south)."""
-    s, dl = F.sin(F.radians(lat)), F.radians(lon) - _middle(epsg)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), F.lit(0.0))
-    north = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), F.lit(0.0))
-    return 500_000 + _R * east, _north(epsg) + _R * north
+    return _to_zone(F, lon, lat, _middle(epsg), _north(epsg))
 
 
 def from_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     """Longitude and latitude in degrees."""
-    xi, eta = (y - _north(epsg)) / _R, (x - 500_000) / _R
-    u = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1)), F.lit(0.0))
-    v = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(u) / F.cosh(v))
-    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)), F.lit(0.0))
-    return F.degrees(_middle(epsg) + F.atan2(F.sinh(v), F.cos(u))), F.degrees(lat)
+    return _from_zone(F, x, y, _middle(epsg), _north(epsg))
+
+
+def _mapped_at_once(ring: Column, of, *numbers: Column) -> Column:
+    """`mapped` of all points of an Arrow batch at once: ``of`` takes arrays of x, y and each point's ``numbers``. Points without x or y, or a null number, give nulls."""
+
+    def run(ring: pa.Array, *numbers: pa.Array) -> pa.Array:
+        many, points = pc.fill_null(pc.list_value_length(ring), 0).to_numpy(zero_copy_only=False).astype(np.int64), ring.flatten()
+        per_point = [np.repeat(c.cast(pa.float64()).to_numpy(zero_copy_only=False), many) for c in numbers]
+        none = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in points.flatten()] + [np.repeat(c.is_null().to_numpy(zero_copy_only=False), many) for c in numbers])
+        with np.errstate(all="ignore"):
+            moved = of(*(c.to_numpy(zero_copy_only=False).astype(float) for c in points.flatten()), *per_point)
+        told = pa.StructArray.from_arrays([pa.array(c, pa.float64(), mask=none) for c in moved], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), told, mask=ring.is_null())
+
+    return F.arrow_udf(run, RING)(ring, *numbers)
+
+
+def ring_to_utm(ring: Column, epsg: Column) -> Column:
+    """`to_utm` of each point of a ring in degrees."""
+    return _mapped_at_once(ring, lambda x, y, e: _to_zone(np, x, y, *_zone_numbers(e)), epsg)
+
+
+def ring_from_utm(ring: Column, epsg: Column) -> Column:
+    """`from_utm` of each point of a ring in metres."""
+    return _mapped_at_once(ring, lambda x, y, e: _from_zone(np, x, y, *_zone_numbers(e)), epsg)
+
+
+def _zone_numbers(epsg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.radians(epsg % 100 * 6 - 183), np.where(np.floor(epsg / 100) == 327, 10_000_000.0, 0.0)

@@ -48,8 +48,8 @@ def b3_reproject(spark, d):
     p = view(spark, d, "predictions").join(cells, "grid_id")
     zone = F.lit(_EPSG)
     metric = rings.mapped(rings.box_ring(), lambda x, y: (500_000 + (F.col("gx") - 20) * 300 + x / 10, 6_250_000 + F.col("gy") * 300 + y / 10))
-    p = p.select("poly_id", metric.alias("metric")).withColumn("degrees", rings.mapped(F.col("metric"), lambda x, y: rings.from_utm(x, y, zone)))
-    p = p.withColumns({"web": rings.mapped(F.col("degrees"), columns.web_mercator), "back": rings.mapped(F.col("degrees"), lambda x, y: rings.to_utm(x, y, zone))})
+    p = p.select("poly_id", metric.alias("metric")).withColumn("degrees", rings.ring_from_utm(F.col("metric"), zone))
+    p = p.withColumns({"web": rings.mapped(F.col("degrees"), columns.web_mercator), "back": rings.ring_to_utm(F.col("degrees"), zone)})
     first = lambda c, f, n, name: F.round(F.element_at(c, 1)[f], n).alias(name)
     return p.select("poly_id", first("degrees", "x", 7, "lon"), first("degrees", "y", 7, "lat"), first("web", "x", 2, "mx"), first("web", "y", 2, "my"), first("back", "x", 3, "back_x"), first("back", "y", 3, "back_y"),
         F.round(rings.area(rings.mapped(F.col("back"), lambda x, y: (x - 500_000, y - 6_250_000))), 3).alias("back_area"))

@@ -38,3 +38,15 @@ def test_many_rings_are_measured_at_once(spark):
     start = time.time()
     row = df.select(rings.shape(F.col("ring")).alias("m"), rings.wobble(F.col("ring"), 1.0).alias("w")).agg(F.count("m.major"), F.min("m.hull_area"), F.max("m.hull_area"), F.count("w"), F.min("w"), F.max("w")).first()
     assert list(row) == [199_999, 64.5, 64.5, 199_999, 1.0, 1.0] and time.time() - start < 20
+
+
+def test_rings_are_projected_as_their_points(spark):
+    rows = [(1, [(18.5, -34.0), (18.51, -34.0), (18.5, -33.99)], 32734), (2, [], 32734), (3, None, 32734), (4, [(22.0, 48.0)], 32634), (5, [(22.0, None)], 32634), (6, [(22.0, 48.0)], None)]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>, zone int")
+    ring, zone = F.col("ring"), F.col("zone")
+    moved = df.select("id", rings.ring_to_utm(ring, zone).alias("a"), rings.mapped(ring, lambda x, y: rings.to_utm(x, y, zone)).alias("b"), rings.ring_from_utm(rings.ring_to_utm(ring, zone), zone).alias("c"), "ring")
+    for r in moved.collect():
+        for got, want in ((r.a, r.b), (r.c, r.ring)):
+            assert (got is None) == (want is None) and len(got or []) == len(want or [])
+            for p, q in zip(got or [], want or []):
+                assert (p.x is None) == (q.x is None or q.y is None or r.id == 6) and (p.x is None or abs(p.x - q.x) < 1e-5 and abs(p.y - q.y) < 1e-5)
