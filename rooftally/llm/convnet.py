@@ -67,30 +67,87 @@ def layout(texts: list[np.ndarray], widest: int, pad: int) -> tuple[np.ndarray,
     return np.concatenate(parts), np.array(starts), np.concatenate(valid)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, classes: int, numbers: int, widths: tuple[int, ...], filters: int = 8, dim: int = 16, epochs: int = 6, batch: int = 32, rate: float = 0.1, seed: int = 42) -> Net:
-    """Softmax regression on pooled filters; Adagrad steps. Number ``numbers`` is the padding and stays zero."""
+#: Rows of numbers that a training step embeds at a time; a longer text goes in runs.
+STEP_ROWS = 1 << 16
+
+
+@dataclass
+class State:
+    """What training changes: embeddings, filters, their bias, weights, their bias; and the sums of squared gradients of each."""
+
+    values: list[np.ndarray]
+    seen: list[np.ndarray]
+    widths: tuple[int, ...]
+    filters: int
+
+    def net(self) -> Net:
+        emb, w_, bias, out, out_bias = self.values
+        return Net((emb @ w_).astype(np.float32), bias, out, out_bias, self.widths, self.filters)
+
+    def copy(self) -> State:
+        return State([x.copy() for x in self.values], [x.copy() for x in self.seen], self.widths, self.filters)
+
+
+def begin(classes: int, numbers: int, widths: tuple[int, ...], filters: int = 8, dim: int = 16, seed: int = 42) -> tuple[State, np.random.Generator]:
+    """A state before any step, and the generator that made it."""
     rng = np.random.default_rng(seed)
-    total = filters * sum(widths)
     emb = rng.normal(0, 0.1, (numbers + 1, dim)).astype(np.float32)
     emb[numbers] = 0
-    w_ = rng.normal(0, 0.3, (dim, total)).astype(np.float32)
+    w_ = rng.normal(0, 0.3, (dim, filters * sum(widths))).astype(np.float32)
     bias = np.zeros(filters * len(widths), np.float32)
     out = rng.normal(0, 0.3, (filters * len(widths), classes)).astype(np.float32)
-    out_bias = np.zeros(classes, np.float32)
-    seen = [np.full_like(x, 1e-3) for x in (emb, w_, bias, out, out_bias)]
+    values = [emb, w_, bias, out, np.zeros(classes, np.float32)]
+    return State(values, [np.full_like(x, 1e-3) for x in values], widths, filters), rng
+
+
+def _won(state: State, flat: np.ndarray, starts: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(pooled filters of each text, for each width the place in ``flat`` that gave each filter its maximum), embedding so many rows at a time."""
+    emb, w_, bias = state.values[:3]
+    f, widest = state.filters, max(state.widths)
+    ends, at = [*starts[1:].tolist(), len(flat)], 0
+    pools, wheres = [], [[] for _ in state.widths]
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + STEP_ROWS, "right")), at + 1)
+        low, high = int(starts[at]), ends[to - 1]
+        best, where = None, None
+        for first in range(low, high, STEP_ROWS):  # one run, but for a text that is longer
+            last = min(first + STEP_ROWS + widest - 1, high)
+            own = valid[first:last].copy()
+            own[STEP_ROWS:] = False  # the next run has these, with what follows them
+            if not own.any():
+                continue
+            some = starts[at:to] - low if high - low <= STEP_ROWS else np.zeros(1, np.int64)
+            pool, convs = _pool(emb[flat[first:last]].sum(axis=1) @ w_, bias, some, own, state.widths, f)
+            places = [np.stack([first + a + c[a:b].argmax(axis=0) for a, b in zip(some, [*some[1:], last - first])]) for c in convs]
+            if best is None:
+                best, where = pool, places
+            else:
+                more = pool > best
+                best = np.where(more, pool, best)
+                where = [np.where(more[:, i * f : (i + 1) * f], p, w) for i, (p, w) in enumerate(zip(places, where))]
+        pools.append(best)
+        for i, w in enumerate(where):
+            wheres[i].append(w)
+        at = to
+    return np.concatenate(pools), [np.concatenate(w) for w in wheres]
+
+
+def go_on(state: State, texts: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator, batch: int = 32, rate: float = 0.1) -> None:
+    """Adagrad steps over ``texts``, so many times; changes ``state``."""
+    emb, w_, bias, out, out_bias = state.values
+    seen, widths, filters = state.seen, state.widths, state.filters
+    numbers, dim, widest = len(emb) - 1, emb.shape[1], max(widths)
 
     def step(p, s, g):
         s += g * g
         p -= rate * g / np.sqrt(s)
 
-    widest = max(widths)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for first in range(0, len(order), batch):
             some = order[first : first + batch]
             flat, starts, valid = layout([texts[i] for i in some], widest, numbers)
-            e = emb[flat].sum(axis=1)
-            pool, convs = _pool(e @ w_, bias, starts, valid, widths, filters)
+            pool, places = _won(state, flat, starts, valid)
             z = pool @ out + out_bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -100,14 +157,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, classes: int, numbers: in
             step(out, seen[3], pool.T @ p)
             step(out_bias, seen[4], p.sum(axis=0))
             d_w, at_rows, at_grads = np.zeros_like(w_), [], []
-            ends = [*starts[1:], len(flat)]
             for i, (w, blocks) in enumerate(_blocks(widths, filters)):
                 g = d_pool[:, i * filters : (i + 1) * filters]
-                where = np.stack([a + convs[i][a:b].argmax(axis=0) for a, b in zip(starts, ends)])
                 for j, block in enumerate(blocks):
-                    rows = where + j
-                    d_w[:, block] += np.einsum("bfd,bf->df", e[rows], g)
-                    at_rows.append(flat[rows].reshape(-1, flat.shape[1]))
+                    own = flat[places[i] + j]
+                    d_w[:, block] += np.einsum("bfd,bf->df", emb[own].sum(axis=2), g)
+                    at_rows.append(own.reshape(-1, flat.shape[1]))
                     at_grads.append((g[:, :, None] * w_[:, block].T[None]).reshape(-1, dim))
             step(bias, seen[2], d_pool.sum(axis=0))
             rows, grads = np.concatenate(at_rows), np.concatenate(at_grads)
@@ -122,4 +177,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, classes: int, numbers: in
                 seen[0][u] = s
                 emb[u] -= rate * g / np.sqrt(s)
             step(w_, seen[1], d_w)
-    return Net((emb @ w_).astype(np.float32), bias, out, out_bias, widths, filters)
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, classes: int, numbers: int, widths: tuple[int, ...], filters: int = 8, dim: int = 16, epochs: int = 6, batch: int = 32, rate: float = 0.1, seed: int = 42) -> Net:
+    """Softmax regression on pooled filters; Adagrad steps. Number ``numbers`` is the padding and stays zero."""
+    state, rng = begin(classes, numbers, widths, filters, dim, seed)
+    go_on(state, texts, labels, epochs, rng, batch, rate)
+    return state.net()

@@ -8,11 +8,14 @@ that 0.5 decides alike in all languages. What language a text has, its own words
 words that many training texts of a language have, those that are rare in the others are its marks.
 The language column names the texts that marks are learned from and is never read in scoring.
 Null and empty texts are texts without words.
+
+Training takes every labelled row, whole. Rows are dealt into shards by their id. In each of some rounds all shards go on
+from the same net, on their own, and the changes are averaged: a weight's over all shards, an embedding's over those that changed it. Changes are whole
+numbers of 2 ** -32, so their sums don't depend on the order.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rooftally.functions.session import drop
 from rooftally.llm import convnet
-from rooftally.llm.text import lean
+from rooftally.llm.text import BROADCAST_KEYS, cut, lean
 
 #: The net, the marks of each language and the thresholds: one a language and one for texts that show none.
 Model = tuple[convnet.Net, list[frozenset[bytes]], np.ndarray]
 NUMBERS = 1 << 15
 WIDTHS = (1, 2, 3)
-#: Labelled rows of each class that training takes at most, and bytes of a text in training.
-PER_CLASS = 1500
-TRAIN_BYTES = 65_536
+#: Labelled rows of a shard, about; rounds of training, and times that a shard goes through its rows in each.
+SHARD, ROUNDS, EPOCHS = 2_000, 3, 2
+#: Files that shards are written to, at most; parts that embeddings are summed in; margins of a whole number, as thresholds tell them apart.
+FILES, PARTS, STEPS = 2_000, 16, 1_000
 WORDS = 300_000
 #: Marks of a language, at most; the least share of its training texts that has one; training texts that a language needs to have marks.
 MARKS = 40
@@ -46,17 +51,22 @@ def words_of(text: str | None) -> list[bytes]:
 
 def marks(texts: list[set[bytes]], languages: list[str | None]) -> list[frozenset[bytes]]:
     """Language by language, in order of their names, the words that tell it: in many of its texts, in few of any other's."""
-    held: dict[str, Counter] = {}
-    of = Counter(x for x in languages if x is not None)
+    of = {x: n for x, n in Counter(x for x in languages if x is not None).items() if n >= LEAST_TEXTS}
+    held: dict[str, Counter] = {x: Counter() for x in of}
     for words, x in zip(texts, languages):
-        if x is not None and of[x] >= LEAST_TEXTS:
-            held.setdefault(x, Counter()).update(words)
+        if x in of:
+            held[x].update(words)
+    return marks_of(held, of)
+
+
+def marks_of(held: dict[str, Counter], of: dict[str, int]) -> list[frozenset[bytes]]:
+    """`marks` of counts. of: texts of each language; held: how many of them have a word."""
     out = []
-    for x in sorted(held):
+    for x in sorted(of):
         told = []
-        for w, n in held[x].items():
+        for w, n in held.get(x, {}).items():
             share = n / of[x]
-            other = max((held[y][w] / of[y] for y in held if y != x), default=0.0)
+            other = max((held[y][w] / of[y] for y in of if y != x and y in held), default=0.0)
             if share >= SPREAD and share > 3 * other:
                 told.append((other - share, w))
         out.append(frozenset(w for _, w in sorted(told)[:MARKS]))
@@ -114,71 +124,187 @@ def margins(net: convnet.Net, texts: list[np.ndarray]) -> np.ndarray:
     return np.array(out)
 
 
-def thresholds(margin: np.ndarray, toxic: np.ndarray, language: np.ndarray, languages: int, least: int = 20) -> np.ndarray:
+def thresholds(counted: list[tuple[int, float, int, int]], languages: int, least: int = 20) -> np.ndarray:
     """For each language number, of the cuts with the fewest errors the one nearest to the net's own 0.
 
-    Where a class has under ``least`` rows in a language, the cut of all rows serves.
+    counted: (language number, margin, rows of class 0, rows of class 1). Where a class has under ``least`` rows in a language, the cut of all rows serves.
     """
 
-    def cut(m: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(m, kind="stable")
-        m, y = m[order], y[order]
-        errors = np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
+    def cut(m: np.ndarray, zero: np.ndarray, one: np.ndarray) -> float:
+        m, back = np.unique(m, return_inverse=True)
+        zero, one = np.bincount(back, zero), np.bincount(back, one)
+        errors = np.concatenate(([0], np.cumsum(one))) + np.concatenate((np.cumsum(zero[::-1])[::-1], [0]))
         low, high = np.concatenate(([m[0] - 2], m)), np.concatenate((m, [m[-1] + 2]))
         best = np.flatnonzero(errors == errors.min())
         nearest = np.clip(0.0, low[best] + (high - low)[best] / 4, high[best] - (high - low)[best] / 4)
         return float(nearest[np.abs(nearest).argmin()])
 
-    if not len(margin) or toxic.min() == toxic.max():
+    if not counted:
+        return np.zeros(languages)
+    language, margin, zero, one = (np.array(c) for c in zip(*counted))
+    if not zero.sum() or not one.sum():
         return np.zeros(languages)
-    common = cut(margin, toxic)
-    out = np.full(languages, common)
+    out = np.full(languages, cut(margin, zero, one))
     for k in range(languages):
         own = language == k
-        if min((toxic[own] == 1).sum(), (toxic[own] == 0).sum()) >= least:
-            out[k] = cut(margin[own], toxic[own])
+        if min(one[own].sum(), zero[own].sum()) >= least:
+            out[k] = cut(margin[own], zero[own], one[own])
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, lang_col: str | None = None, per_class: int = PER_CLASS) -> Model:
-    """The net, marks and thresholds from at most ``per_class`` rows of each class for which ``usable`` (on ``_id``) holds.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, lang_col: str | None = None) -> Model:
+    """The net, marks and thresholds from all rows of both classes for which ``usable`` (on ``_id``) holds, and their whole texts.
 
-    Of documents with one id, the text of the smallest digest of those that fit is taken; an id with both labels counts for each. Without
-    rows of both classes the net knows nothing and every score is below 0.5. Without ``lang_col`` all texts have one threshold.
+    Of documents with one id, the text of the smallest digest is taken; an id with both labels counts for each. A fifth of the rows, by a digest
+    of the text, is kept from training for the thresholds. Without rows of both classes the net knows nothing and every score is below 0.5. Without ``lang_col`` all texts have one threshold.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(usable & F.col("_y").isin(0, 1)).distinct()
-    picked = None
-    for y in (0, 1):
-        some = rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
+    rows = cut(rows)
+    many = rows.count()
     language = F.col(lang_col) if lang_col else F.lit(None).cast("string")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), language.alias("_l")).where(F.octet_length("_t") <= TRAIN_BYTES)
-    one = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min_by(F.struct("_t", "_l"), F.struct(F.xxhash64("_t"), "_l")).alias("r"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), language.alias("_l")).where(F.col("_t").isNotNull())
+    one = texts.join(F.broadcast(rows) if many <= BROADCAST_KEYS else rows, "_id").groupBy("_id", "_y").agg(F.min_by(F.struct("_t", "_l"), F.struct(F.xxhash64("_t"), "_l")).alias("r"))
+    shards = max(1, -(-many // SHARD))
+    one = one.select(F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_s"), F.xxhash64("r._t").alias("_o"), "r._t", "_y", F.col("r._l").alias("_l"))
+    # a shard is whole in one file, in order
+    one = cut(one.repartition(min(shards, FILES), "_s").sortWithinPartitions("_s", "_o", "_y"))
+    spark = docs.sparkSession
+    held = _held(one)
+    kinds = {r["_y"]: r["n"] for r in one.where(~held).groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    state, _ = convnet.begin(2, NUMBERS, WIDTHS)
+    if len(kinds) < 2:
+        drop(one, rows)
+        net = state.net()
+        return convnet.Net(np.zeros_like(net.table), net.bias, np.zeros_like(net.out), np.array([1.0, -1.0], np.float32), WIDTHS, net.filters), [], np.zeros(1)
+    told = _learned_marks(one) if lang_col else []
+    train = one.where(~held).select("_s", "_t", "_y")
+    for k in range(ROUNDS):
+        _round(spark, train, state, k)
+    net = state.net()
+    shared = spark.sparkContext.broadcast((net, told))
+
+    def told_margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, told = shared.value
+        words, counted = Words(told), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                coded = [words(t.as_py()) for t in some.column(0)]
+                for m, (_, x), y in zip(np.round(margins(net, [c for c, _ in coded]) * STEPS).astype(np.int64).tolist(), coded, some.column(1).to_pylist()):
+                    counted[x, m, y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*[(*key, n) for key, n in counted.items()]) if counted else [[]] * 4)], ["x", "m", "y", "n"])
+
+    found = one.where(held).select("_t", "_y").mapInArrow(lean(told_margins), "x long, m long, y long, n long").groupBy("x", "m")
+    counted = found.agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("zero"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("one")).collect()
+    shared.unpersist()
+    drop(one, rows)
+    return net, told, thresholds([(r.x, r.m / STEPS, r.zero, r.one) for r in counted], len(told) + 1)
+
+
+def _held(rows: DataFrame) -> Column:
+    """Whether a row is for thresholds, not for training."""
+    return F.crc32(F.col("_t").cast("binary")) % 5 == 0
+
+
+def _learned_marks(rows: DataFrame) -> list[frozenset[bytes]]:
+    """The marks of the languages of all rows. What is collected are words that a sixth of some language's texts has, so it doesn't grow with the rows."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([w for _, w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["x", "w", "n"])
+
+        for batch in batches:
+            for t, x in zip(batch.column(0), batch.column(1).to_pylist()):
+                held.update([(x, w) for w in set(words_of(t.as_py()))])
+                if len(held) > WORDS:
+                    yield told()
+                    held.clear()
+        yield told()
+
+    of = {r["_l"]: r["n"] for r in rows.where("_l is not null").groupBy("_l").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()}
+    if not of:
+        return []
+    named = rows.where(F.col("_l").isin(list(of))).select("_t", "_l")
+    share = F.create_map(*[F.lit(v) for x, n in of.items() for v in (x, float(n))])
+    words = named.mapInArrow(lean(counts), "x string, w binary, n long").groupBy("w", "x").agg(F.sum("n").alias("n")).groupBy("w")
+    words = words.agg(F.max(F.col("n") / share[F.col("x")]).alias("most"), F.collect_list(F.struct("x", "n")).alias("of")).where(F.col("most") >= SPREAD)
+    held: dict[str, Counter] = {}
+    for r in words.collect():
+        for x, n in r["of"]:
+            held.setdefault(x, Counter())[bytes(r["w"])] = n
+    return marks_of(held, of)
+
+
+def _round(spark, rows: DataFrame, state: convnet.State, k: int) -> None:
+    """All shards go on from ``state``, which then takes the average of their changes."""
+    shared, unit = spark.sparkContext.broadcast(state), float(1 << 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(t, y, x) for batch in batches for t, y, x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trained(got))], pa.binary())], ["model"])
-
-    # 2 * per_class rows of TRAIN_BYTES at most, trained on in one task of an executor; the driver sees the model alone
-    made = one.select("r._t", "_y", "r._l").repartition(1).mapInArrow(lean(run), "model binary").first()
-    return pickle.loads(bytes(made[0])) if made else _trained([])
-
-
-def _trained(rows: list[tuple[str, int, str | None]]) -> Model:
-    """From (text, label, language) rows."""
-    got = sorted(rows, key=lambda r: r[:2])
-    told = marks([set(words_of(t)) for t, _, _ in got], [x for _, _, x in got])
-    words = Words(told)
-    coded = [words(t) for t, _, _ in got]
-    y = np.array([y for _, y, _ in got], np.int64)
-    held = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0 for t, _, _ in got], bool)
-    if len(set(y[~held].tolist())) < 2:
-        f = 8
-        none = convnet.Net(np.zeros((NUMBERS + 1, f * sum(WIDTHS)), np.float32), np.zeros(f * len(WIDTHS), np.float32), np.zeros((f * len(WIDTHS), 2), np.float32), np.array([1.0, -1.0], np.float32), WIDTHS, f)
-        return none, told, np.zeros(len(told) + 1)
-    net = convnet.train([coded[i][0] for i in np.flatnonzero(~held)], y[~held], 2, NUMBERS, WIDTHS)
-    margin = margins(net, [coded[i][0] for i in np.flatnonzero(held)])
-    return net, told, thresholds(margin, y[held], np.array([coded[i][1] for i in np.flatnonzero(held)]), len(told) + 1)
+        base, words = shared.value, Words([])
+        size = sum(x.size for x in base.values[1:])
+        emb, width = base.values[0], base.values[0].shape[1]
+        sums, dense, touched, trained = np.zeros((len(emb), 2 * width), np.int64), np.zeros(2 * size, np.int64), np.zeros(len(emb), np.int64), 0
+
+        def done(shard: int, held: list) -> None:
+            nonlocal trained
+            own = base.copy()
+            convnet.go_on(own, [t for t, _ in held], np.array([y for _, y in held], np.int64), EPOCHS, np.random.default_rng([shard, k]))
+            change = lambda a, b: np.round((a.astype(np.float64) - b) * unit).astype(np.int64)
+            changed = np.flatnonzero((own.seen[0] != base.seen[0]).any(axis=1))
+            sums[changed] += np.concatenate([change(own.values[0][changed], emb[changed]), change(own.seen[0][changed], base.seen[0][changed])], axis=1)
+            touched[changed] += 1
+            dense[:] += np.concatenate([change(a, b).ravel() for x, y in ((own.values, base.values), (own.seen, base.seen)) for a, b in zip(x[1:], y[1:])])
+            trained += 1
+
+        at, held = None, []
+        for batch in batches:
+            for s, t, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if s != at and held:
+                    done(at, held)
+                    held = []
+                at = s
+                held.append((words(t.as_py())[0], y))
+        if held:
+            done(at, held)
+        if trained:
+            for part in range(PARTS):
+                u = np.flatnonzero(touched)
+                u = u[u % PARTS == part]
+                yield told(part, u, touched[u], sums[u])
+            yield told(PARTS, np.zeros(1, np.int64), np.array([trained]), dense[None])
+
+    def told(part: int, u: np.ndarray, n: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (u, n, v)]], ["part", "u", "n", "v"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums, many = 0, {}, {}
+        for batch in batches:
+            for p, u, n, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                part, u, n = p, np.frombuffer(u, np.int64), np.frombuffer(n, np.int64)
+                for i, x, row in zip(u.tolist(), n.tolist(), np.frombuffer(v, np.int64).reshape(len(u), -1) if len(u) else ()):
+                    sums[i] = sums[i] + row if i in sums else row
+                    many[i] = many.get(i, 0) + x
+        u = np.array(sorted(sums), np.int64)
+        mean = [np.round(sums[i] / many[i]).astype(np.int64) for i in u.tolist()]
+        yield told(part, u, np.array([many[i] for i in u.tolist()], np.int64), np.stack(mean) if mean else np.zeros(0, np.int64))
+
+    changes = rows.mapInArrow(lean(run), "part int, u binary, n binary, v binary")
+    found = changes.groupBy("part").applyInArrow(joined, changes.schema).collect()
+    shared.unpersist()
+    width = state.values[0].shape[1]
+    for r in found:
+        u, v = np.frombuffer(r["u"], np.int64), np.frombuffer(r["v"], np.int64) / unit
+        if r["part"] < PARTS:
+            v = v.reshape(len(u), 2 * width)
+            state.values[0][u] += v[:, :width].astype(np.float32)
+            state.seen[0][u] += v[:, width:].astype(np.float32)
+            continue
+        at = 0
+        for x in (*state.values[1:], *state.seen[1:]):
+            x += v[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
 
 
 def score(docs: DataFrame, text_col: str, model: Model, carry: list[str], name: str = "score") -> DataFrame:

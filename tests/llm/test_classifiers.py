@@ -108,3 +108,33 @@ def test_byte_windows_equal_the_net():
 
 def max_over(parts):
     return sum(parts).max(axis=0)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    rows, toxic = documents()
+    # longer than 65,536 bytes, and the only ones that have the word
+    rare = [(5000 + i, "calm " * 20_000 + ("dire " if i % 2 else "mild ") * 2 + "word " * i, "en") for i in range(24)]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*toxic, *[(i, (i - 5000) % 2) for i, _, _ in rare]], "doc_id long, toxic int")
+    seen = []
+    round_, marks_ = toxicity._round, toxicity._learned_marks
+    monkeypatch.setattr(toxicity, "_round", lambda spark, train, state, k: (seen.append(train.count()), round_(spark, train, state, k))[1])
+    monkeypatch.setattr(toxicity, "_learned_marks", lambda one: (seen.append(one.count()), marks_(one))[1])
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", F.lit(True), "lang")
+    held = docs.where(F.crc32(F.col("text").cast("binary")) % 5 == 0).count()
+    assert seen == [724, *[724 - held] * toxicity.ROUNDS]
+    truth = dict(toxic) | {i: (i - 5000) % 2 for i, _, _ in rare}
+    out = toxicity.score(docs, "text", model, ["doc_id"]).collect()
+    assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in out]) >= 0.95
+
+
+def test_steps_in_runs_equal_whole_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50, (n, 2)).astype(np.int32) for n in (5, 300, 0, 41, 7)]
+    state, _ = convnet.begin(2, 50, (1, 2, 3))
+    laid = convnet.layout(texts, 3, 50)
+    pool, places = convnet._won(state, *laid)
+    monkeypatch.setattr(convnet, "STEP_ROWS", 40)
+    again, others = convnet._won(state, *laid)
+    assert np.allclose(pool, again, atol=1e-6) and all((p == q)[pool[:, 8 * i : 8 * i + 8] > 0].all() for i, (p, q) in enumerate(zip(places, others)))
