@@ -4,6 +4,7 @@ import math
 import os
 import subprocess
 import sys
+from hashlib import md5
 from pathlib import Path
 
 import pytest
@@ -109,3 +110,13 @@ def test_every_query_has_its_sql_columns(spark):
 def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['rooftally.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'h1_tier1_summary' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_an_id_is_digested_once_for_all_keys(spark, monkeypatch):
+    u = [int(md5(f"42:{d}:7".encode()).hexdigest()[:8], 16) for d in range(1, 31)]
+    assert stats.times_drawn(["7"], 30, "42").tolist() == [[sum(x >= t for t in stats.DRAWN) for x in u]]
+    df = spark.createDataFrame([(k, i, float(i * i)) for k in ("a", "b", None) for i in range(40)], "k string, i long, v double")
+    plan = stats.bootstrap_ci(df, ["k"], "i", "v", "rms")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "md5" not in plan  # a row isn't copied for each draw
+    rows = stats.bootstrap_ci(df, ["k"], "i", "v", "rms").collect()
+    assert len(rows) == 3 and len({r[1:] for r in rows}) == 1
