@@ -1,6 +1,6 @@
 """Greedy queries against plain loops on the smallest tables."""
 
-from rooftally.plans import audits
+from rooftally.plans import audits, finals
 from rooftally.sources.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,12 @@ def test_dissolved_ground_truth_equals_union_find(spark):
         want.setdefault(top(r.gt_id), []).append(r.source)
     got = {r.component: (r.n_members, r.source) for r in audits.f10_dissolve_clean_gt(spark, SF).collect()}
     assert got == {k: (len(v), "+".join(sorted(set(v)))) for k, v in want.items()}
+
+
+def test_composed_ground_truth_has_every_correct_drawn_and_marked_box(spark):
+    """Whatever their confidence, and whatever their ids."""
+    p, g = view(spark, SF, "predictions"), view(spark, SF, "ground_truth")
+    assert p.where("review_status = 'correct' and confidence < 0.9").count() and g.where("source = 'marked' and gt_id % 2 = 1").count()
+    rows = finals.k4_compose_clean_gt(spark, SF).collect()
+    assert sum(r.n_members for r in rows) == p.where("review_status = 'correct'").count() + g.where("source in ('redrawn', 'marked')").count()
+    assert {s for r in rows for s in r.source.split("+")} == {"correct", "added", "marked"}
