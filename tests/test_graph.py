@@ -226,3 +226,19 @@ def test_wide_numbers_stay_apart(spark):
     nodes = ids.withColumn("node", graph.wide(F.col("id"), 4, 0))
     edges = spark.createDataFrame([(5, 2**63 - 1)], "a long, b long").select(graph.wide(F.col("a"), 4, 0).alias("a"), graph.wide(F.col("b"), 4, 0).alias("b"))
     assert {r.id: int(r.component) for r in graph.with_component(nodes, edges, "node", "a", "b").collect()} == {5: 20, 2**63 - 1: 20, top + 5: 4 * (top + 5)}
+
+
+def test_matching_goes_through_keys_in_one_pass(spark, monkeypatch):
+    """No rounds for keys of few edges; the keys beyond FOLD go in rounds beside them, with the same result."""
+    g, p = boxes(60, 1, "gt_id"), boxes(140, 2, "poly_id")
+    g, p = [r | {"grid_id": r["gt_id"] % 9 // 4} for r in g], [r | {"grid_id": r["poly_id"] % 9 // 4} for r in p]
+    sides = g, p, spark.createDataFrame(g), spark.createDataFrame(p)
+    calls, matched, merged = [], graph._matched, graph._merged
+    monkeypatch.setattr(graph, "_matched", lambda *a, **k: calls.append(1) or matched(*a, **k))
+    monkeypatch.setattr(graph, "_merged", lambda *a, **k: calls.append(1) or merged(*a, **k))
+    for fold, rounds in ((200_000, False), (60, True)):
+        monkeypatch.setattr(graph, "FOLD", fold)
+        calls.clear()
+        for test in (test_strict_matching, test_matching_by_confidence, test_merged_matching):
+            test(sides)
+        assert bool(calls) == rounds
